@@ -95,6 +95,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, seed: int = 42) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it.
+
+    Rows of equal id and text take the copies of those in turn.
+    """
+    key = lambda d: d.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    copies = mix(key(docs), id_col, text_col, source_col, cap, seed, keep=["__key"]).filter("copies > 0")
+    copies = copies.select("__key", F.row_number().over(Window.partitionBy("__key").orderBy(F.col("copies").desc())).alias("__turn"), F.col("copies").alias("__copies"))
+    rows = key(docs).withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
+    taken = rows.join(copies, ["__key", "__turn"])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+
+
 SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 k AS (SELECT *, coalesce(doc_id, 0) % {SLICES} AS slice, CASE WHEN size < 100 THEN size ELSE length(size::VARCHAR) * 100 + left(size::VARCHAR, 2)::BIGINT END AS class FROM d),

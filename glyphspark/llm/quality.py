@@ -65,17 +65,11 @@ def features(text: Column) -> Column:
     return F.struct(let(words(t), of_words).alias("w"), let(lines, of_lines).alias("l"), symbols.alias("n_symbols"))
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Base features, base_failed and the verdict kept for each row.
-
-    Returns the id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, removed_words (in boilerplate lines, repeats
-    counted) and kept. A null or empty text has no words and fails. Every row
-    is a document, equal ones too; a null host is a host of its own. Other
-    columns of df are not read.
-    """
-    f = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), features(F.col(text_col).cast("string")).alias("f"))
-    base = f.select("row", "id", "host", "f.w.*", "f.n_symbols", "f.l.*")
+def judge(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """quality() with the id as ``id``, and ``key``, which names an id with its text."""
+    text = F.col(text_col).cast("string")
+    f = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), features(text).alias("f"))
+    base = f.select("row", "id", "key", "host", "f.w.*", "f.n_symbols", "f.l.*")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     base = materialize(base, "quality")
     hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
@@ -86,7 +80,26 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     removed = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("removed_words"))
     out = base.join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.greatest(F.lit(MIN_WORDS), F.col("n_words") * LEFT_SHARE))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", kept.alias("kept"))
+    return out.select("id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", kept.alias("kept"))
+
+
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Base features, base_failed and the verdict kept for each row.
+
+    Returns the id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, removed_words (in boilerplate lines, repeats
+    counted) and kept. A null or empty text has no words and fails. Every row
+    is a document, equal ones too; a null host is a host of its own. Other
+    columns of df are not read.
+    """
+    j = judge(df, id_col, text_col, host_col)
+    return j.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of df, with all their columns, that quality() keeps."""
+    gone = judge(df, id_col, text_col, host_col).filter("not kept").select(F.col("key").alias("__gone"))
+    return df.join(gone, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")) == gone["__gone"], "left_anti")
 
 
 SQL = rf"""

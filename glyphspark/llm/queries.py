@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, simhash, token_counts
+from . import bpe, media, mixing, pii, quality, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +39,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_media, op4_simhash, op6_quality, op9_token_counts)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_media, op4_simhash, op6_quality, op9_token_counts, op10_pii)}
 ORACLE_SQL = {"op1_mixing": mixing.SQL, "op6_quality": quality.SQL}

@@ -204,3 +204,13 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(near_links(classes, radius))
     classes = classes.join(roots, F.col("node") == F.col("id"), "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of df, with all their columns, less those whose component has a lesser id.
+
+    Rows that repeat the id which stays all stay.
+    """
+    found = simhash_components(df.select(id_col, text_col), id_col, text_col, radius)
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    return df.join(gone, F.col(id_col) == gone["__gone"], "left_anti")
