@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, pii, quality, simhash, substring_dedup, token_counts
+from . import bpe, media, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir), texts=False)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(documents(spark, sf_dir), texts=False)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -47,5 +51,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_media, op4_simhash, op6_quality, op7_substring_dedup, op9_token_counts, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_media, op4_simhash, op6_quality, op7_substring_dedup, op8_suffix_dedup, op9_token_counts, op10_pii)}
 ORACLE_SQL = {"op1_mixing": mixing.SQL, "op6_quality": quality.SQL}
