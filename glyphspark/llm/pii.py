@@ -35,7 +35,7 @@ PATTERNS = {
     "ip": (".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "secret": ("", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{14,}+"),
+    "secret": ("", r"(?<![A-Za-z0-9+/_=-])(?=AKIA|ASIA|[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{14,}+"),
     "number": ("", r"(?<![A-Za-z0-9.+-])[(]?[0-9]{2,4}[)]?(?:[\x20./-][(]?[0-9]{2,6}[)]?){1,5}(?![A-Za-z0-9])"),
 }
 ROWS, SEED, PRECISION = 2400, 7, 0.98
