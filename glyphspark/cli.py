@@ -2,7 +2,8 @@
 
 Without IN it converts standard input to standard output. Files are converted
 whole, so that markup and line ends survive, and written below OUT under their
-names: Spark can't overwrite what it reads.
+names, since Spark can't overwrite what it reads. A last line that doesn't end
+gets its end; no other byte is added.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
         print(got)
         return 0
     files = text_files(spark, a.input).filter("good").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), fn(F.col("text"), a.target, lines=lines).alias("value"))
-    files.write.partitionBy("file").text(a.output, lineSep="")
+    files.withColumn("value", F.regexp_replace("value", "\n$", "")).write.partitionBy("file").text(a.output, lineSep="\n")
     return 0
 
 

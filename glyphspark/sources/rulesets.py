@@ -65,10 +65,10 @@ def read_dictionary(spark: SparkSession, path: str, name: str, reverse: bool = F
     key that has it.
     """
     lines = checked_text(spark, path, sha256).select(F.posexplode(F.split("text", r"\r?\n")).alias("ord", "line"))
-    lines = lines.select(F.col("ord").cast("long").alias("ord"), F.filter(F.split("line", r"\s+"), lambda w: w != "").alias("w")).filter((F.size("w") > 1) & ~F.startswith(F.element_at("w", 1), F.lit("#")))
-    key, values = F.element_at("w", 1), F.slice("w", 2, 1_000_000)
+    lines = lines.select(F.col("ord").cast("long").alias("ord"), F.filter(F.split("line", r"\s+"), lambda w: w != "").alias("w")).filter((F.size("w") > 1) & ~F.startswith(F.get("w", F.lit(0)), F.lit("#")))
+    key, values = F.get("w", F.lit(0)), F.slice("w", 2, 1_000_000)
     if not reverse:
-        return lines.filter((F.size("w") == 2) | ~F.array_contains(values, key)).select(F.lit(name).alias("table"), key.alias("from"), F.element_at("w", 2).alias("to"), "ord")
+        return lines.filter((F.size("w") == 2) | ~F.array_contains(values, key)).select(F.lit(name).alias("table"), key.alias("from"), F.get("w", F.lit(1)).alias("to"), "ord")
     each = lines.select(key.alias("key"), "ord", F.posexplode(values).alias("place", "value"))
     return each.groupBy("value").agg(F.min_by("key", F.struct("ord", "place")).alias("to"), F.min("ord").alias("ord")).select(F.lit(name).alias("table"), F.col("value").alias("from"), "to", "ord")
 
