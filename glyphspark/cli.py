@@ -24,7 +24,7 @@ def text_files(spark: SparkSession, path: str):
     """(path, text, good): whole files as UTF-8; good is false for others and for blank files."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     text = F.col("content").cast("string")
-    return f.select("path", text.alias("text"), (F.is_valid_utf8(text) & (F.trim(text) != "")).alias("good"))
+    return f.select("path", text.alias("text"), (F.is_valid_utf8(text) & F.regexp_like(text, F.lit(r"\S"))).alias("good"))
 
 
 def main(argv: list[str] | None = None) -> int:

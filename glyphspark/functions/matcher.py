@@ -1,10 +1,12 @@
 """The matching kernel: leftmost-longest replacement from a dictionary, in one pass.
 
-A dictionary is compiled into two parts. Sources of one character become a
-translation table, applied in C to the stretches between phrases. Longer ones
-are tried, longest first, only where a character stands that begins one. A
-phrase is always longer than a single character, so looking for phrases first
-and translating what lies between gives the leftmost-longest result.
+A dictionary is compiled into two parts. Sources of one character with targets
+of one become a table over all code points, through which whole texts go as
+arrays. All other sources are phrases: a text's code points are tested, as
+arrays, for pairs of neighbours that begin one, and only there are phrases
+tried, the longest first. A phrase is always longer than the single characters
+it covers, so looking for phrases and mapping what lies between gives the
+leftmost-longest result.
 """
 
 from __future__ import annotations
@@ -13,9 +15,19 @@ import re
 from collections.abc import Iterable, Iterator, Mapping
 from functools import cached_property
 
+import numpy as np
+
+#: Texts shorter than this are taken character by character.
+SHORT = 48
+_PAIR_BITS = 20
+
 Span = tuple[int, int, str]
 
 
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _PAIR_BITS)
+
+
 class Matcher:
     """A compiled dictionary of sources and targets. Empty sources are left out."""
 
@@ -43,7 +55,9 @@ class Matcher:
 
     @cached_property
     def heads(self) -> re.Pattern | None:
-        return re.compile("[" + "".join(map(re.escape, self.lengths)) + "]") if self.lengths else None
+        """Characters that begin a source which the table can't map."""
+        first = set(self.lengths) | {chr(c) for c, t in self.single.items() if len(t) != 1}
+        return re.compile("[" + "".join(map(re.escape, sorted(first))) + "]") if first else None
 
     @cached_property
     def starts(self) -> re.Pattern | None:
@@ -51,35 +65,90 @@ class Matcher:
         first = {f[0] for f in self.pairs}
         return re.compile("[" + "".join(map(re.escape, sorted(first))) + "]") if first else None
 
-    def phrases(self, text: str) -> Iterator[Span]:
-        """Spans of sources of two characters or more."""
-        if self.heads is None:
-            return
-        find, lengths, pairs = self.heads.search, self.lengths, self.pairs
-        hit = find(text)
-        while hit:
-            at = hit.start()
-            for n in lengths[text[at]]:
-                target = pairs.get(text[at : at + n])
-                if target is not None and at + n <= len(text):
-                    yield at, at + n, target
-                    at += n
+    @cached_property
+    def ascii(self) -> bool:
+        return any(f.isascii() for f in self.pairs)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """What each code point becomes; itself for sources with longer or no targets."""
+        out = np.arange(0x110000, dtype=np.uint32)
+        for c, t in self.single.items():
+            if len(t) == 1:
+                out[c] = ord(t)
+        return out
+
+    @cached_property
+    def alone(self) -> np.ndarray:
+        """Code points that are phrases by themselves, as their targets aren't one character."""
+        out = np.zeros(0x110000, bool)
+        out[[c for c, t in self.single.items() if len(t) != 1]] = True
+        return out
+
+    @cached_property
+    def beginnings(self) -> dict[str, tuple[int, ...]]:
+        """For the first two characters of phrases, and single ones that are phrases, the lengths from the longest."""
+        out: dict[str, set[int]] = {}
+        for f, t in self.pairs.items():
+            if len(f) > 1:
+                out.setdefault(f[:2], set()).add(len(f))
+            elif len(t) != 1:
+                out[f] = set()
+        return {c: tuple(sorted(n, reverse=True)) for c, n in out.items()}
+
+    @cached_property
+    def neighbours(self) -> np.ndarray:
+        """Which hashes pairs of neighbours have that begin phrases."""
+        out = np.zeros(1 << _PAIR_BITS, bool)
+        two = [b for b in self.beginnings if len(b) == 2]
+        if two:
+            codes = np.array([[ord(b[0]), ord(b[1])] for b in two], np.uint32)
+            out[_pair_hash(codes[:, 0], codes[:, 1])] = True
+        return out
+
+    def candidates(self, text: str) -> list[int]:
+        """Places where phrases may begin, in order."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        may = self.alone[codes]
+        may[:-1] |= self.neighbours[_pair_hash(codes[:-1], codes[1:])]
+        return np.flatnonzero(may).tolist()
+
+    def phrases(self, text: str) -> list[Span]:
+        """Spans of sources that the table can't map, leftmost-longest."""
+        found: list[Span] = []
+        if not self.heads or not self.heads.search(text):
+            return found
+        begin, pair, last, most = self.beginnings.get, self.pairs.get, 0, len(text)
+        for at in self.candidates(text) if most >= SHORT else range(most):
+            if at < last:
+                continue
+            for n in begin(text[at : at + 2], ()):
+                target = pair(text[at : at + n])
+                if target is not None and at + n <= most:
+                    last = at + n
+                    found.append((at, last, target))
                     break
             else:
-                at += 1
-            hit = find(text, at)
+                if text[at] in self.beginnings:
+                    last = at + 1
+                    found.append((at, last, pair(text[at])))
+        return found
+
+    def mapped(self, text: str) -> str:
+        """The text with its single characters mapped, phrases or not; of equal length."""
+        if len(text) < SHORT:
+            one = self.single
+            return "".join([t if len(t := one.get(ord(c), c)) == 1 else c for c in text])
+        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].tobytes().decode("utf-32-le", "surrogatepass")
 
     def convert(self, text: str) -> str:
-        out, last, single = [], 0, self.single
+        if text.isascii() and not self.ascii:
+            return text
+        out, last, mapped = [], 0, self.mapped(text)
         for start, end, target in self.phrases(text):
-            if start > last:
-                out.append(text[last:start].translate(single))
-            out.append(target)
+            out += (mapped[last:start], target)
             last = end
-        if not out:
-            return text.translate(single)
-        out.append(text[last:].translate(single))
-        return "".join(out)
+        return "".join([*out, mapped[last:]]) if out else mapped
 
     def longest(self, text: str, at: int) -> int:
         """Length of the longest source at a place, 0 if there is none."""
@@ -100,13 +169,13 @@ class Matcher:
 
     def replaced(self, text: str) -> int:
         """Characters of sources that differ from their targets."""
-        same = 0
-        last, single = 0, self.single
+        if text.isascii() and not self.ascii:
+            return 0
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        differ = self.table[codes] != codes
         for start, end, target in self.phrases(text):
-            same += 0 if text[start:end] == target else end - start
-            same += sum(single.get(ord(c), c) != c for c in text[last:start])
-            last = end
-        return same + sum(single.get(ord(c), c) != c for c in text[last:])
+            differ[start:end] = text[start:end] != target
+        return int(differ.sum())
 
     def merged(self, overlay: Matcher) -> Matcher:
         """One dictionary that searches like this one shadowed by an overlay."""

@@ -64,3 +64,14 @@ def test_no_op_pairs_protect():
     m = Matcher({"后": "後", "皇后": "皇后"})
     assert m.convert("皇后后") == "皇后後"
     assert m.replaced("皇后后") == 1
+
+
+def test_long_texts_and_targets_of_other_lengths():
+    for seed in (5, 6):
+        for pairs, _, text in cases(seed, 300):
+            pairs = pairs | {"a": "", "b": "bbb"} if seed == 6 else pairs
+            m = Matcher(pairs)
+            text = text * 9
+            want, spans = naive(text, pairs)
+            assert m.convert(text) == want and list(m.spans(text)) == spans
+            assert m.replaced(text) == sum(e - s for s, e, t in spans if text[s:e] != t)
