@@ -16,8 +16,8 @@ from .common import SPACES, let, materialize, words
 
 WINDOW = 8
 MIN_WORDS, MOST_REPEATED = 20, 30
-#: Words of the longest line that can be boilerplate; documents of a host that a line may be in, at least and as a share; share of words that must be left.
-LINE_WORDS, LINE_DOCS, LINE_SHARE, LEFT_SHARE = 24, 10, 0.01, 0.5
+#: Words of the longest line that can be boilerplate; documents of a host that a line may be in, at least and as a share; a document is depleted if less than one word in so many is left.
+LINE_WORDS, LINE_DOCS, LINE_SHARE, LEFT_PART = 24, 10, 0.01, 3
 
 
 def repeated_words(w: Column, window: int = WINDOW) -> Column:
@@ -48,6 +48,10 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(w) <= window, F.lit(0).cast("long")).otherwise(let(hashes, count))
 
 
+def normalised(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
+
+
 def features(text: Column) -> Column:
     """The base features of a text, and its short lines as (hash, words)."""
     t = F.coalesce(text, F.lit(""))
@@ -56,7 +60,7 @@ def features(text: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
 
     def of_lines(lines: Column) -> Column:
-        norm = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.lower(x), SPACES, " ")))
+        norm = F.transform(lines, normalised)
         held = F.transform(norm, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
         return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.filter(held, lambda x: x["n"] <= LINE_WORDS).alias("short"))
 
@@ -77,10 +81,10 @@ def judge(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame
     lines = materialize(lines, "lines")
     often = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs_with")).filter(F.col("docs_with") > LINE_DOCS)
     often = often.join(hosts, "host").filter(F.col("docs_with") > F.col("docs") * LINE_SHARE).select("host", "h")
-    removed = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("removed_words"))
+    removed = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
     out = base.join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.greatest(F.lit(MIN_WORDS), F.col("n_words") * LEFT_SHARE))
-    return out.select("id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", kept.alias("kept"))
+    kept = ~F.col("base_failed") & (LEFT_PART * (F.col("n_words") - F.col("removed_words")) >= F.col("n_words"))
+    return out.select("id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed_lines", kept.alias("kept"))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -102,6 +106,14 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col
     return df.join(gone, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")) == gone["__gone"], "left_anti")
 
 
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of df that quality() keeps, their texts without the lines it takes for boilerplate."""
+    told = judge(df, id_col, text_col, host_col).filter("kept").groupBy(F.col("key").alias("__kept")).agg(F.first("removed_lines", ignorenulls=True).alias("__lines"))
+    rows = df.join(told, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")) == told["__kept"])
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("__lines", F.xxhash64(normalised(x))))
+    return rows.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*df.columns)
+
+
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS host FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -117,5 +129,5 @@ rem AS (SELECT r, sum(n)::BIGINT AS n FROM short JOIN often USING (host, norm) G
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
       coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(rem.n, 0) AS removed_words FROM w LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN rem USING (r))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND n_words - removed_words >= greatest({MIN_WORDS}, n_words * {LEFT_SHARE}) AS kept FROM f
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND {LEFT_PART} * (n_words - removed_words) >= n_words AS kept FROM f
 """

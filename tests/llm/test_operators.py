@@ -322,6 +322,10 @@ def test_boilerplate_lines(spark):
     assert all(got[k].removed_words == 3 and got[k].kept for k in range(15))
     assert all(got[100 + k].removed_words == 60 and not got[100 + k].kept for k in range(2))
     assert got[200].removed_words == 0 and not got[300].kept
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in quality.cleaned(df).collect()}
+    assert set(clean) == {k for k, g in got.items() if g.kept} == {r.doc_id for r in quality.keep(df).collect()}
+    assert clean[3] == prose(3, 40) and clean[200] == data[-2][1]
 
 
 # ---- passages
