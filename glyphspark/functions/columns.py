@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rulesets
 from ..sources import rulesets as sources
-from ..variants import DETECTED, VARIANTS, parse
+from ..variants import DETECTED, TIES, VARIANTS, enabled, parse
 from .markup import Conv, MarkupConverter, PageRules, Rule, RuleError, conv_lines, extract_rules, parse_conv_or_text, parse_rule, parse_rule_or_text, parse_variant_map
 from .matcher import Matcher, convert_layered
 
@@ -86,7 +86,7 @@ class Converter:
         self.pairs = pairs if pairs is not None else sources.load(spark, path)
         found = rulesets.matchers(self.pairs)
         self.matchers = {v.tag: found.get(v.tag) or found.get("zh-hk" if v.tag == "zh-mo" else "zh-cn") if v.tables else Matcher({}) for v in VARIANTS.values()}
-        self.tables = {t for t in ("hant", "hans", "tw", "hk", "cn")}
+        self.tables = {r["table"] for r in self.pairs.select("table").distinct().collect()}
         self._shared: dict[tuple, Shared] = {}
 
     def shared(self, key: tuple, make: Callable[[], object]) -> Shared:
@@ -94,6 +94,16 @@ class Converter:
             self._shared[key] = Shared(self.spark, make())
         return self._shared[key]
 
+    def enabled(self) -> list[str]:
+        """Tags that can be converted to."""
+        return enabled(self.tables)
+
+    def _base(self, target: str) -> Matcher:
+        v = parse(target)
+        if missing := set(v.tables) - self.tables:
+            raise ValueError(f"no tables for {v.tag}: {sorted(missing)}")
+        return self.matchers[v.tag]
+
     def overlay(self, target: str, pairs: Iterable[tuple[str, str]] = (), lines: str | None = None) -> dict[str, str]:
         """Conversions from pairs, and over them those of rule lines for a target."""
         return {**dict(pairs), **(conv_lines(lines, parse(target).tag) if lines else {})}
@@ -101,7 +111,7 @@ class Converter:
     def convert(self, text: Column, target: str, pairs: Iterable[tuple[str, str]] = (), lines: str | None = None, removed: Iterable[str] = ()) -> Column:
         """Leftmost-longest conversion; given rules shadow the tables, and removed targets are disabled."""
         tag, over, off = parse(target).tag, self.overlay(target, pairs, lines), frozenset(removed)
-        base = self.matchers[tag]
+        base = self._base(tag)
         if not base:
             return text  # nothing to convert with, overlays included
         if off:
@@ -123,12 +133,12 @@ class Converter:
     def convert_markup(self, text: Column, target: str, skip_code: bool = True, global_rules: bool = True, pairs: Iterable[tuple[str, str]] = (), lines: str | None = None, removed: Iterable[str] = ()) -> Column:
         """Conversion of text with markup. Texts without any take the plain path."""
         tag, over, off = parse(target).tag, self.overlay(target, pairs, lines), set(removed)
-        held = self.shared((tag, "markup", skip_code, global_rules, tuple(over.items()), frozenset(off)), lambda: MarkupConverter(self.matchers[tag], tag, skip_code, global_rules, over, off))
+        held = self.shared((tag, "markup", skip_code, global_rules, tuple(over.items()), frozenset(off)), lambda: MarkupConverter(self._base(tag), tag, skip_code, global_rules, over, off))
         return _arrow("string", lambda t: each(held.get().convert, pa.string())(t), text)
 
     def matches(self, text: Column, target: str) -> Column:
         """All matches as array<struct<start, end, src, dst>>, in code points, end exclusive."""
-        held = self.shared((parse(target).tag, ()), lambda: self.matchers[parse(target).tag])
+        held = self.shared((parse(target).tag, ()), lambda: self._base(target))
 
         def one(t: str) -> list[dict]:
             return [{"start": s, "end": e, "src": t[s:e], "dst": d} for s, e, d in held.get().spans(t)]
@@ -137,12 +147,12 @@ class Converter:
 
     def replaced(self, text: Column, target: str) -> Column:
         """Characters that conversion to the target would replace by others."""
-        held = self.shared((parse(target).tag, ()), lambda: self.matchers[parse(target).tag])
+        held = self.shared((parse(target).tag, ()), lambda: self._base(target))
         return _arrow("int", lambda t: each(held.get().replaced, pa.int32())(t), text)
 
     def counts(self, text: Column) -> Column:
         """struct of replaced characters for the five detected variants, in one pass of a batch."""
-        held = self.shared(("counts",), lambda: {t.replace("-", "_"): self.matchers[t] for t in DETECTED})
+        held = self.shared(("counts",), lambda: {t.replace("-", "_"): self._base(t) for t in DETECTED})
 
         def one(t: str) -> dict:
             return {k: m.replaced(t) for k, m in held.get().items()}
@@ -177,7 +187,7 @@ class Converter:
             return value.withField(".".join(rest), self._leaf(value.getField(rest[0]) if len(rest) == 1 else _deep(value, rest), [], kind, target))
         if kind == "array<string>":
             tag = parse(target).tag
-            held = self.shared((tag, ()), lambda: self.matchers[tag])
+            held = self.shared((tag, ()), lambda: self._base(tag))
 
             def run(lists: pa.Array) -> pa.Array:
                 return pa.array([None if xs is None else [None if x is None else held.get().convert(x) for x in xs] for xs in lists.to_pylist()], pa.list_(pa.string()))
@@ -204,9 +214,7 @@ def ranked_confidences(counts: Column) -> Column:
     one = F.lit(1.0).cast("float")
     conf = {t: F.when(total == 0, F.lit(float("nan"))).otherwise(one - (F.least(counts[t.replace("-", "_")].cast("float"), total) / total).cast("float")).cast("float") for t in DETECTED}
     alike = (conf["zh-tw"] == conf["zh-hk"]) & ~F.isnan(conf["zh-tw"])
-    # The order of ties, where Taiwan and Hong Kong are alike and where not.
-    orders = ["zh-hans", "zh-hant", "zh-tw", "zh-cn", "zh-hk"], ["zh-tw", "zh-hk", "zh-hant", "zh-hans", "zh-cn"]
-    rows = [F.struct((-conf[t]).alias("key"), F.when(alike, orders[0].index(t)).otherwise(orders[1].index(t)).alias("place"), F.lit(t).alias("variant"), conf[t].alias("confidence")) for t in DETECTED]
+    rows = [F.struct((-conf[t]).alias("key"), F.when(alike, TIES[True].index(t)).otherwise(TIES[False].index(t)).alias("place"), F.lit(t).alias("variant"), conf[t].alias("confidence")) for t in DETECTED]
     ranked = F.transform(F.array_sort(F.array(*rows)), lambda r: F.struct(r["variant"].alias("variant"), r["confidence"].alias("confidence")))
     return F.when(counts.isNotNull(), ranked)
 

@@ -1,18 +1,19 @@
 """SQL functions and table functions.
 
 After register(spark): convert_variant(text, tag), convert_markup(text, tag),
-count_replaced(text, tag), is_hans_confidence(text), infer_variant(text),
-page_title(text, tag), and the table functions variant_matches(text, tag) and
+count_replaced(text, tag), is_hans(text), is_hans_confidence(text),
+infer_variant(text), page_title(text, tag), and the table functions variant_matches(text, tag) and
 markup_rules(text).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..variants import VARIANTS, parse
+from ..variants import DETECTED, TIES, parse
 from .columns import Converter, Shared
 from .markup import MarkupConverter, PageRules, RuleError, extract_rules, parse_rule
 
@@ -40,6 +41,18 @@ def register(spark: SparkSession, converter: Converter | None = None) -> Convert
     put("convert_markup", two(lambda t, g: markup.get()[g].convert(t), pa.string()), "string")
     put("count_replaced", two(lambda t, g: held.get()[g].replaced(t), pa.int32()), "int")
     put("page_title", two(lambda t, g: PageRules.of(t).title_for(g), pa.string()), "string")
+    def likeliest(t: str) -> str:
+        """As columns.ranked_confidences(), for one text: zero counts leave the order of ties."""
+        n = {v: held.get()[v].replaced(t) for v in DETECTED}
+        total = n["zh-cn"] + n["zh-tw"] + n["zh-hk"] - n["zh-hant"]
+        if not total:
+            return "zh-tw"
+        conf = {v: np.float32(1) - np.float32(min(k, total)) / np.float32(total) for v, k in n.items()}
+        alike = conf["zh-tw"] == conf["zh-hk"]
+        return min(TIES[alike], key=lambda v: (-conf[v], TIES[alike].index(v)))
+
+    put("infer_variant", lambda ts: pa.array([None if t is None else likeliest(t) for t in ts.to_pylist()], pa.string()), "string")
+    put("is_hans", lambda ts: pa.array([None if t is None else share(t) > 0.5 for t in ts.to_pylist()], pa.bool_()), "boolean")
     put("is_hans_confidence", lambda ts: pa.array([None if t is None else share(t) for t in ts.to_pylist()], pa.float32()), "float")
 
     @F.udtf(returnType="start int, end int, src string, dst string")
@@ -69,4 +82,4 @@ def engine_info(spark: SparkSession, converter: Converter):
     from .. import __version__
 
     n = {r["table"]: r["n"] for r in converter.pairs.groupBy("table").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return spark.createDataFrame([(__version__, n, [t for t, v in VARIANTS.items() if set(v.tables) <= set(n)])], "version string, pairs map<string,long>, variants array<string>")
+    return spark.createDataFrame([(__version__, n, converter.enabled())], "version string, pairs map<string,long>, variants array<string>")

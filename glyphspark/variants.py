@@ -36,6 +36,8 @@ _ALL = [
 VARIANTS = {v.tag: v for v in _ALL}
 #: Tags with a table of their own, for detection.
 DETECTED = ("zh-cn", "zh-tw", "zh-hk", "zh-hant", "zh-hans")
+# The order of tied confidences, by whether Taiwan's and Hong Kong's are alike.
+TIES = {True: ["zh-hans", "zh-hant", "zh-tw", "zh-cn", "zh-hk"], False: ["zh-tw", "zh-hk", "zh-hant", "zh-hans", "zh-cn"]}
 #: Tags that global rules have no two-way pairs for.
 WITHOUT_PAIRS = ("zh", "zh-hant", "zh-hans")
 

@@ -38,6 +38,10 @@ def test_convert(spark, conv):
     assert column(d, conv.convert(d.t, "zh-tw", removed=["國"])) == ["国學", None, "", "abc"]
     with pytest.raises(ValueError, match="no such"):
         conv.convert(d.t, "zh-xx")
+    small = C.Converter(spark, spark.createDataFrame([("hant", "国", "國", 0)], sources.PAIRS))
+    assert small.enabled() == ["zh", "zh-hant"] and column(d, small.convert(d.t, "zh-hant"))[0] == "國学"
+    with pytest.raises(ValueError, match="no tables"):
+        small.convert(d.t, "zh-tw")
 
 
 def test_expression_equals_kernel(spark):
@@ -97,6 +101,9 @@ def test_sql_functions(spark, conv):
     register(spark, conv)
     r = spark.sql("SELECT convert_variant('国', 'zh-tw'), convert_markup('-{国}-国', 'zh-hk'), count_replaced('国学', 'zh-hant'), is_hans_confidence('国'), page_title('-{T|zh-cn:a}-', 'zh-cn'), convert_variant(NULL, 'zh-tw')").first()
     assert tuple(r) == ("國", "国國", 2, 1.0, "a", None)
+    for t in ("国学语言", "國學語言", "", "xyz", "软件", "計程車", "皇后里"):
+        d = frame(spark, t)
+        assert spark.sql(f"SELECT infer_variant('{t}'), is_hans('{t}')").first() == d.select(conv.infer(d.t), conv.is_hans(d.t)).first()
     assert [x.src for x in spark.sql("SELECT * FROM variant_matches('国x学', 'zh-tw')").collect()] == ["国", "学"]
     assert [(x.place, x.error) for x in spark.sql("SELECT * FROM markup_rules('-{a}- -{Q|b}-')").collect()] == [(0, None), (1, "InvalidFlag")]
 
