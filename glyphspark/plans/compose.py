@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.matcher import Matcher
-from ..sources.rulesets import PAIRS
+from ..operators.rulesets import first_of_each
+from ..sources.rulesets import PAIRS, read_dictionary
 
 Dictionary = tuple[dict[str, str], dict[str, str]]  # forward, reverse
 
@@ -76,6 +77,17 @@ def flatten(stages: list[Dictionary]) -> dict[str, str]:
     return pairs
 
 
+def dictionary_reader(spark: SparkSession, folder: str, checksums: dict[str, str] | None = None) -> Callable[[str], Dictionary]:
+    """Reads NAME.txt of a folder as forward and reverse dictionaries, with its checksum if one is given."""
+
+    def read(name: str) -> Dictionary:
+        path, known = f"{folder.rstrip('/')}/{name}.txt", (checksums or {}).get(name)
+        both = [read_dictionary(spark, path, name, back, known).select("from", "to").collect() for back in (False, True)]
+        return tuple({r["from"]: r["to"] for r in rows} for rows in both)
+
+    return read
+
+
 def compose(spark: SparkSession, config: RulesetConfig, arrays: DataFrame | None, read: Callable[[str], Dictionary] | None = None) -> DataFrame:
     """All tables of a configuration: array pairs first, so that they win where the first of a source does."""
     rows = []
@@ -88,6 +100,4 @@ def compose(spark: SparkSession, config: RulesetConfig, arrays: DataFrame | None
     made = spark.createDataFrame(rows, PAIRS)
     if config.arrays and arrays is not None:
         made = arrays.filter(arrays["table"].isin(*config.tables)).select("table", "from", "to", "ord").unionByName(made)
-    from ..operators.rulesets import first_of_each
-
     return first_of_each(made)

@@ -153,6 +153,16 @@ def test_sources(spark, tmp_path):
     assert [r.name for r in sources.read_groups(spark, str(tmp_path / "g")).collect()] == ["n"]
 
 
+def test_dictionary_folder(spark, tmp_path):
+    (tmp_path / "STCharacters.txt").write_text("国\t國\n干\t乾 干\n", encoding="utf-8")
+    (tmp_path / "STPhrases.txt").write_text("干燥\t乾燥\n", encoding="utf-8")
+    (tmp_path / "HKVariants.txt").write_text("# made up\n國\t囯\n", encoding="utf-8")
+    cfg = compose.RulesetConfig(tables=("hk",), arrays=False, dictionaries=True)
+    got = compose.compose(spark, cfg, None, compose.dictionary_reader(spark, str(tmp_path)))
+    assert {(r["from"], r["to"]) for r in got.collect()} == {("国", "囯"), ("國", "囯"), ("干燥", "乾燥")}
+    assert C.Converter(spark, got.unionByName(spark.createDataFrame([("hant", "x", "x", 0)], sources.PAIRS))).enabled() == ["zh", "zh-hant", "zh-hk", "zh-mo"]
+
+
 def test_composition(spark):
     stages = [({"甲": "乙"}, {"乙": "甲"}), ({"乙": "丙"}, {"丙": "乙"})]
     assert compose.flatten(stages) == {"甲": "丙", "乙": "丙"}
