@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bytes of text in a chunk, about; keys in a shard, about.
-CHUNK = 6 << 20
-SHARD_KEYS = 4 << 20
+#: Bytes of text in a chunk, about: its row stays below what the JVM calls a humongous object when compressed; keys in a shard, at most.
+CHUNK = 1 << 20
+SHARD_KEYS = 16 << 20
 LEAST_SHARDS = 32
 
 

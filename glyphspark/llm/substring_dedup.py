@@ -28,7 +28,7 @@ from .common import materialize
 WINDOW = 50
 ROWS, CELLS = 2, 4
 #: Remembered word hashes of a worker.
-MEMORY = 1 << 20
+MEMORY = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
