@@ -35,7 +35,7 @@ from .substring_dedup import rolling
 LENGTH, ANCHOR, TOKEN = 200, 64, 8
 CELLS = 16
 #: Bytes of input for each bucket; places that are hashed at once; chunks and tokens of a chunk in the sample of splitters.
-BUCKET, SLICE, SAMPLE_CHUNKS, SAMPLE_TOKENS = 8 << 20, 1 << 20, 64, 512
+BUCKET, SLICE, SAMPLE_CHUNKS, SAMPLE_TOKENS = 4 << 20, 1 << 20, 64, 512
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
