@@ -35,15 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Writes df below the shared folder and reads it back, which cuts its lineage.
 
-    The files survive the loss of executors. They stay until the shared
+    A narrow table, small for the texts it comes from, is rebalanced first:
+    adaptive execution then writes few files of the advised size, not one for
+    each task. The files survive the loss of executors. They stay until the shared
     folder is cleaned: the caller may still be reading them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/glyphspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,11 +35,11 @@ def components(links: DataFrame) -> DataFrame:
     driver gets a count and a sum a round, never links.
     """
     e = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "links")
+    e = materialize(e, "links", narrow=True)
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = mark(e)
     while was[0]:
-        e = materialize(_step(_step(e, True), False), "links")
+        e = materialize(_step(_step(e, True), False), "links", narrow=True)
         now = mark(e)
         if now == was:
             break

@@ -76,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.pmod(F.coalesce(i, F.lit(0)), F.lit(SLICES)).cast("long").alias("slice"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
     ).withColumn("class", size_class(F.col("size")))
-    rows = materialize(rows, "mix")
+    rows = materialize(rows, "mix", narrow=True)
     aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
     aim = aim.withColumn("each", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE + 0.5)).otherwise(0).cast("long")).withColumn("none", F.col("source").isNull())
     key = ["none", "source_key"]

@@ -75,10 +75,10 @@ def judge(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame
     f = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), features(text).alias("f"))
     base = f.select("row", "id", "key", "host", "f.w.*", "f.n_symbols", "f.l.*")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    base = materialize(base, "quality")
+    base = materialize(base, "quality", narrow=True)
     hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     lines = base.select("row", "host", F.explode("short").alias("x")).groupBy("row", "host", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
-    lines = materialize(lines, "lines")
+    lines = materialize(lines, "lines", narrow=True)
     often = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs_with")).filter(F.col("docs_with") > LINE_DOCS)
     often = often.join(hosts, "host").filter(F.col("docs_with") > F.col("docs") * LINE_SHARE).select("host", "h")
     removed = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed_lines"))

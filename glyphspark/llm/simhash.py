@@ -150,7 +150,7 @@ def near_links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
         return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
 
     keys = F.array(*[F.xxhash64(F.lit(i), band(a, n), band(b, m)) for i, (a, n, b, m) in enumerate(band_keys(radius))])
-    rows = materialize(classes.select("node", "fp", F.explode(keys).alias("key")), "keys")
+    rows = materialize(classes.select("node", "fp", F.explode(keys).alias("key")), "keys", narrow=True)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = rows.join(sizes, "key")
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -199,8 +199,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     a fingerprint that only such rows have gives null. Repeated rows each give
     a row; other columns of df are not read.
     """
-    fps = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")).filter("node is not null"), "classes")
+    fps = materialize(fingerprints(df, id_col, text_col), "fingerprints", narrow=True)
+    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")).filter("node is not null"), "classes", narrow=True)
     roots = components(near_links(classes, radius))
     classes = classes.join(roots, F.col("node") == F.col("id"), "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -145,7 +145,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     def sketch(c: Chunk) -> Iterator[tuple[int, list[bytes]]]:
         return say_cells(Windows(c, window).h1, ROWS, bits, shards)
 
-    told = materialize(answer(tell(chunks, sketch, 2), merge_cells(width)), "cells")
+    told = materialize(answer(tell(chunks, sketch, 2), merge_cells(width)), "cells", narrow=True)
 
     def ask(c: Chunk, got: list[dict]) -> list[pa.RecordBatch]:
         a = Asked(c, got, window, bits, shards)

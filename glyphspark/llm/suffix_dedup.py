@@ -226,7 +226,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     def ask(c: Chunk) -> Iterator[tuple[int, list[bytes]]]:
         return say_cells(Anchors(c, length, anchor).hash, 1, bits, shards)
 
-    cells = materialize(answer(tell(chunks, ask, 2), merge_cells(width)), "cells")
+    cells = materialize(answer(tell(chunks, ask, 2), merge_cells(width)), "cells", narrow=True)
 
     def send(c: Chunk, got: list[dict]) -> list[pa.RecordBatch]:
         rows = Entries(c, got, bits, shards, splitters, length, anchor).messages
