@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import rulesets
 from ..sources import rulesets as sources
 from ..variants import DETECTED, TIES, VARIANTS, enabled, parse
-from .markup import Conv, MarkupConverter, PageRules, Rule, RuleError, conv_lines, extract_rules, parse_conv_or_text, parse_rule, parse_rule_or_text, parse_variant_map
+from .markup import Conv, MarkupConverter, PageRules, Rule, RuleError, conv_lines, parse_conv_or_text, parse_rule, parse_rule_or_text, parse_variant_map
 from .matcher import Matcher, convert_layered
 
 SPANS = "array<struct<start:int,`end`:int,src:string,dst:string>>"
@@ -335,7 +335,3 @@ def normal_tag(tag: Column) -> Column:
 def variant_name(tag: Column) -> Column:
     names = F.create_map(*[F.lit(x) for v in VARIANTS.values() for x in (v.tag, v.name)])
     return names[F.lower(tag)]
-
-
-def rule_inners(text: str) -> list[str]:
-    return list(extract_rules(text))

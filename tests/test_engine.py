@@ -147,10 +147,15 @@ def test_sources(spark, tmp_path):
         sources.read_pairs(spark, str(tmp_path / "p.txt"))
     with pytest.raises(ValueError, match="no such"):
         C.make_converter(spark, "nope", [("a", "b")])
+    (tmp_path / "r.txt").write_text("zh-cn:a;\n\n  b \n", encoding="utf-8")
+    assert [(r.line, r.ord) for r in sources.read_rule_lines(spark, str(tmp_path / "r.txt")).collect()] == [("zh-cn:a;", 0), ("b", 2)]
     (tmp_path / "g").mkdir()
     (tmp_path / "g/a.json").write_text('{"name": "n", "description": "d", "path": "p", "rules": [{"original": null, "conv": "zh-cn:a;"}]}')
     (tmp_path / "g/b.json").write_text("")
-    assert [r.name for r in sources.read_groups(spark, str(tmp_path / "g")).collect()] == ["n"]
+    read = sources.read_groups(spark, str(tmp_path / "g"))
+    assert [r.name for r in read.collect()] == ["n"]
+    sources.write_groups(groups.pack(read), str(tmp_path / "packed"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "packed")).collect()] == [("n / d", "zh-cn:a;")]
 
 
 def test_dictionary_folder(spark, tmp_path):
