@@ -182,3 +182,14 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         return [pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * texts, names=[id_col, "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts)]
 
     return resume(chunks, both, remove, f"{id_col} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, unnest(range(1, len(w) - {WINDOW} + 2)) AS i, unnest(list_transform(range(1, len(w) - {WINDOW} + 2), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS g FROM d WHERE len(w) >= {WINDOW}),
+hit AS (SELECT r, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY g) < coalesce(doc_id, {NO_ID})),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM hit),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+left_over AS (SELECT r, count(gone.p)::BIGINT AS n, string_agg(x, ' ' ORDER BY p) FILTER (gone.p IS NULL) AS t FROM word LEFT JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (r)
+"""
