@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from ..variants import VARIANTS, WHITE, WITHOUT_PAIRS, parse
 from .matcher import Matcher, convert_layered
 
+# The depth of rules, and the patterns of rules and of code that stays as it is.
 MAX_DEPTH = 10
 _EXTRACT = re.compile(r"-\{(.+?)\}-")
 _OPEN = re.compile(r"-\{")
