@@ -1,10 +1,11 @@
 """Quality rules with line frequencies over documents (DataFrame operations only).
 
-Base rules look at one text. The cross-document rule hashes normalised short
-lines, counts the documents of each host that have them, takes lines above the
-host's limit for boilerplate, removes them, and rejects documents of which
-too little is left. Long repeated lines are prose, which the deduplicating
-operators deal with; the rule leaves them alone.
+Base rules look at one text. The cross-document rule hashes normalised lines
+of any length, counts the documents of each host that have them, takes lines
+above the host's limit for boilerplate, removes them, and rejects documents of
+which too little is left. Documents with a line of more than ``LINE_WORDS``
+words count once for each distinct text, so that copies of a text, which the
+deduplicating operators deal with, don't make boilerplate of its paragraphs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from .common import SPACES, let, materialize, words
 
 WINDOW = 8
 MIN_WORDS, MOST_REPEATED = 20, 30
-#: Words of the longest line that can be boilerplate; documents of a host that a line may be in, at least and as a share; a document is depleted if less than one word in so many is left.
+#: Words of the longest line for which copies of a text count as documents; documents of a host that a line may be in, at least and as a share; a document is depleted if less than one word in so many is left.
 LINE_WORDS, LINE_DOCS, LINE_SHARE, LEFT_PART = 24, 10, 0.01, 3
 
 
@@ -53,7 +54,7 @@ def normalised(line: Column) -> Column:
 
 
 def features(text: Column) -> Column:
-    """The base features of a text, and its short lines as (hash, words)."""
+    """The base features of a text, and its lines as (hash, words)."""
     t = F.coalesce(text, F.lit(""))
 
     def of_words(w: Column) -> Column:
@@ -62,7 +63,7 @@ def features(text: Column) -> Column:
     def of_lines(lines: Column) -> Column:
         norm = F.transform(lines, normalised)
         held = F.transform(norm, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
-        return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.filter(held, lambda x: x["n"] <= LINE_WORDS).alias("short"))
+        return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), held.alias("lines"))
 
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     symbols = F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long")
@@ -72,14 +73,15 @@ def features(text: Column) -> Column:
 def judge(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """quality() with the id as ``id``, and ``key``, which names an id with its text."""
     text = F.col(text_col).cast("string")
-    f = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), features(text).alias("f"))
-    base = f.select("row", "id", "key", "host", "f.w.*", "f.n_symbols", "f.l.*")
+    f = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), F.xxhash64(text).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), features(text).alias("f"))
+    base = f.select("row", "id", "key", "text", "host", "f.w.*", "f.n_symbols", "f.l.*")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     base = materialize(base, "quality", narrow=True)
     hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    lines = base.select("row", "host", F.explode("short").alias("x")).groupBy("row", "host", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"))
+    lines = base.select("row", "text", "host", F.explode("lines").alias("x")).groupBy("row", "text", "host", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("n"), F.max(F.col("x.n") > LINE_WORDS).alias("long"))
     lines = materialize(lines, "lines", narrow=True)
-    often = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs_with")).filter(F.col("docs_with") > LINE_DOCS)
+    by_text = lines.groupBy("host", "h", "text").agg(F.when(F.max("long"), 1).otherwise(F.count(F.lit(1))).alias("docs_with"))
+    often = by_text.groupBy("host", "h").agg(F.sum("docs_with").alias("docs_with")).filter(F.col("docs_with") > LINE_DOCS)
     often = often.join(hosts, "host").filter(F.col("docs_with") > F.col("docs") * LINE_SHARE).select("host", "h")
     removed = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
     out = base.join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
@@ -93,8 +95,10 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     Returns the id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, removed_words (in boilerplate lines, repeats
     counted) and kept. A null or empty text has no words and fails. Every row
-    is a document, equal ones too; a null host is a host of its own. Other
-    columns of df are not read.
+    is a document, equal ones too, but for lines of more than LINE_WORDS words,
+    which need so many distinct texts; a null host is a host of its own. Other
+    columns of df are not read. SQL leaves those long lines out, so it agrees
+    where none is above its host's limit.
     """
     j = judge(df, id_col, text_col, host_col)
     return j.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")

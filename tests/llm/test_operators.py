@@ -328,6 +328,18 @@ def test_boilerplate_lines(spark):
     assert clean[3] == prose(3, 40) and clean[200] == data[-2][1]
 
 
+def test_long_boilerplate_lines(spark):
+    prose = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    notice, article = prose("n", 40), prose("a", 60) + "\n" + prose("b", 30)
+    data = [(k, f"{prose(k, 50)}\n{notice.upper()}", "h") for k in range(12)] + [(50, f"{prose(50, 10)}\n{notice}\n{notice}", "h")]
+    data += [(100 + k, article, "h") for k in range(30)] + [(200, f"{notice}\n{prose(200, 20)}", "other")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.removed_words, r.kept) for r in quality.quality(df).collect()}
+    assert all(got[k] == (40, True) for k in range(12)) and got[50] == (80, False)
+    assert all(got[100 + k] == (0, True) for k in range(30)) and got[200] == (0, True)
+    assert {r.doc_id: r.text for r in quality.cleaned(df).collect()}[3] == prose(3, 50)
+
+
 # ---- passages
 
 
