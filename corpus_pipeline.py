@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of least id stays."""
+    """Of each SimHash component one row stays, that of least id; null ids come last."""
     return simhash.keep_one(docs)
 
 

@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -49,15 +49,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of each row's text as a signed long; 0 for a null, empty or blank text."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[Column] = ()) -> DataFrame:
+    """(id, fp): the fingerprint of each row's text as a signed long; 0 for a null, empty or blank text. Further columns of longs are passed on."""
+    names = df.select(*also).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t or b"") for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["id", "fp", *names])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary"), *also).mapInArrow(run, ", ".join(f"{c} long" for c in ["id", "fp", *names]))
 
 
 def near_lanes(planes: np.ndarray, block: np.ndarray, query: np.ndarray, radius: int) -> np.ndarray:
@@ -207,10 +208,26 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df, with all their columns, less those whose component has a lesser id.
+    """One row of each component of rows that fingerprints within the radius join, with all columns of df.
 
-    Rows that repeat the id which stays all stay.
+    It is the row of least id, null ids last. Rows of equal id and text are
+    told apart by their other columns, and equal rows are reduced to one; so
+    are texts that share an id. Fingerprints are the nodes here, not ids: an
+    id that two texts share joins nothing.
     """
-    found = simhash_components(df.select(id_col, text_col), id_col, text_col, radius)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == gone["__gone"], "left_anti")
+    text = F.col(text_col).cast("string")
+
+    def named(i: Column) -> list[Column]:
+        return [i.isNull().alias("__null"), F.coalesce(i, F.lit(0)).alias("__id")]
+
+    marks = [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(1), text).alias("__h2")]
+    names = ["__null", "__id", "__h1", "__h2"]
+    fps = fingerprints(df, id_col, text_col, marks).select("fp", F.struct(*named(F.col("id")), "__h1", "__h2").alias("row"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("row").alias("row")), "classes", narrow=True)
+    roots = components(near_links(classes.select(F.col("fp").alias("node"), "fp"), radius))
+    stay = classes.join(roots, F.col("fp") == F.col("id"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select("row.*")
+    # Each task first reduces its own rows of equal id and text to one, so many of them are no hot group.
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if c != text_col and "map<" not in kind and kind != "variant"]
+    rows = df.select("*", *named(F.col(id_col).cast("long")), *marks)
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64(*rest)))).filter("__n = 1")
+    return rows.join(stay, names, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

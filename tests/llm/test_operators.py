@@ -269,6 +269,22 @@ def test_simhash(docs, rows, empty):
     assert {r.doc_id for r in kept.collect()} >= {r for r in roots.values()}
 
 
+def test_keep_one_row_of_each_component(spark, docs, rows):
+    a, b, c, d = (" ".join(f"{k}{j}" for j in range(40)) for k in "abcd")
+    data = [(5, a, "x"), (5, b, "x"), (3, b, "x"), (7, c, "x"), (7, c, "x"), (7, c, "y"), (None, c, "x"), (None, d, "x"), (None, d, "x"), (None, d.upper(), "x")]
+    got = [r[:2] for r in simhash.keep_one(spark.createDataFrame(data * 3, "doc_id long, text string, source string").repartition(4)).collect()]
+    assert sorted(got[k] for k in range(len(got)) if got[k][0] is not None) == [(3, b), (5, a), (7, c)]
+    assert len(got) == 4 and {t.lower() for i, t in got if i is None} == {d}
+    fps = {slow_fingerprint(t) for _, t, *_ in rows}
+    roots = slow_components(fps, [(x, y) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 2])
+    least = {}
+    for i, t, *_ in rows:
+        key = roots[slow_fingerprint(t)]
+        least[key] = min(least.get(key, (True, 0)), (i is None, i or 0))
+    same_ids = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(docs).select("doc_id").collect())
+    assert same_ids == sorted(least.values())
+
+
 def test_links_in_split_keys(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 6).tolist()
