@@ -9,6 +9,11 @@ rows, and if enough of the n-grams of one of its templates occur in the
 paragraph, and no smaller a share than of any other family's; otherwise the
 paragraph is unknown.
 
+A paragraph is a line. Notices are often wrapped, so what stands around each
+line break inside a run of lines, as many words on each side as the longest
+template has, is judged as well: every template that goes over a line break
+lies whole in one of these windows. A line without a word ends the run.
+
 The model is fitted on the driver from at most ``ROWS`` rows made from the
 templates by a seeded generator, and evaluated as columns. All is a
 projection without a shuffle.
@@ -23,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import exclusive_sums, let
 
 # Short notices as licences and their users word them, by family.
 TEMPLATES = {
@@ -47,6 +52,8 @@ UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 ROWS, SEED, PRECISION, CONTAINED, NGRAM = 2400, 11, 0.98, 0.6, 3
 _WORD = r"[^a-z0-9.]+"
+#: Words on each side of a line break that are judged together, and the mark of a line without a word.
+SIDE, BREAK = max(len(t.split()) for ts in TEMPLATES.values() for t in ts), "\0"
 
 
 def tokens(line: str) -> list[str]:
@@ -140,11 +147,13 @@ def _ngrams(w: Column, n: int) -> Column:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """The licence paragraphs of each row's text.
 
-    Returns the id, n_paragraphs (lines with a word), n_cued, found
-    (array of struct<line, family, probability, contained>, family unknown
-    where the threshold or the templates say so), families (the known ones,
-    distinct and sorted, joined by commas) and n_unknown. A null or empty text
-    has none. Each row gives one row; other columns of df are not read.
+    Returns the id, n_paragraphs (lines with a word), n_cued (lines with a cue
+    word), found (array of struct<line, family, probability, contained>, family
+    unknown where the threshold or the templates say so), families (the known
+    ones, distinct and sorted, joined by commas) and n_unknown. A wrapped notice
+    is found at the line before each line break that its family shows at only
+    with both sides; cued lines beside the break are then not unknown. A null or
+    empty text has none. Each row gives one row; other columns of df are not read.
     """
     m = model(rows, seed)
     vocabulary = F.map_from_arrays(F.array(*[F.lit(g) for g in m.vocabulary]), F.array(*[F.array(*[F.lit(round(float(v), 6)) for v in w]) for w in m.w]))
@@ -152,7 +161,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: in
     templates = F.array(*[F.array(*[F.array(*[F.lit(g) for g in grams(t.split(), cued=False)]) for t in ts]) for ts in [["\0"], *TEMPLATES.values()]])
     names = F.array(*[F.lit(f) for f in FAMILIES])
 
-    def judged(line: Column, i: Column) -> Column:
+    def judged(w: Column, i: Column) -> Column:
         def of_grams(g: Column) -> Column:
             def of_scores(z: Column) -> Column:
                 def of_best(best: Column) -> Column:
@@ -173,16 +182,47 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: in
             hits = F.filter(F.transform(g, lambda x: F.element_at(vocabulary, x)), lambda w: w.isNotNull())
             return let(F.aggregate(hits, zero, lambda a, w: F.zip_with(a, w, lambda p, q: p + q)), of_scores)
 
-        return let(let(_line_tokens(line), _line_grams), of_grams)
+        return let(_line_grams(w), of_grams)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    cued = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.regexp_like(s["x"], F.lit(CUE_PATTERN)))
+    cues = F.array(*[F.lit(c) for c in CUES])
+    known = lambda f: f["family"] != UNKNOWN
+
+    def at_breaks(tokens: Column) -> Column:
+        """A verdict for each line break between lines with words, with a cue word around it."""
+        marked = F.transform(tokens, lambda w: F.when(F.size(w) == 0, F.array(F.lit(BREAK))).otherwise(w))
+
+        def of_flat(flat: Column) -> Column:
+            def sides(at: Column, i: Column) -> Column:
+                after = F.slice(flat, at.cast("int") + 1, SIDE)
+                before = F.reverse(F.slice(flat, F.greatest(at.cast("int") - SIDE, F.lit(0)) + 1, F.least(at.cast("int"), F.lit(SIDE))))
+                run = lambda w: F.slice(w, 1, F.when(F.array_contains(w, BREAK), F.array_position(w, BREAK).cast("int") - 1).otherwise(F.size(w)))
+                return F.struct((i - 1).alias("i"), F.reverse(run(before)).alias("b"), run(after).alias("a"))
+
+            starts = exclusive_sums(F.transform(marked, lambda w: F.size(w).cast("long")))
+            return F.filter(F.transform(starts, sides), lambda s: (F.size(s["b"]) > 0) & (F.size(s["a"]) > 0))
+
+        windows = F.transform(let(F.flatten(marked), of_flat), lambda s: F.struct(s["i"].alias("i"), F.concat(s["b"], s["a"]).alias("w")))
+        return F.filter(F.transform(F.filter(windows, lambda s: F.arrays_overlap(s["w"], cues)), lambda s: judged(s["w"], s["i"])), known)
+
+    def merged(own: Column, wrapped: Column) -> Column:
+        """Verdicts of lines, and those of line breaks whose family neither line beside them has."""
+        beside = lambda f, i, fam: ((f["line"] == i) | (f["line"] == i + 1)) & (f["family"] == fam)
+        new = F.filter(wrapped, lambda x: ~F.exists(own, lambda f: beside(f, x["line"], x["family"])))
+        return let(new, lambda new: F.array_sort(F.concat(F.filter(own, lambda f: known(f) | ~F.exists(new, lambda x: (x["line"] == f["line"]) | (x["line"] + 1 == f["line"]))), new)))
+
+    def all_found(tokens: Column) -> Column:
+        own = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.regexp_like(s["x"], F.lit(CUE_PATTERN))), lambda s: judged(F.element_at(tokens, s["i"] + 1), s["i"]))
+        return let(own, lambda own: let(at_breaks(tokens), lambda wrapped: merged(own, wrapped)))
+
     none = F.array().cast("array<struct<line:bigint,family:string,probability:double,contained:double>>")
-    found = F.when(F.regexp_like(text, F.lit(CUE_PATTERN)), F.transform(cued, lambda s: judged(s["x"], s["i"]))).otherwise(none)
+    cued = F.regexp_like(text, F.lit(CUE_PATTERN))
+    found = F.when(cued, let(F.transform(lines, _line_tokens), all_found)).otherwise(none)
+    n_cued = F.when(cued, F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(CUE_PATTERN))))).otherwise(0).cast("long")
     n = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))).cast("long")
-    out = df.select(F.col(id_col), n.alias("n_paragraphs"), found.alias("found"))
-    known = F.filter("found", lambda f: f["family"] != UNKNOWN)
+    out = df.select(F.col(id_col), n.alias("n_paragraphs"), n_cued.alias("n_cued"), found.alias("found"))
+    told = F.filter("found", known)
     return out.select(
-        id_col, "n_paragraphs", F.size("found").cast("long").alias("n_cued"), "found", F.array_join(F.array_sort(F.array_distinct(F.transform(known, lambda f: f["family"]))), ",").alias("families"), (F.size("found") - F.size(known)).cast("long").alias("n_unknown"),
+        id_col, "n_paragraphs", "n_cued", "found", F.array_join(F.array_sort(F.array_distinct(F.transform(told, lambda f: f["family"]))), ",").alias("families"), (F.size("found") - F.size(told)).cast("long").alias("n_unknown"),
     )

@@ -519,3 +519,18 @@ def test_license_lines(spark):
     r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r.n_paragraphs, r.n_cued, r.families, r.n_unknown) == (3, 2, "gpl,proprietary", 0)
     assert [f.line for f in r.found] == [1, 2]
+
+
+def test_wrapped_licenses(spark):
+    notices = {
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "apache-2.0": "Licensed under the Apache\nLicense, Version 2.0 (the \"License\");\nyou may not use this file except in\ncompliance with the License.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files, to deal\nin the Software without restriction.",
+        "bsd": "Redistribution and use in source and binary\nforms, with or without modification,\nare permitted provided that the conditions are met:",
+    }
+    data = [(name, text) for name, text in notices.items()]
+    data += [(f"{name} comment", "int x;\n *\n" + "\n".join(" * " + x for x in text.split("\n")) + "\n *\nint y;") for name, text in notices.items()]
+    data += [("gpl words", "\n".join(notices["gpl"].split())), ("apart", "you can redistribute it and or modify\n\nit under the terms of the gnu general public license as")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(data, "doc_id string, text string")).collect()}
+    assert {k: r.families for k, r in got.items()} == {k: k.split()[0] if k != "apart" else "" for k, _ in data}
+    assert [f.line for f in got["gpl"].found][0] == 0
