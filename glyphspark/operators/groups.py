@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The syntaxes of rules, in the order of preference.
-_TAIL = r"(?:\|\s*)?\}\}"
-_DESC = r"\|\s*desc\s*=\s*[^|]*\s*"
-_ITEM = r"\{\{\s*(?:CI(?:tem(?:Hidden)?)?|CNoteA)\s*"
-TEMPLATES = [
-    (_ITEM + r"\|(?:\s*desc\s*=\s*[^|]*\s*\|)?\s*original\s*=\s*([^|]*?)\s*(?:" + _DESC + r")?\|\s*(?:1=)?\s*([^}]+)(?:" + _DESC + ")?" + _TAIL, 1, 2),
-    (_ITEM + "(?:" + _DESC + r")?\|\s*(?:1=)?\s*([^|]+)\s*(?:" + _DESC + r")?(?:\|\s*original\s*=\s*(.*?))?\s*(?:" + _DESC + ")?" + _TAIL, 2, 1),
-    (r"\{\{\s*CItemLan\s*\|\s*(?:[12]=)?\s*([^|]+)\s*(?:\|\s*(?:[12]=)?\s*(.*?))?\s*" + _TAIL, 2, 1),
-    (r"\{\{\s*CItemLan/R\s*\|\s*(?:[12]=)?\s*([^|]+)\|\s*(?:[12]=)?\s*(.*?)\s*" + _TAIL, 1, 2),
-]
+# Templates that hold a rule, by where the rule and its original stand.
+RULE_FIRST = ["CI", "CItem", "CItemHidden", "CNoteA", "CItemLan"]
+RULE_SECOND = ["CItemLan/R"]
+NAMED_ORIGINAL = ["CI", "CItem", "CItemHidden", "CNoteA"]
+HEADER = "CGroupH"
 _QUOTED = r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')"""
 # The size of the smallest page, and pages that are no groups.
 LEAST_SIZE = 66
@@ -39,29 +34,64 @@ def module_line(line: Column) -> Column:
     return F.when(F.startswith(s, F.lit("--")), None).when(table, by_key).when(F.regexp_like(s, F.lit(item)), by_place)
 
 
+def calls(text: Column) -> Column:
+    """array<struct<name, args: array<struct<key, value>>>> of the template calls of a text that hold no other call.
+
+    The bars of a call part its arguments, but for those of links. An argument
+    is named by what stands before its first equal sign, or else numbered;
+    an escaped equal sign, ``{{=}}``, names nothing and stays as it is.
+    """
+    escaped, bar = "\u0001", "\u0002"
+    t = F.replace(text, F.lit("{{=}}"), F.lit(escaped))
+    t = F.regexp_replace(t, r"(\[\[[^\[\]|]*)\|([^\[\]]*\]\])", f"$1{bar}$2")
+    shown = lambda x: F.replace(F.replace(x, F.lit(escaped), F.lit("{{=}}")), F.lit(bar), F.lit("|"))
+    name = r"^\s*([A-Za-z0-9]+)\s*=(?!>)"
+
+    def parsed(inner: Column) -> Column:
+        def of(parts: Column) -> Column:
+            args = F.slice(parts, 2, F.size(parts))
+            free = lambda x: ~F.regexp_like(x, F.lit(name))
+            number = lambda i: F.size(F.filter(F.slice(args, 1, i + 1), free)).cast("string")
+            pairs = F.transform(args, lambda x, i: F.when(free(x), F.struct(number(i).alias("key"), F.ltrim(shown(x)).alias("value"))).otherwise(F.struct(F.regexp_extract(x, name, 1).alias("key"), F.trim(shown(F.regexp_replace(x, name, ""))).alias("value"))))
+            return F.struct(F.trim(F.get(parts, F.lit(0))).alias("name"), pairs.alias("args"))
+
+        return F.get(F.transform(F.array(F.split(inner, r"\|", -1)), of), F.lit(0))
+
+    return F.transform(F.regexp_extract_all(t, F.lit(r"\{\{([^{}]*)\}\}"), F.lit(1)), parsed)
+
+
+def argument(call: Column, key: str) -> Column:
+    """The last value of an argument; null if the call has none."""
+    return F.try_element_at(F.filter(call["args"], lambda a: a["key"] == key), F.lit(-1))["value"]
+
+
 def template_line(line: Column) -> Column:
-    """struct<original, conv> of a template's rule; null if no syntax fits."""
-    out = None
-    for pattern, original, conv in TEMPLATES:
-        hit = F.regexp_like(line, F.lit(pattern))
-        value = F.struct(F.nullif(F.regexp_extract(line, pattern, original), F.lit("")).alias("original"), F.regexp_extract(line, pattern, conv).alias("conv"))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    """struct<original, conv> of the first rule template of a line that has a rule; null if there is none."""
+
+    def rule(call: Column) -> Column:
+        second = F.when(call["name"].isin(*NAMED_ORIGINAL), argument(call, "original")).otherwise(argument(call, "2"))
+        reverse = call["name"].isin(*RULE_SECOND)
+        original, conv = F.when(reverse, argument(call, "1")).otherwise(second), F.when(reverse, argument(call, "2")).otherwise(argument(call, "1"))
+        return F.struct(F.nullif(F.trim(original), F.lit("")).alias("original"), conv.alias("conv"))
+
+    rules = F.transform(F.filter(calls(line), lambda c: c["name"].isin(*RULE_FIRST, *RULE_SECOND)), rule)
+    return F.get(F.filter(rules, lambda r: F.length(F.trim(r["conv"])) > 0), F.lit(0))
 
 
 def header(text: Column) -> Column:
-    """struct<name, description> of a page; null if it has none. Language templates are stripped."""
-    t = F.regexp_replace(text, r"\{\{lang\|[a-zA-z]{2}\|([^}]+)\}\}", "$1")
-    name, desc = r"""name\s*=\s*(?:"(.+?)"|'(.+?)')""", r"""description\s*=\s*(?:"(.*?)"|'(.*?)')"""
-    template = r"\{\{\s*CGroupH\s*\|\s*name\s*=\s*([^|]+)\s*\|\s*desc\s*=\s*(.*?)\s*\}\}"
+    """struct<name, description> of a page, from assigned strings or else a header template; null if it has none. Language templates give their text."""
+    t = F.regexp_replace(text, r"\{\{\s*lang\s*\|[^{}|]*\|([^{}|]*)\}\}", "$1")
+    assigned = lambda word: r"(?<![\w.])" + word + r"\s*=\s*" + _QUOTED
+    name, desc = assigned("name"), assigned("description")
     module = F.struct(_pick(t, name, 1, 2).alias("name"), _pick(t, desc, 1, 2).alias("description"))
-    both = F.regexp_like(t, F.lit(name)) & F.regexp_like(t, F.lit(desc))
-    return F.when(both, module).when(F.regexp_like(t, F.lit(template)), F.struct(F.regexp_extract(t, template, 1).alias("name"), F.regexp_extract(t, template, 2).alias("description")))
+    both = F.regexp_like(t, F.lit(name)) & F.regexp_like(t, F.lit(desc)) & (module["name"] != "")
+    found = F.transform(F.filter(calls(t), lambda c: c["name"] == HEADER), lambda c: F.struct(argument(c, "name").alias("name"), argument(c, "desc").alias("description")))
+    return F.when(both, module).otherwise(F.get(F.filter(found, lambda h: h["name"].isNotNull() & h["description"].isNotNull()), F.lit(0)))
 
 
 def clean(conv: Column) -> Column:
     """A rule with escaped equal signs restored and notices' spans stripped."""
-    return F.regexp_replace(F.replace(conv, F.lit("{{=}}"), F.lit("=")), r"<span[^>]*>([^>]+)</span>", "$1")
+    return F.regexp_replace(F.replace(conv, F.lit("{{=}}"), F.lit("=")), r"(?i)</?span\b[^<>]*>", "")
 
 
 def is_group_page(title: Column, size: Column, snippet: Column) -> Column:
@@ -84,7 +114,7 @@ def combined_name(name: Column, description: Column) -> Column:
     """One name for a group: the one that holds the other, or both; links by their target."""
     n, d = F.trim(name), F.trim(description)
     both = F.when(F.contains(d, n), d).when(F.contains(n, d), n).otherwise(F.concat(n, F.lit(" / "), d))
-    return F.regexp_replace(both, r"\[\[(.+?)(\|.+?)?\]\]", "$1")
+    return F.regexp_replace(both, r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]", "$1")
 
 
 def pack(groups: DataFrame) -> DataFrame:

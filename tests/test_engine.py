@@ -190,6 +190,20 @@ def test_group_pages(spark):
     assert got["Template:CGroup/Y"].description == "述"
 
 
+def test_template_calls(spark):
+    lines = {
+        "x {{ CItemHidden | desc=q | zh-cn:丁{{=}}>|original=D}}": ("D", "zh-cn:丁{{=}}>"), "{{CItemLan|zh-cn:a;|Orig|}}": ("Orig", "zh-cn:a;"), "{{CItemLan/R|1=o|2=zh:1}}": ("o", "zh:1"),
+        "{{CI|1=zh-cn:a;zh-tw:[[b|c]]|desc=|original= [[x|y]] }}": ("[[x|y]]", "zh-cn:a;zh-tw:[[b|c]]"), "{{foo|{{CNoteA|甲=>zh-tw:乙}}}}": (None, "甲=>zh-tw:乙"), "{{Other|zh-cn:a}}": None, "{{CItem|original=X}}": None, "{{CI": None, "": None,
+    }
+    d = frame(spark, *lines, None)
+    assert [None if r is None else tuple(r) for r in column(d, groups.template_line(d.t))] == [*lines.values(), None]
+    pages = {"{{CGroupH|name={{lang|en|N}}|desc=}}": ("N", ""), "x{name = 'a', description = \"b\"}": ("a", "b"), "t.name = 'a' description='b'": None, "{{CGroupH|name=a}}": None}
+    d = frame(spark, *pages, None)
+    assert [None if r is None else tuple(r) for r in column(d, groups.header(d.t))] == [*pages.values(), None]
+    d = frame(spark, "zh-cn:<span class='x'>甲</span>;a{{=}}>zh-tw:b")
+    assert column(d, groups.clean(d.t)) == ["zh-cn:甲;a=>zh-tw:b"]
+
+
 def test_stream_equals_batch(spark, conv, tmp_path):
     d = frame(spark, "国学", None, "软件", "-{国}-国")
     d.repartition(3).write.parquet(str(tmp_path / "in"))
