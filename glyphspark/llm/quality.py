@@ -70,11 +70,22 @@ def features(text: Column) -> Column:
     return F.struct(let(words(t), of_words).alias("w"), let(lines, of_lines).alias("l"), symbols.alias("n_symbols"))
 
 
+KEY = ("__key1", "__key2")
+
+
+def _keys(id_col: str, text_col: str, host_col: str) -> list[Column]:
+    """Two hashes, 128 bits together, of the id, the text and the host. The verdict depends on text and host alone, so rows of equal keys share it."""
+    told = [F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.col(host_col).cast("string")]
+    marked = [x for c in told for x in (c.isNull(), c)]
+    return [F.xxhash64(*marked).alias(KEY[0]), F.xxhash64(F.lit(1), *marked).alias(KEY[1])]
+
+
 def judge(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """quality() with the id as ``id``, and ``key``, which names an id with its text."""
+    """quality() with the id as ``id``, the keys that name the row, and its boilerplate lines' hashes."""
     text = F.col(text_col).cast("string")
-    f = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), F.xxhash64(text).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host"), features(text).alias("f"))
-    base = f.select("row", "id", "key", "text", "host", "f.w.*", "f.n_symbols", "f.l.*")
+    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
+    f = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *_keys(id_col, text_col, host_col), F.xxhash64(text).alias("text"), host.alias("host"), features(text).alias("f"))
+    base = f.select("row", "id", *KEY, "text", "host", "f.w.*", "f.n_symbols", "f.l.*")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     base = materialize(base, "quality", narrow=True)
     hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
@@ -86,7 +97,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame
     removed = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed_lines"))
     out = base.join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (LEFT_PART * (F.col("n_words") - F.col("removed_words")) >= F.col("n_words"))
-    return out.select("id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed_lines", kept.alias("kept"))
+    return out.select("id", *KEY, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed_lines", kept.alias("kept"))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -96,26 +107,34 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     n_repeat_words, base_failed, removed_words (in boilerplate lines, repeats
     counted) and kept. A null or empty text has no words and fails. Every row
     is a document, equal ones too, but for lines of more than LINE_WORDS words,
-    which need so many distinct texts; a null host is a host of its own. Other
-    columns of df are not read. SQL leaves those long lines out, so it agrees
-    where none is above its host's limit.
+    which need so many distinct texts; a null host is a host of its own. An
+    empty table gives no rows. Other columns of df are not read.
     """
     j = judge(df, id_col, text_col, host_col)
     return j.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return df.select("*", *_keys(id_col, text_col, host_col))
+
+
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of df, with all their columns, that quality() keeps."""
-    gone = judge(df, id_col, text_col, host_col).filter("not kept").select(F.col("key").alias("__gone"))
-    return df.join(gone, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")) == gone["__gone"], "left_anti")
+    """The rows of df, with all their columns, that quality() keeps.
+
+    Each row goes by its own verdict: one id may stand with several texts or
+    at several hosts. Repeated rows stay or go together; null and empty texts
+    go; an empty table stays empty. Columns of any names pass through.
+    """
+    gone = judge(df, id_col, text_col, host_col).filter("not kept").select(*KEY)
+    return _keyed(df, id_col, text_col, host_col).join(gone, list(KEY), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of df that quality() keeps, their texts without the lines it takes for boilerplate."""
-    told = judge(df, id_col, text_col, host_col).filter("kept").groupBy(F.col("key").alias("__kept")).agg(F.first("removed_lines", ignorenulls=True).alias("__lines"))
-    rows = df.join(told, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")) == told["__kept"])
+    """The rows of keep(), their texts without the lines that quality() takes for boilerplate at their host."""
+    told = judge(df, id_col, text_col, host_col).filter("kept").groupBy(*KEY).agg(F.first("removed_lines", ignorenulls=True).alias("__lines"))
+    rows = _keyed(df, id_col, text_col, host_col).join(told, list(KEY))
     left = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("__lines", F.xxhash64(normalised(x))))
-    return rows.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*df.columns)
+    return rows.withColumn(text_col, F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 SQL = rf"""
@@ -127,9 +146,10 @@ cov AS (SELECT r, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW})))::BIGINT AS n
 ln AS (SELECT r, host, unnest(string_split(t, chr(10))) AS x FROM d),
 lw AS (SELECT r, host, x, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM ln WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, (count(*) - count(DISTINCT x))::BIGINT AS n FROM lw GROUP BY r),
-short AS (SELECT r, host, norm, sum(len(string_split(norm, ' '))) AS n FROM lw WHERE len(string_split(norm, ' ')) <= {LINE_WORDS} GROUP BY ALL),
-often AS (SELECT s.host, norm FROM short s GROUP BY s.host, norm HAVING count(*) > {LINE_DOCS} AND count(*) > {LINE_SHARE} * (SELECT count(*) FROM d WHERE d.host = s.host)),
-rem AS (SELECT r, sum(n)::BIGINT AS n FROM short JOIN often USING (host, norm) GROUP BY r),
+line AS (SELECT r, host, norm, len(string_split(norm, ' ')) > {LINE_WORDS} AS long, sum(len(string_split(norm, ' '))) AS n FROM lw GROUP BY ALL),
+by_text AS (SELECT l.host, norm, CASE WHEN long THEN 1 ELSE count(*) END AS n FROM line l JOIN (SELECT r, md5(t) AS m FROM d) USING (r) GROUP BY l.host, norm, long, m),
+often AS (SELECT b.host, norm FROM by_text b GROUP BY b.host, norm HAVING sum(n) > {LINE_DOCS} AND sum(n) > {LINE_SHARE} * (SELECT count(*) FROM d WHERE d.host = b.host)),
+rem AS (SELECT r, sum(n)::BIGINT AS n FROM line JOIN often USING (host, norm) GROUP BY r),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
       coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(rem.n, 0) AS removed_words FROM w LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN rem USING (r))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,

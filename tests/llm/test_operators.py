@@ -356,6 +356,41 @@ def test_long_boilerplate_lines(spark):
     assert {r.doc_id: r.text for r in quality.cleaned(df).collect()}[3] == prose(3, 50)
 
 
+def slow_verdicts(rows, share=0.01):
+    """kept for each (id, text, host): base rules, then lines counted by host."""
+    norm = lambda x: " ".join(SPACE.findall(x)).lower()
+    docs, seen = Counter(h for _, _, h in rows), defaultdict(Counter)
+    for _, t, h in rows:
+        for x in {norm(x) for x in (t or "").split("\n") if SPACE.search(x)}:
+            seen[h, x][t] += 1
+    often = {(h, x) for (h, x), n in seen.items() for total in [len(n) if len(x.split(" ")) > 24 else sum(n.values())] if total > 10 and total > docs[h] * share}
+    out = []
+    for _, t, h in rows:
+        n, *_, failed = slow_quality(t)
+        gone = sum(len(SPACE.findall(x)) for x in (t or "").split("\n") if SPACE.search(x) and (h, norm(x)) in often)
+        out.append(not failed and 3 * (n - gone) >= n)
+    return out
+
+
+def test_keep_goes_by_each_row(spark, docs, rows, empty):
+    prose = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    notice = "\n".join(f"n{k} share this page with friends" for k in range(10))
+    data = [(k, f"{prose(k, 200)}\n{notice.upper()}", "h") for k in range(15)]
+    data += [(1, f"{notice}\n{prose(1, 21)}", h) for h in ("h", "z", None)] + [(1, prose(1, 21), "h"), (1, "short", "h"), (None, f"{notice}\n{prose(1, 21)}", "h"), (None, None, None), (7, "", "h")] * 2
+    want = Counter(r for r, kept in zip(data, slow_verdicts(data), strict=True) if kept)
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in data], "doc_id long, text string, source string, row int, h int, key int, host int").repartition(4)
+    assert Counter((r.doc_id, r.text, r.source) for r in quality.keep(df).collect()) == want
+    # rejected by lines alone
+    assert not slow_quality(f"{notice}\n{prose(1, 21)}")[5] and (1, f"{notice}\n{prose(1, 21)}", "h") not in want and want[1, f"{notice}\n{prose(1, 21)}", "z"] == 1
+    clean = Counter((r.doc_id, r.text, r.source) for r in quality.cleaned(df).collect())
+    assert clean[3, prose(3, 200), "h"] == 1 and sum(clean.values()) == sum(want.values())
+    assert quality.keep(df).columns == df.columns == quality.cleaned(df).columns
+    three = [(r[0], r[1], r[3]) for r in rows]
+    assert sorted(quality.quality(docs).select("kept").toPandas()["kept"].tolist()) == sorted(slow_verdicts(three))
+    assert Counter((r.doc_id, r.text, r.source) for r in quality.keep(docs).collect()) == Counter(r for r, kept in zip(three, slow_verdicts(three), strict=True) if kept)
+    assert quality.keep(empty).count() == 0 and quality.cleaned(empty).count() == 0
+
+
 # ---- passages
 
 
