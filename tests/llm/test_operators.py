@@ -113,9 +113,17 @@ def test_overlap_resynchronisation():
     for k in range(60):
         t = "".join(r.choice(alphabet) for _ in range(r.randint(300, 1200)))
         t = t.replace(" ", "") if k % 3 == 0 else "a" * 900 + t if k % 10 == 1 else t
-        assert token_counts.count_huge(tok, t, chunk=r.choice([64, 100, 300]), overlap=r.choice([8, 40])) == len(tok.encode(t, add_special_tokens=False).ids)
-        c = token_counts.Counter(token_counts.tokenizer_path(token_counts.MODEL), memory=50)
-        assert c.count([t]) == [len(tok.encode(t, add_special_tokens=False).ids)]
+        want = len(tok.encode(t, add_special_tokens=False).ids)
+        assert token_counts.counts(tok, ["", t, t[:70]], chunk=r.choice([64, 100, 300]), overlap=r.choice([8, 40])) == [0, want, len(tok.encode(t[:70], add_special_tokens=False).ids)]
+    for t in ("a" * 30_000, "中" * 20_000, "ab cd\n" * 5000, "x" * 9000 + " y" * 9000, "<|endoftext|>" * 900, " " * 10_000):
+        assert token_counts.counts(tok, [t]) == [len(tok.encode(t, add_special_tokens=False).ids)]
+
+
+def test_spans_overlap():
+    for n in (1, 63, 64, 65, 120, 121, 1000):
+        got = token_counts.spans(n, 64, 8)
+        assert got[0][0] == 0 and got[-1][1] == n and all(b - c == 8 and b - a == 64 for (a, b), (c, _) in zip(got, got[1:], strict=False))
+    assert token_counts.spans(0) == []
 
 
 # ---- media
