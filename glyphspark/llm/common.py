@@ -61,32 +61,58 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _scan(values: Column, start: Column) -> Column:
+Step = Callable[[Column, Column], Column]
+
+
+def _scan(values: Column, start: Column, step: Step) -> Column:
     zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
     return F.aggregate(
         values,
         zero,
-        lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+        lambda a, v: F.struct(step(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
         lambda a: a["out"],
     )
 
 
-def exclusive_sums(values: Column, block: int = 256) -> Column:
-    """For each element of an array of longs, the sum of those before it.
+def exclusive_scan(values: Column, start: Column, step: Step, block: int = 256) -> Column:
+    """For each element of an array of longs, what ``step`` makes of those before it, from ``start``, which changes nothing.
 
-    Sums go by blocks: appending to an array copies it, so one pass over n
+    Scans go by blocks: appending to an array copies it, so one pass over n
     elements would take time in n squared.
     """
 
-    def blocks(v: Column) -> Column:
-        n = F.greatest(F.size(v), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(v, b * block + 1, block))
-
     def joined(bs: Column) -> Column:
-        sums = F.transform(bs, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
-        return F.flatten(F.zip_with(bs, _scan(sums, F.lit(0).cast("long")), lambda b, at: _scan(b, at)))
+        totals = F.transform(bs, lambda b: F.aggregate(b, start, step))
+        return F.flatten(F.zip_with(bs, _scan(totals, start, step), lambda b, at: _scan(b, at, step)))
+
+    return let(let(values, lambda v: in_blocks(v, block)), joined)
+
+
+def in_blocks(values: Column, block: int) -> Column:
+    """An array as an array of arrays of so many elements; one empty one for an empty array."""
+    n = F.greatest(F.size(values), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, block))
+
+
+def exclusive_sums(values: Column) -> Column:
+    return exclusive_scan(values, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+#: Code points of a block of a text.
+BLOCK = 4096
+
+
+def text_blocks(text: Column) -> Column:
+    """A text as an array of blocks, for cut(): a substring is found by counting characters from the start of a text, so many of a long one would take time in its square."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
 
-    return let(let(values, blocks), joined)
+def cut(blocks: Column, at: Column, n: Column) -> Column:
+    """The n characters from a place, counted from 0, of a text in blocks."""
+    at, n = at.cast("int"), n.cast("int")
+    first = F.shiftright(at, BLOCK.bit_length() - 1)
+    last = F.shiftright(at + F.greatest(n, F.lit(1)) - 1, BLOCK.bit_length() - 1)
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), at - first * BLOCK + 1, n)
 
 
 def tokenizer_path(name: str) -> str:

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 UNIT = 576
 #: Blocks that a side of an image can have: sides are below 2**16 samples.
 MOST = 65535 // 8
-#: Bytes of payload that are encoded or decoded at once.
+#: Bytes of payload that are encoded or decoded at once, and that one file holds; a longer payload takes several files, end to end.
 BATCH = 1 << 22
+PART = BATCH // UNIT * UNIT
 #: ITU-T T.81, table K.3: codes of each length from 1 to 16 for luminance DC categories 0 to 11. Fixed values.
 DC_LENGTHS = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
 DC_VALUES = bytes(range(12))
@@ -138,10 +139,10 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 class Parsed:
     """What the markers of a baseline JPEG file say, and its entropy-coded segments."""
 
-    def __init__(self, file: bytes):
-        if file[:2] != b"\xff\xd8":
+    def __init__(self, file: bytes, at: int = 0):
+        if file[at : at + 2] != b"\xff\xd8":
             raise ValueError("not a JPEG file")
-        self.quant, self.tables, self.restart, at = {}, {}, 0, 2
+        self.quant, self.tables, self.restart, at = {}, {}, 0, at + 2
         while True:
             while file[at : at + 2] == b"\xff\xff":
                 at += 1
@@ -201,6 +202,17 @@ class Parsed:
             at = end + 2
             if left > 0 and not 0xD0 <= file[end + 1 : end + 2][0] <= 0xD7:
                 raise ValueError("the scan ends early")
+        self.end = at
+
+
+def read_back(media: bytes, n: int) -> bytes:
+    """The first n samples of the thumbnails of files that stand end to end."""
+    at, out = 0, []
+    while at < len(media):
+        p = Parsed(media, at)
+        out.append(decode_thumbnails([p])[0].tobytes()[: n - PART * len(out)])
+        at = p.end
+    return b"".join(out)
 
 
 def decode_thumbnails(files: list[Parsed]) -> list[np.ndarray]:
@@ -300,41 +312,68 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     The text's UTF-8 bytes, filled up with 255, are the thumbnail's samples in
     rows. Returns the id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, feature (dimensions and thumbnail hash) and,
-    with files=True, media. A null or empty text is one unit of 255s. Texts
-    are taken in groups of a bounded number of bytes; one file holds up to
-    66 million bytes, and a longer text is an error. Equal texts give equal
-    values; each row gives one row; other columns of df are not read.
+    with files=True, media. A null or empty text is one unit of 255s; an empty
+    table gives no rows. A payload above PART bytes is stored as several files
+    end to end, with their features joined by semicolons, so a text of any
+    length is taken in parts of a bounded size. Equal texts give equal values;
+    each row gives one row; other columns of df are not read.
     """
     kind = df.select(id_col).schema[0].dataType.simpleString()
 
+    def stored(parts: list[tuple[int, bytes]], rows: list[_Row]) -> None:
+        files_ = encode([p for _, p in parts])
+        parsed = [Parsed(f) for f in files_]
+        for (i, p), f, q, thumb in zip(parts, files_, parsed, decode_thumbnails(parsed), strict=True):
+            rows[i].take(f, thumb.tobytes()[: len(p)], feature(q, thumb), files)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, n = at, 0
-                while to < len(texts) and (to == at or n + len(texts[to]) <= BATCH):
-                    n += len(texts[to]) + UNIT
-                    to += 1
-                group = texts[at:to]
-                sizes = [len(payload(t)) for t in group]
-                stored = encode([payload(t) for t in group])
-                parsed = [Parsed(f) for f in stored]
-                thumbs = decode_thumbnails(parsed)
-                back = [t.tobytes()[:n] for t, n in zip(thumbs, sizes, strict=True)]
-                cols = [
-                    batch.column(0).slice(at, to - at), pa.array([len(t) for t in group], pa.int64()), pa.array([len(p) for p in back], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in back]), pa.array([zlib.crc32(p[-32:]) for p in back], pa.int64()),
-                    pa.array([len(f) for f in stored], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in stored]), pa.array([feature(p, t) for p, t in zip(parsed, thumbs, strict=True)]),
-                ]
-                names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(stored, pa.binary())] * files, names=names + ["media"] * files)
-                at = to
+            rows: list[_Row] = []
+            held: list[tuple[int, bytes]] = []
+            size = 0
+            for i, t in enumerate(batch.column(1)):
+                text = t.as_py() or b""
+                rows.append(_Row(len(text)))
+                whole = payload(text)
+                for at in range(0, len(whole), PART):
+                    part = whole[at : at + PART]
+                    if held and size + len(part) > BATCH:
+                        stored(held, rows)
+                        held, size = [], 0
+                    held.append((i, part))
+                    size += len(part)
+            if held:
+                stored(held, rows)
+            cols = [
+                batch.column(0), pa.array([r.n_bytes for r in rows], pa.int64()), pa.array([r.payload_bytes for r in rows], pa.int64()), pa.array([r.payload_sha.hexdigest() for r in rows], pa.string()), pa.array([zlib.crc32(r.tail) for r in rows], pa.int64()),
+                pa.array([r.media_bytes for r in rows], pa.int64()), pa.array([r.media_sha.hexdigest() for r in rows], pa.string()), pa.array([";".join(r.features) for r in rows], pa.string()),
+            ]
+            names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array([b"".join(r.media) for r in rows], pa.binary())] * files, names=names + ["media"] * files)
 
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * files
     return df.select(F.col(id_col), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, schema)
 
 
+class _Row:
+    """What is known of a row's stored files and of what was read back from them."""
+
+    def __init__(self, n_bytes: int):
+        self.n_bytes, self.payload_bytes, self.media_bytes = n_bytes, 0, 0
+        self.payload_sha, self.media_sha, self.tail = hashlib.sha256(), hashlib.sha256(), b""
+        self.features, self.media = [], []
+
+    def take(self, file: bytes, back: bytes, told: str, keep: bool) -> None:
+        self.payload_bytes += len(back)
+        self.media_bytes += len(file)
+        self.payload_sha.update(back)
+        self.media_sha.update(file)
+        self.tail = (self.tail + back[-32:])[-32:]
+        self.features.append(told)
+        if keep:
+            self.media.append(file)
+
+
 def describe_media(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """Width, height and thumbnail hash of a column of baseline JPEG files; null for null, and an error text for what can't be read."""
     kind = df.select(id_col).schema[0].dataType.simpleString()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import as_column, calibrated_threshold, fit, log_odds
-from .common import exclusive_sums, let
+from .common import cut, exclusive_scan, exclusive_sums, in_blocks, let, text_blocks
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
 BASE = KINDS[:4]
@@ -204,13 +204,23 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: li
     def judged(kind: str) -> Column:
         trees, least = fitted[kind]
 
-        def good(m: Column) -> Column:
-            before = F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(m["start"], F.lit(CONTEXT)).cast("int"))
-            fs = F.struct(*[c.alias(n) for c, n in zip(candidate_features(m["s"], before), FEATURES, strict=True)])
+        def good(m: Column, blocks: Column) -> Column:
+            at = F.greatest(m["start"] - CONTEXT, F.lit(0))
+            fs = F.struct(*[c.alias(n) for c, n in zip(candidate_features(m["s"], cut(blocks, at, m["start"] - at)), FEATURES, strict=True)])
             return let(fs, lambda f: as_column(trees, [f[n] for n in FEATURES]) >= F.lit(least))
 
-        free = F.filter(matches(text, PATTERNS[kind][1]), lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-        return F.transform(F.filter(free, good), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+        chosen = let(free(matches(text, PATTERNS[kind][1])), lambda ms: F.when(F.size(ms) == 0, ms).otherwise(let(text_blocks(text), lambda blocks: F.filter(ms, lambda m: good(m, blocks)))))
+        return F.transform(chosen, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+
+    def free(candidates: Column) -> Column:
+        """Candidates that overlap no base span. Base spans are sorted, and blocks of them are passed over by their first start and last end."""
+        block = lambda b: F.struct(F.array_min(F.transform(b, lambda x: x["start"])).alias("first"), F.array_max(F.transform(b, lambda x: x["end"])).alias("last"), b.alias("of"))
+
+        def outside(bs: Column) -> Column:
+            meets = lambda m: F.exists(bs, lambda b: (b["first"] < m["end"]) & (m["start"] < b["last"]) & F.exists(b["of"], lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
+            return F.filter(candidates, lambda m: ~meets(m))
+
+        return F.when(F.size("base") == 0, candidates).otherwise(let(F.transform(in_blocks(F.col("base"), 64), block), outside))
 
     rows = rows.withColumn("base", F.array_sort(F.concat(*[base(k) for k in BASE])))
     return rows.withColumn("more", F.array_sort(F.concat(judged("secret"), judged("number"))))
@@ -237,18 +247,22 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """The id, the text with each span replaced by its kind in angle brackets, n_spans, and the columns in ``keep``.
 
     Where spans overlap, the one that starts first names what both cover. A
-    null text stays null.
+    null text stays null, an empty one empty. Repeated rows each give a row;
+    an empty table gives none; a kept column may have any name but the id's
+    and the text's. Time is in proportion to the text and its spans.
     """
     f = find(df, id_col, text_col, [*(keep or []), text_col])
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    text = F.col("text")
 
-    def step(a: Column, s: Column) -> Column:
-        kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-        piece = F.concat(F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.element_at(kinds, s["kind"] + 1))
-        out = F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(piece))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+    def clean(spans: Column, blocks: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        before = exclusive_scan(ends, F.lit(0).cast("long"), F.greatest)  # where what earlier spans cover ends
+        piece = lambda s, at: F.when(s["start"] >= at, F.concat(cut(blocks, at, s["start"] - at), F.element_at(kinds, s["kind"] + 1))).otherwise("")
+        rest = let(F.array_max(ends), lambda at: cut(blocks, at, F.length(text) - at))
+        return F.concat(F.array_join(F.zip_with(spans, before, piece), ""), rest)
 
     spans = F.array_sort(F.concat("base", "more"))
-    clean = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col(f"keep_{text_col}").isNull(), F.lit(None).cast("string")).when(F.size(spans) == 0, F.col("text")).otherwise(clean)
-    return f.select(F.col("id").alias(id_col), text.alias(text_col), F.size(spans).alias("n_spans"), *[F.col(f"keep_{c}").alias(c) for c in keep or []])
+    told = let(spans, lambda s: let(text_blocks(text), lambda blocks: clean(s, blocks)))
+    shown = F.when(F.col(f"keep_{text_col}").isNull(), F.lit(None).cast("string")).when(F.size("base") + F.size("more") == 0, text).otherwise(told)
+    return f.select(F.col("id").alias(id_col), shown.alias(text_col), (F.size("base") + F.size("more")).alias("n_spans"), *[F.col(f"keep_{c}").alias(c) for c in keep or []])

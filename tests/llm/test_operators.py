@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -173,9 +174,10 @@ def test_media(docs, rows, empty):
     expected = Counter(media.payload((t or "").encode()) for _, t, *_ in rows)
     got = Counter()
     for r in out:
-        p = media.Parsed(bytes(r.media))
-        back = media.decode_thumbnails([p])[0].tobytes()[: r.payload_bytes]
+        back = media.read_back(bytes(r.media), r.payload_bytes)
         got[back] += 1
+        p = media.Parsed(bytes(r.media))
+        assert r.tail_crc32 == zlib.crc32(back[-32:]) and r.n_bytes == len(back.rstrip(b"\xff")) and r.feature.startswith(f"{p.width}x{p.height}:")
         assert hashlib.sha256(back).hexdigest() == r.payload_sha256 and r.payload_bytes % media.UNIT == 0 < r.payload_bytes
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
     assert got == expected
@@ -184,6 +186,29 @@ def test_media(docs, rows, empty):
     assert media.text_media(empty).count() == 0
 
 
+def test_media_long_texts(spark):
+    texts = {1: "é" * (5 * media.PART // 4), 2: "a" * media.PART, 3: "b", 4: "b"}
+    out = {r.doc_id: r for r in media.text_media(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        want = media.payload(t.encode())
+        assert media.read_back(bytes(out[i].media), len(want)) == want and out[i].payload_sha256 == hashlib.sha256(want).hexdigest()
+        assert (out[i].n_bytes, out[i].payload_bytes, out[i].tail_crc32) == (len(t.encode()), len(want), zlib.crc32(want[-32:]))
+        assert out[i].feature.count(";") == len(want) // (media.PART + 1) and out[i].media_sha256 == hashlib.sha256(out[i].media).hexdigest()
+    assert out[3].media == out[4].media
+
+
+def test_thumbnail_hash_by_hand():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 576), (3, 576), (16, 18), (9, 1)):
+        t = rng.integers(0, 256, shape).astype(np.uint8)
+        cuts = lambda n, k: [min(i * n // k, n - 1) for i in range(k)]
+        end = lambda c, j, n: max(c[j + 1] if j + 1 < len(c) else n, c[j] + 1)
+        r, c = cuts(shape[0], 8), cuts(shape[1], 9)
+        mean = [[t[r[i] : end(r, i, shape[0]), c[j] : end(c, j, shape[1])].astype(int).mean() for j in range(9)] for i in range(8)]
+        bits = "".join(str(int(mean[i][j + 1] > mean[i][j])) for i in range(8) for j in range(8))
+        assert media.thumbnail_hash(t) == f"{int(bits, 2):016x}"
+
+
 def test_media_wide_and_bad_files(spark):
     big = media.payload(b"ab\xff" * 1_800_000)
     p = media.Parsed(media.encode([big])[0])
