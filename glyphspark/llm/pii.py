@@ -257,7 +257,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     def clean(spans: Column, blocks: Column) -> Column:
         ends = F.transform(spans, lambda s: s["end"])
-        before = exclusive_scan(ends, F.lit(0).cast("long"), F.greatest)  # where what earlier spans cover ends
+        before = exclusive_scan(ends, F.lit(0).cast("long"), lambda a, b: F.greatest(a, b))  # where what earlier spans cover ends
         piece = lambda s, at: F.when(s["start"] >= at, F.concat(cut(blocks, at, s["start"] - at), F.element_at(kinds, s["kind"] + 1))).otherwise("")
         rest = let(F.array_max(ends), lambda at: cut(blocks, at, F.length(text) - at))
         return F.concat(F.array_join(F.zip_with(spans, before, piece), ""), rest)
