@@ -8,7 +8,8 @@ sends each shard of the key space one compressed message with its distinct
 keys in order, and the shard answers with one message aligned to it. A key
 that a third of all documents hold thus counts once for each chunk, shards are
 even, and a task's memory is bounded by a chunk (or the longest document) or
-a shard.
+a shard. Chunks grow with the number of shards, so that messages stay in
+proportion to the keys.
 """
 
 from __future__ import annotations
@@ -24,10 +25,36 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bytes of text in a chunk, about: its row stays below what the JVM calls a humongous object when compressed; keys in a shard, at most.
-CHUNK = 1 << 20
-SHARD_KEYS = 16 << 20
-LEAST_SHARDS = 32
+#: Bytes of text in a chunk, about, at least and at most: a small one stays below what the JVM calls a humongous object when compressed.
+CHUNK, MOST_CHUNK = 1 << 20, 64 << 20
+#: Keys in a shard at most, for corpora of up to MANY shards and for larger ones.
+SHARD_KEYS, LARGE_SHARD_KEYS = 16 << 20, 64 << 20
+LEAST_SHARDS, MANY = 32, 8192
+#: Keys of a chunk for each shard, at least, as long as chunks may grow.
+MESSAGE_KEYS = 64
+
+
+def sizes(total: int, key_bytes: float) -> tuple[int, int]:
+    """Bytes of a chunk, and the number of shards (a power of two), for a corpus of so many bytes with a key in each key_bytes.
+
+    Messages number chunks times shards. So that they stay in proportion to the
+    keys, chunks grow with the shards: a message holds MESSAGE_KEYS keys or
+    more, until chunks are MOST_CHUNK bytes.
+    """
+    keys = max(1, total / key_bytes)
+    shards = shard_count(keys)
+    return int(min(MOST_CHUNK, max(CHUNK, MESSAGE_KEYS * shards * key_bytes))), shards
+
+
+def shard_count(keys: float) -> int:
+    power = lambda n: 1 << max(0, math.ceil(math.log2(max(1, n))))
+    shards = power(keys / SHARD_KEYS)
+    return max(LEAST_SHARDS, shards if shards <= MANY else max(MANY, power(keys / LARGE_SHARD_KEYS)))
+
+
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes of all texts, as UTF-8; a pass over that column."""
+    return df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long")).alias("n")).first()["n"] or 0
 
 
 def squeeze(data: bytes) -> bytes:
@@ -113,11 +140,6 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return out
 
 
-def shard_count(keys: int) -> int:
-    """A power of two."""
-    return max(LEAST_SHARDS, 1 << math.ceil(math.log2(max(1, keys / SHARD_KEYS))))
-
-
 def tell(chunks: DataFrame, say: Callable[[Chunk], Iterator[tuple[int, list[bytes]]]], parts: int) -> DataFrame:
     """The messages (shard, chunk, p0, p1, ...) of each chunk."""
 
@@ -212,3 +234,44 @@ def estimated_repeated(keys: np.ndarray, got: list[dict], rows: int, bits: int,
         if flags:
             out &= np.concatenate(flags).astype(bool)[back]
     return out
+
+
+def say_counts(keys: np.ndarray, bits: int, shards: int) -> Iterator[tuple[int, list[bytes]]]:
+    """As say_cells() for a sketch of one row, with the chunk's count of each cell, up to 255."""
+    width = bits - (shards.bit_length() - 1)
+    c, n = np.unique(cells(keys, 0, bits), return_counts=True)
+    cuts = np.searchsorted(c, np.arange(shards + 1, dtype=np.uint64) << np.uint64(width))
+    for s in range(shards):
+        a, b = cuts[s], cuts[s + 1]
+        if b > a:
+            yield s, [pack_sorted(c[a:b] - (np.uint64(s) << np.uint64(width)), width), squeeze(np.minimum(n[a:b], 255).astype(np.uint8).tobytes())]
+
+
+def merge_counts(width: int, often: int) -> Callable[[list[dict]], list[bytes]]:
+    """Adds up the parts of a sketch's shard; says of each cell sent whether its count is 2 or more, and whether it is ``often`` (below 255) or more."""
+
+    def reply(rows: list[dict]) -> list[bytes]:
+        total = np.zeros(1 << width, np.uint8)
+        for r in rows:
+            c = unpack_sorted(r["p0"])
+            n = np.frombuffer(unsqueeze(r["p1"]), np.uint8)
+            total[c] = np.minimum(total[c].astype(np.uint16) + n, 255)
+        told = (total[unpack_sorted(r["p0"])] for r in rows)
+        return [np.packbits(n > 1).tobytes() + np.packbits(n >= often).tobytes() for n in told]
+
+    return reply
+
+
+def estimated_classes(keys: np.ndarray, got: list[dict], bits: int, shards: int) -> np.ndarray:
+    """For each key of a chunk, from the answers to say_counts: 0 if the merged sketch counts it once, 1 if twice or more, 2 if often."""
+    width = bits - (shards.bit_length() - 1)
+    told = {g["shard"]: g["bits"] for g in got}
+    c, back = np.unique(cells(keys, 0, bits), return_inverse=True)
+    cuts = np.searchsorted(c, np.arange(shards + 1, dtype=np.uint64) << np.uint64(width))
+    out = [np.zeros(0, np.uint8)]
+    for s in range(shards):
+        n = int(cuts[s + 1] - cuts[s])
+        if n:
+            both = np.frombuffer(told[s], np.uint8).reshape(2, -1)
+            out.append(np.unpackbits(both, axis=1, count=n).sum(axis=0, dtype=np.uint8))
+    return np.concatenate(out)[back]

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import CHUNK, Chunk, answer, estimated_repeated, merge_cells, message_schema, pack, resume, say_cells, shard_count, squeeze, tell, unsqueeze
+from .chunked import Chunk, answer, estimated_repeated, merge_cells, message_schema, pack, resume, say_cells, sizes, squeeze, tell, text_bytes, unsqueeze
 from .common import materialize
 
 WINDOW = 50
 ROWS, CELLS = 2, 4
+#: Bytes of a text for each word, about.
+WORD_BYTES = 6
 #: Remembered word hashes of a worker.
 MEMORY = 1 << 19
 NO_ID = np.iinfo(np.int64).max
@@ -126,19 +128,20 @@ def least_documents(rows: list[dict]) -> list[bytes]:
     return out
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk: int = CHUNK, texts: bool = True) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk: int | None = None, texts: bool = True) -> DataFrame:
     """The words of each row less those covered by a window that starts in a document of smaller id.
 
     Returns the id, n_words, n_removed, kept_sha256 and, with texts=True, kept
     (the words left, joined by a space). Null, empty and short texts lose
     nothing. Rows of equal id don't take from each other; a row with a null id
-    counts as the greatest and loses to every other. Each row gives one row;
-    other columns of df are not read.
+    counts as the greatest and loses to every other. Ids are whole numbers.
+    Each row gives one row, an empty table none; other columns of df are not
+    read, which is done twice: for the size of the texts and for the texts.
     """
-    chunks = pack(df, id_col, text_col, chunk)
-    size = chunks.agg(F.sum("bytes").alias("b")).first()["b"] or 0
-    keys = max(1, size // 6)  # words, about
-    shards = shard_count(keys)
+    size = text_bytes(df, text_col)
+    keys = max(1, size // WORD_BYTES)
+    fit, shards = sizes(size, WORD_BYTES)
+    chunks = pack(df, id_col, text_col, chunk or fit)
     bits = max((keys * CELLS - 1).bit_length(), shards.bit_length() + 2)
     width = bits - (shards.bit_length() - 1)
 

@@ -6,36 +6,53 @@ anchors at the same place, so only suffixes that begin at anchors, one in about
 70, need to be sorted, and each carries the text of all strings with that
 anchor. Nothing is lost, as every string has an anchor.
 
-Chunks first learn which anchors occur twice at all (see chunked.py). The
-suffixes of those go to buckets: splitters, sampled from the leading tokens of
-suffixes, range-partition them; a token is 8 bytes. A bucket sorts its suffixes
-by multikey quicksort over tokens, those that are still equal by the next
-token. Suffixes of one anchor are thus neighbours. Where an anchor's suffixes
-differ, their 200-byte strings are sorted in the same way and compared with
-their neighbours. Equal leading tokens share a bucket, so that what a boundary
-parts differs within 8 bytes, and no string of 200 crosses one; buckets check
-this against the splitters. Equal suffixes of a chunk are sent once, with a
-mark, so copies make no hot bucket.
+Chunks first learn which anchors occur twice at all, and which occur often
+(see chunked.py). The suffixes of those go to buckets: splitters, sampled from
+the leading tokens of suffixes, range-partition them; a token is 8 bytes. A
+splitter is as long as an anchor, so anchors with the same first tokens are
+parted by those that follow, and a bucket can be as small as one anchor. A
+bucket sorts its suffixes by multikey quicksort over tokens, those that are
+still equal by the next token. Suffixes of one anchor are thus neighbours.
+Where an anchor's suffixes differ, their 200-byte strings are sorted in the
+same way and compared with their neighbours.
+
+An anchor that occurs often, such as one inside a phrase that many texts share,
+would still make a hot bucket. Its strings are taken in pieces of 17 by the
+anchor's place in them. All strings of a piece share 184 bytes, which are the
+piece's leading tokens: pieces have splitters of their own, of that length.
+Equal strings have equal anchors at equal places, so they are in pieces with
+equal leading tokens. Equal leading tokens always share a bucket: what a
+boundary parts differs within them, and no string of 200 crosses one; buckets
+check this against the splitters. Equal suffixes of a chunk are sent once, with
+a mark, so copies make no hot bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import CHUNK, Chunk, answer, estimated_repeated, merge_cells, message_schema, pack, resume, say_cells, shard_count, squeeze, tell, unsqueeze
+from .chunked import Chunk, answer, estimated_classes, merge_counts, message_schema, pack, resume, say_counts, sizes, squeeze, tell, text_bytes, unsqueeze
 from .common import materialize
 from .substring_dedup import rolling
 
 LENGTH, ANCHOR, TOKEN = 200, 64, 8
 CELLS = 16
-#: Bytes of input for each bucket; places that are hashed at once; chunks and tokens of a chunk in the sample of splitters.
-BUCKET, SLICE, SAMPLE_CHUNKS, SAMPLE_TOKENS = 4 << 20, 1 << 20, 64, 512
+#: Occurrences from which an anchor occurs often; strings of a piece.
+OFTEN, PIECE = 64, 17
+#: Bytes of input for each bucket; places that are hashed at once.
+BUCKET, SLICE = 4 << 20, 1 << 20
+#: Keys in the sample for each splitter, of a chunk, and splitters at most, which the driver holds: beyond, the keys between two splitters are parted by a hash.
+SAMPLE, SAMPLE_OF_CHUNK, MOST_SPLITTERS = 32, 512, 1 << 14
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -115,37 +132,75 @@ def multikey_sort(data: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return order, new
 
 
+class Buckets:
+    """The range partition of keys: those of anchors (kind 0) and those of pieces (kind 1), each with splitters of its length."""
+
+    def __init__(self, splitters: list[list[bytes]], parts: int = 1, length: int = LENGTH, anchor: int = ANCHOR):
+        self.splitters, self.parts = splitters, parts
+        self.key_bytes = (anchor, length - PIECE + 1)
+        self.begin = (0, (len(splitters[0]) + 1) * parts)
+
+    def of(self, kind: int, key: bytes) -> int:
+        return self.begin[kind] + bisect_right(self.splitters[kind], key) * self.parts + (zlib.crc32(key) % self.parts if self.parts > 1 else 0)
+
+    def kind(self, bucket: int) -> int:
+        return int(bucket >= self.begin[1])
+
+    def holds(self, bucket: int, key: bytes) -> bool:
+        """Whether a key is on the right side of the bucket's boundaries."""
+        kind = self.kind(bucket)
+        at, splitters = (bucket - self.begin[kind]) // self.parts, self.splitters[kind]
+        return (at == 0 or splitters[at - 1] <= key) and (at == len(splitters) or key < splitters[at])
+
+
+def quantiles(keys: list[bytes], n: int) -> list[bytes]:
+    """n - 1 distinct splitters, at most, that part sorted keys evenly."""
+    return sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
+
+
+def pieces(a: Anchors, some: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of strings (first string, number, place of the key in the first, kind): whole runs of some anchors, and the pieces of those that occur often."""
+    begin, count, off = a.begin[some], a.count[some], a.anchor[some] - a.begin[some]
+    rare = ~often
+    hi = off[often]  # the anchor's place in the run's first string, which is its greatest
+    lo = hi - count[often] + 1
+    n = hi // PIECE - lo // PIECE + 1
+    run = np.repeat(np.arange(len(hi)), n)
+    k = (lo // PIECE)[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    most, least = np.minimum(hi[run], k * PIECE + PIECE - 1), np.maximum(lo[run], k * PIECE)
+    first = begin[often][run] + hi[run] - most
+    return tuple(np.concatenate(x) for x in ((begin[rare], first), (count[rare], most - least + 1), (off[rare], most - k * PIECE), (np.zeros(rare.sum(), np.int64), np.ones(len(run), np.int64))))
+
+
 class Entries:
     """The distinct suffixes that a chunk sends, in the order of buckets."""
 
-    def __init__(self, chunk: Chunk, got: list[dict], bits: int, shards: int, splitters: np.ndarray, length: int, anchor: int):
+    def __init__(self, chunk: Chunk, got: list[dict], bits: int, shards: int, buckets: Buckets, length: int, anchor: int):
         a = Anchors(chunk, length, anchor)
-        some = np.flatnonzero(estimated_repeated(a.hash, got, 1, bits, shards))
-        self.begin, self.count = a.begin[some], a.count[some]
-        off = a.anchor[some] - self.begin
-        known: dict[tuple[int, bytes], int] = {}
-        self.of = np.zeros(len(some), np.int64)
-        for i, (b, c, o) in enumerate(zip(self.begin.tolist(), self.count.tolist(), off.tolist(), strict=True)):
-            self.of[i] = known.setdefault((o, chunk.data[b : b + c + length - 1]), len(known))
+        classes = estimated_classes(a.hash, got, bits, shards)
+        some = np.flatnonzero(classes)
+        self.begin, self.count, off, kind = pieces(a, some, classes[some] > 1)
+        known: dict[tuple[int, int, bytes], int] = {}
+        self.of = np.zeros(len(self.begin), np.int64)
+        for i, (k, b, c, o) in enumerate(zip(kind.tolist(), self.begin.tolist(), self.count.tolist(), off.tolist(), strict=True)):
+            self.of[i] = known.setdefault((k, o, chunk.data[b : b + c + length - 1]), len(known))
         times = np.bincount(self.of, minlength=len(known))
-        texts = [k[1] for k in known]
-        offs = np.array([k[0] for k in known], np.int64)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        lead = token(b"".join(texts), np.cumsum(sizes) - sizes + offs) if texts else np.zeros(0, np.uint64)
-        bucket = np.searchsorted(splitters, lead, side="right")
+        texts = [k[2] for k in known]
+        offs = np.array([k[1] for k in known], np.int64)
+        sizes_ = np.array([len(t) for t in texts], np.int64)
+        bucket = np.array([buckets.of(k, t[o : o + buckets.key_bytes[k]]) for k, o, t in known], np.int64)
         order = np.argsort(bucket, kind="stable")
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
-        cuts = np.searchsorted(bucket[order], np.arange(len(splitters) + 2)).tolist()
-        self.strings = sizes[order] - length + 1
+        self.strings = sizes_[order] - length + 1
         self.messages = []
-        for s, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if j > i:
-                o = order[i:j]
-                self.messages.append((s, squeeze(b"".join([texts[k] for k in o])), sizes[o].astype(np.int32).tobytes(), offs[o].astype(np.int32).tobytes(), (times[o] > 1).tobytes()))
+        ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+        for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            o = order[i:j]
+            self.messages.append((int(bucket[o[0]]), squeeze(b"".join([texts[k] for k in o])), sizes_[o].astype(np.int32).tobytes(), offs[o].astype(np.int32).tobytes(), (times[o] > 1).tobytes()))
 
 
-def bucket_reply(splitters: np.ndarray, length: int, anchor: int):
+def bucket_reply(buckets: Buckets, length: int):
     """Sorts a bucket; says of each string of each suffix sent whether it occurs again."""
 
     def reply(rows: list[dict]) -> list[bytes]:
@@ -168,15 +223,17 @@ def bucket_reply(splitters: np.ndarray, length: int, anchor: int):
         sizes = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(sizes) - sizes
         data = b"".join(texts)
-        lead, s = token(data, begin + offs), rows[0]["shard"]
-        if (s and (lead < splitters[s - 1]).any()) or (s < len(splitters) and (lead >= splitters[s]).any()):
-            raise ValueError("a suffix is on the wrong side of a boundary")
+        bucket = rows[0]["shard"]
+        key_bytes = buckets.key_bytes[buckets.kind(bucket)]
         strings = sizes - length + 1
         first = np.cumsum(strings) - strings
         again = np.repeat(np.array(times) > 1, strings)
-        order, new = multikey_sort(data, begin + offs, anchor)
+        order, new = multikey_sort(data, begin + offs, key_bytes)
+        for i in (order[0], order[-1]):
+            if not buckets.holds(bucket, texts[i][offs[i] : offs[i] + key_bytes]):
+                raise ValueError("a suffix is on the wrong side of a boundary")
         group = np.cumsum(new) - 1
-        mixed = np.bincount(group)[group] > 1  # anchors with suffixes that differ
+        mixed = np.bincount(group)[group] > 1  # keys with suffixes that differ
         members = order[mixed]
         if len(members):
             n = strings[members]
@@ -193,53 +250,84 @@ def bucket_reply(splitters: np.ndarray, length: int, anchor: int):
     return reply
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, chunk: int = CHUNK, texts: bool = True) -> DataFrame:
+class Job:
+    """The steps of deduplicate(): chunks, what they know of their anchors, the buckets, and the suffixes sent."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, length: int, anchor: int, chunk: int | None):
+        self.length, self.anchor = length, anchor
+        size = text_bytes(df, text_col)
+        key_bytes = (length - anchor + 2) / 2
+        fit, self.shards = sizes(size, key_bytes)
+        self.bits = max((max(1, int(size / key_bytes)) * CELLS - 1).bit_length(), self.shards.bit_length() + 2)
+        self.chunks = pack(df, id_col, text_col, chunk or fit)
+        self.buckets = self.sampled_buckets(max(64, size // BUCKET))
+        self.entries = partial(Entries, bits=self.bits, shards=self.shards, buckets=self.buckets, length=length, anchor=anchor)
+        bits, shards = self.bits, self.shards
+
+        def count(c: Chunk) -> Iterator[tuple[int, list[bytes]]]:
+            return say_counts(Anchors(c, length, anchor).hash, bits, shards)
+
+        told = answer(tell(self.chunks, count, 2), merge_counts(bits - (shards.bit_length() - 1), OFTEN))
+        self.told = materialize(told, "cells", narrow=True)
+
+    def sampled_buckets(self, wanted: int) -> Buckets:
+        """Splitters from a sample that grows with them: random anchors of some chunks, seeded by the chunk, with one of each anchor's pieces."""
+        length, anchor, n = self.length, self.anchor, min(wanted, MOST_SPLITTERS)
+
+        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    c = Chunk(row)
+                    a = Anchors(c, length, anchor)
+                    pick = np.random.default_rng(c.number).permutation(len(a.hash))[:SAMPLE_OF_CHUNK]
+                    place = a.anchor[pick]
+                    inside = place - a.begin[pick] - (a.hash[pick] >> np.uint64(20)).astype(np.int64) % a.count[pick]
+                    core = place - inside // PIECE * PIECE
+                    keys = [[c.data[i : i + m] for i in at.tolist()] for at, m in ((place, anchor), (core, length - PIECE + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()) for k in keys], names=["a", "p"])
+
+        chunks = self.chunks.count()
+        of = max(64, SAMPLE * n // SAMPLE_OF_CHUNK)
+        some = self.chunks.filter(F.pmod(F.xxhash64("chunk"), F.lit(max(1, chunks // of))) == 0)
+        rows = [(bytes(r["a"]), bytes(r["p"])) for r in some.mapInArrow(sample, "a binary, p binary").collect()]
+        times = Counter(a for a, _ in rows)
+        often = [p for a, p in rows if times[a] > 1] or [p for _, p in rows]
+        splitters = [quantiles(sorted(a for a, _ in rows), n), quantiles(sorted(often), n)]
+        return Buckets(splitters, -(-wanted // n), length, anchor)
+
+    def sent(self) -> DataFrame:
+        """(shard, chunk, p0 to p3): the suffixes of each chunk for each bucket; p3 has a byte for each."""
+
+        entries = self.entries
+
+        def send(c: Chunk, got: list[dict]) -> list[pa.RecordBatch]:
+            rows = entries(c, got).messages
+            if not rows:
+                return []
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([c.number] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]]
+            return [pa.RecordBatch.from_arrays(cols, names=["shard", "chunk", "p0", "p1", "p2", "p3"])]
+
+        return resume(self.chunks, self.told, send, message_schema(4))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, chunk: int | None = None, texts: bool = True) -> DataFrame:
     """The bytes of each row's text less those covered by a string of ``length`` bytes that also begins elsewhere.
 
     Returns the id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256 and, with texts=True, kept (binary: a cut may part a
     character). Strings never cross rows; the same row counts as elsewhere.
     Null, empty and short texts lose nothing; rows with equal ids are separate.
-    Each row gives one row; other columns of df are not read.
+    Ids are whole numbers or null. Each row gives one row, an empty table none;
+    other columns of df are not read, which is done twice: for the size of the
+    texts and for the texts.
     """
-    chunks = pack(df, id_col, text_col, chunk)
-    told = chunks.agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    size = told["b"] or 0
-    keys = max(1, 2 * size // (length - anchor + 2))
-    shards = shard_count(keys)
-    bits = max((keys * CELLS - 1).bit_length(), shards.bit_length() + 2)
-    width = bits - (shards.bit_length() - 1)
-    buckets = max(64, size // BUCKET)
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row)
-                a = Anchors(c, length, anchor)
-                pick = np.argsort(a.hash)[:SAMPLE_TOKENS]
-                yield pa.RecordBatch.from_arrays([pa.array(token(c.data, a.anchor[pick]).view(np.int64))], names=["t"])
-
-    some = chunks.filter(F.pmod(F.xxhash64("chunk"), F.lit(max(1, told["n"] // SAMPLE_CHUNKS))) == 0)
-    tokens = np.sort(np.array([r["t"] for r in some.mapInArrow(sample, "t long").limit(4 * SAMPLE_CHUNKS * SAMPLE_TOKENS).collect()], np.int64).view(np.uint64))
-    splitters = np.unique(tokens[np.arange(1, buckets) * len(tokens) // buckets]) if len(tokens) else np.zeros(0, np.uint64)
-
-    def ask(c: Chunk) -> Iterator[tuple[int, list[bytes]]]:
-        return say_cells(Anchors(c, length, anchor).hash, 1, bits, shards)
-
-    cells = materialize(answer(tell(chunks, ask, 2), merge_cells(width)), "cells", narrow=True)
-
-    def send(c: Chunk, got: list[dict]) -> list[pa.RecordBatch]:
-        rows = Entries(c, got, bits, shards, splitters, length, anchor).messages
-        if not rows:
-            return []
-        cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([c.number] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]]
-        return [pa.RecordBatch.from_arrays(cols, names=["shard", "chunk", "p0", "p1", "p2", "p3"])]
-
-    found = answer(resume(chunks, cells, send, message_schema(4)), bucket_reply(splitters, length, anchor))
-    both = cells.withColumn("kind", F.lit(0).cast("long")).unionByName(found.withColumn("kind", F.lit(1).cast("long")))
+    job = Job(df, id_col, text_col, length, anchor, chunk)
+    entries = job.entries
+    found = answer(job.sent(), bucket_reply(job.buckets, length))
+    both = job.told.withColumn("kind", F.lit(0).cast("long")).unionByName(found.withColumn("kind", F.lit(1).cast("long")))
 
     def remove(c: Chunk, got: list[dict]) -> list[pa.RecordBatch]:
-        e = Entries(c, [g for g in got if not g["kind"]], bits, shards, splitters, length, anchor)
+        e = entries(c, [g for g in got if not g["kind"]])
         first = np.cumsum(e.strings) - e.strings
         replies = {g["shard"]: g["bits"] for g in got if g["kind"]}
         flags, at = [], 0
@@ -276,4 +364,4 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         cols = [pa.array(c.ids, pa.int64(), mask=c.null), pa.array([len(t) for t in c.texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans.astype(np.int64)), pa.array(shas, pa.string())]
         return [pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * texts, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts)]
 
-    return resume(chunks, both, remove, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return resume(job.chunks, both, remove, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)

@@ -469,6 +469,46 @@ def test_suffix_dedup(docs, rows, empty, chunk):
     assert suffix_dedup.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("often", [2, 64])
+def test_suffix_dedup_of_frequent_anchors(spark, monkeypatch, often):
+    """Phrases too short for a match, and passages with matches, in many texts: right results, and no bucket grows with them."""
+    import random
+
+    r = random.Random(8)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+    letters = lambda n: "".join(r.choice("abcdefgh ijklm") for _ in range(n))
+    phrase, passage = letters(150), letters(400)
+    rows = [(i, letters(r.randint(20, 400)) + (phrase if i % 2 else passage if i % 3 else "") + letters(r.randint(20, 300))) for i in range(500)]
+    rows += [(1000 + i, rows[i % 40][1][k : k + 260]) for i, k in enumerate(r.choices(range(200), k=120))] + [(2000 + i, "q" * 700) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    same(suffix_dedup.deduplicate(df, chunk=9000), list(slow_suffix(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_largest_bucket_is_bounded(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    letters = lambda n: "".join(r.choice("abcdefgh ijklm") for _ in range(n))
+    phrase, most = letters(150), []
+    for n in (1000, 4000):
+        rows = [(i, letters(300) + phrase + letters(300)) for i in range(n)]
+        job = suffix_dedup.Job(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text", 200, 64, None)
+        sent = job.sent().groupBy("shard").agg(F.sum(F.length("p3")).alias("n"))
+        most.append(sent.agg(F.max("n"), F.sum("n")).first())
+    assert most[1][1] > 3 * most[0][1] > 3000 and most[1][0] < most[1][1] / 10
+
+
+def test_sizes_keep_messages_in_proportion():
+    for size in (1e6, 5e8, 3e10, 1e12, 1e13, 1e14):
+        for key_bytes in (6, 69):
+            chunk, shards = chunked.sizes(int(size), key_bytes)
+            assert chunked.CHUNK <= chunk <= chunked.MOST_CHUNK and shards & (shards - 1) == 0
+            assert shards == chunked.LEAST_SHARDS or size / key_bytes / shards <= chunked.LARGE_SHARD_KEYS
+            assert chunk / key_bytes / shards > 40 or key_bytes == 69
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(3)
     data = rng.choice(np.frombuffer(b"ab", np.uint8), 3000).tobytes()
@@ -497,6 +537,16 @@ def test_sketch_never_underestimates():
     parts = [rng.integers(0, 3000, 500).astype(np.uint64) for _ in range(6)]
     bits, shards = 14, 4
     sent = [dict((s, p) for s, p in chunked.say_cells(k, 2, bits, shards)) for k in parts]
+    counted = [dict(chunked.say_counts(k, bits, shards)) for k in parts]
+    classes = [[] for _ in parts]
+    for s in range(4):
+        rows = [{"p0": x[s][0], "p1": x[s][1]} for x in counted if s in x]
+        for who, bitmap in zip([i for i, x in enumerate(counted) if s in x], chunked.merge_counts(bits - 2, 3)(rows), strict=True):
+            classes[who].append({"shard": s, "bits": bitmap})
+    total = Counter(np.concatenate(parts).tolist())
+    for k, got in zip(parts, classes, strict=True):
+        est = chunked.estimated_classes(k, got, bits, shards).tolist()
+        assert all(e >= (total[x] > 1) + (total[x] > 2) for e, x in zip(est, k.tolist(), strict=True)) and 0 in est
     told = [[] for _ in parts]
     for s in range(8):
         rows = [{"p0": x[s][0], "p1": x[s][1]} for x in sent if s in x]
