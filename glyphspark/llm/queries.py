@@ -56,4 +56,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_media, op4_simhash, op5_licenses, op6_quality, op7_substring_dedup, op8_suffix_dedup, op9_token_counts, op10_pii)}
-ORACLE_SQL = {"op1_mixing": mixing.SQL, "op6_quality": quality.SQL, "op7_substring_dedup": substring_dedup.SQL}
+ORACLE_SQL = {"op1_mixing": mixing.SQL, "op6_quality": quality.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_suffix_dedup": suffix_dedup.SQL}

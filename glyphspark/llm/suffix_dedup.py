@@ -365,3 +365,18 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return [pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * texts, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts)]
 
     return resume(job.chunks, both, remove, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+
+
+#: Bytes are pairs of hexadecimal digits; positions are cut from blocks of 512, since cutting a long text counts from its start.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+p AS (SELECT r, x[2 * b + 1:2 * (b + 512 + {LENGTH} - 1)] AS y, b, len(x) // 2 AS n FROM (SELECT r, x, unnest(range(0, greatest(len(x) // 2 - {LENGTH} + 1, 0), 512)) AS b FROM d)),
+s AS (SELECT r, b + j AS i, substring(y, 2 * j + 1, {2 * LENGTH}) AS g FROM (SELECT r, b, y, unnest(range(0, len(y) // 2 - {LENGTH} + 1)) AS j FROM p)),
+hit AS (SELECT r, i FROM s QUALIFY count(*) OVER (PARTITION BY g) > 1),
+edge AS (SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -{LENGTH} - 1) > {LENGTH} AS new FROM hit),
+run AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM edge),
+span AS (SELECT r, k, min(i) AS a, max(i) + {LENGTH} AS b FROM run GROUP BY r, k),
+gap AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t, b FROM span),
+cutout AS (SELECT r, count(*)::BIGINT AS n_spans, sum(b - t)::BIGINT AS n_removed, string_agg(x[2 * f + 1:2 * t], '' ORDER BY t) || any_value(x)[2 * max(b) + 1:] AS kept FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN cutout USING (r)
+"""
