@@ -14,7 +14,9 @@ import pickle
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from ..operators import rulesets
 from ..sources import rulesets as sources
 from ..variants import DETECTED, TIES, VARIANTS, enabled, parse
 from .markup import Conv, MarkupConverter, PageRules, Rule, RuleError, conv_lines, parse_conv_or_text, parse_rule, parse_rule_or_text, parse_variant_map
-from .matcher import Matcher, convert_layered
+from .matcher import Matcher, convert_layered, groups_of
 
 SPANS = "array<struct<start:int,`end`:int,src:string,dst:string>>"
 CONV = "struct<asis:string,both:map<string,string>,one_way:array<struct<variant:string,`from`:string,`to`:string>>>"
@@ -60,6 +62,21 @@ def each(fn: Callable[[str], object], kind: pa.DataType) -> Callable[[pa.Array],
     return run
 
 
+def nulls(texts: pa.Array) -> np.ndarray:
+    return texts.is_null().to_numpy(zero_copy_only=False)
+
+
+def by_tag(texts: pa.Array, tags: pa.Array, fn: Callable[[str, pa.Array], pa.Array], kind: pa.DataType = pa.string()) -> pa.Array:
+    """fn(tag, texts) of the texts of each tag, in their order; null where either is."""
+    rows, done = [np.flatnonzero(nulls(tags))], [pa.nulls(tags.null_count, kind)]
+    for name in pc.unique(tags.drop_null()).to_pylist():
+        at = np.flatnonzero(pc.fill_null(pc.equal(tags, name), False).to_numpy(zero_copy_only=False))
+        rows.append(at)
+        done.append(fn(parse(name).tag, texts.take(pa.array(at))))
+    order = np.argsort(np.concatenate(rows), kind="stable")
+    return pa.concat_arrays(done).take(pa.array(order))
+
+
 def conv_row(c: Conv | None) -> dict | None:
     if c is None:
         return None
@@ -84,9 +101,10 @@ class Converter:
     def __init__(self, spark: SparkSession, pairs: DataFrame | None = None, path: str | None = None):
         self.spark = spark
         self.pairs = pairs if pairs is not None else sources.load(spark, path)
-        found = rulesets.matchers(self.pairs)
+        rows = rulesets.bounded(self.pairs)
+        found = rulesets.compiled(rows)
         self.matchers = {v.tag: found.get(v.tag) or found.get("zh-hk" if v.tag == "zh-mo" else "zh-cn") if v.tables else Matcher({}) for v in VARIANTS.values()}
-        self.tables = {r["table"] for r in self.pairs.select("table").distinct().collect()}
+        self.tables = {r["table"] for r in rows}
         self._shared: dict[tuple, Shared] = {}
 
     def shared(self, key: tuple, make: Callable[[], object]) -> Shared:
@@ -118,47 +136,49 @@ class Converter:
             held = self.shared((tag, "layers", tuple(over.items()), off), lambda: (base, Matcher(over)))
             return _arrow("string", lambda t: each(lambda x: convert_layered(*held.get(), off, x), pa.string())(t), text)
         held = self.shared((tag, tuple(over.items())), lambda: base.merged(Matcher(over)) if over else base)
-        return _arrow("string", lambda t: each(held.get().convert, pa.string())(t), text)
+        return _arrow("string", lambda t: held.get().convert_array(t), text)
 
     def convert_by(self, text: Column, tag: Column) -> Column:
         """Conversion to the variant that each row names; an unknown tag is an error."""
         held = self.shared(("all",), lambda: self.matchers)
+        return _arrow("string", lambda texts, tags: by_tag(texts, tags, lambda tag, t: held.get()[tag].convert_array(t)), text, tag)
 
-        def run(texts: pa.Array, tags: pa.Array) -> pa.Array:
-            m = held.get()
-            return pa.array([None if t is None or g is None else m[parse(g).tag].convert(t) for t, g in zip(texts.to_pylist(), tags.to_pylist(), strict=True)], pa.string())
-
-        return _arrow("string", run, text, tag)
+    def convert_markup_by(self, text: Column, tag: Column) -> Column:
+        """Conversion of text with markup to the variant that each row names; an unknown tag is an error."""
+        held = self.shared(("all", "markup"), lambda: {t: MarkupConverter(m, t) for t, m in self.matchers.items()})
+        return _arrow("string", lambda texts, tags: by_tag(texts, tags, lambda tag, t: each(held.get()[tag].convert, pa.string())(t)), text, tag)
 
     def convert_markup(self, text: Column, target: str, skip_code: bool = True, global_rules: bool = True, pairs: Iterable[tuple[str, str]] = (), lines: str | None = None, removed: Iterable[str] = ()) -> Column:
-        """Conversion of text with markup. Texts without any take the plain path."""
+        """Conversion of text with markup. Texts without rules or code take the path of convert()."""
         tag, over, off = parse(target).tag, self.overlay(target, pairs, lines), set(removed)
+        marked = F.contains(text, F.lit("-{"))
+        if skip_code:
+            marked |= F.regexp_like(text, F.lit("<(?:script|style|code>|pre)"))
         held = self.shared((tag, "markup", skip_code, global_rules, tuple(over.items()), frozenset(off)), lambda: MarkupConverter(self._base(tag), tag, skip_code, global_rules, over, off))
-        return _arrow("string", lambda t: each(held.get().convert, pa.string())(t), text)
+        rich = _arrow("string", lambda t: each(held.get().convert, pa.string())(t), F.when(marked, text))
+        return F.when(marked, rich).otherwise(self.convert(F.when(~marked, text), target, over.items(), removed=off))
 
     def matches(self, text: Column, target: str) -> Column:
         """All matches as array<struct<start, end, src, dst>>, in code points, end exclusive."""
         held = self.shared((parse(target).tag, ()), lambda: self._base(target))
-
-        def one(t: str) -> list[dict]:
-            return [{"start": s, "end": e, "src": t[s:e], "dst": d} for s, e, d in held.get().spans(t)]
-
-        return _arrow(SPANS, lambda t: each(one, _SPANS)(t), text)
+        return _arrow(SPANS, lambda t: held.get().spans_array(t), text)
 
     def replaced(self, text: Column, target: str) -> Column:
         """Characters that conversion to the target would replace by others."""
         held = self.shared((parse(target).tag, ()), lambda: self._base(target))
-        return _arrow("int", lambda t: each(held.get().replaced, pa.int32())(t), text)
+        return _arrow("int", lambda t: pa.array(held.get().replaced_array(t), pa.int32(), mask=nulls(t)), text)
 
     def counts(self, text: Column) -> Column:
-        """struct of replaced characters for the five detected variants, in one pass of a batch."""
+        """struct of replaced characters for the five detected variants, in one pass of a batch: the texts' code points are found once."""
         held = self.shared(("counts",), lambda: {t.replace("-", "_"): self._base(t) for t in DETECTED})
 
-        def one(t: str) -> dict:
-            return {k: m.replaced(t) for k, m in held.get().items()}
+        def run(texts: pa.Array) -> pa.Array:
+            groups = groups_of(texts)
+            n = [pa.array(m.replaced_array(texts, groups), pa.int32()) for m in held.get().values()]
+            return pa.StructArray.from_arrays(n, fields=list(_COUNTS), mask=texts.is_null())
 
         kind = "struct<" + ",".join(f"{t.replace('-', '_')}:int" for t in DETECTED) + ">"
-        return _arrow(kind, lambda t: each(one, _COUNTS)(t), text)
+        return _arrow(kind, run, text)
 
     def is_hans_confidence(self, text: Column) -> Column:
         return hans_confidence(self.counts(text))
@@ -190,7 +210,9 @@ class Converter:
             held = self.shared((tag, ()), lambda: self._base(tag))
 
             def run(lists: pa.Array) -> pa.Array:
-                return pa.array([None if xs is None else [None if x is None else held.get().convert(x) for x in xs] for xs in lists.to_pylist()], pa.list_(pa.string()))
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+                return pa.ListArray.from_arrays(offsets, held.get().convert_array(lists.flatten()), mask=lists.is_null())
 
             return _arrow("array<string>", run, value)
         return self.convert(value, target)
@@ -227,7 +249,7 @@ def q_values(ranked: Column) -> Column:
 def convert_with_pairs(spark: SparkSession, text: Column, pairs: Iterable[tuple[str, str]] | DataFrame) -> Column:
     """Conversion with ad-hoc pairs alone."""
     held = Shared(spark, rulesets.matcher(pairs) if isinstance(pairs, DataFrame) else Matcher(pairs))
-    return _arrow("string", lambda t: each(held.get().convert, pa.string())(t), text)
+    return _arrow("string", lambda t: held.get().convert_array(t), text)
 
 
 def make_converter(spark: SparkSession, base: str | None, pairs: Iterable[tuple[str, str]] | DataFrame | str, path: str | None = None) -> Callable[[Column], Column]:
@@ -237,7 +259,7 @@ def make_converter(spark: SparkSession, base: str | None, pairs: Iterable[tuple[
     over = rulesets.matcher(pairs) if isinstance(pairs, DataFrame) else Matcher(pairs)
     below = Matcher({}) if base is None or not parse(base).tables else rulesets.matcher(rulesets.regional(sources.load(spark, path), base))
     held = Shared(spark, below.merged(over))
-    return lambda text: _arrow("string", lambda t: each(held.get().convert, pa.string())(t), text)
+    return lambda text: _arrow("string", lambda t: held.get().convert_array(t), text)
 
 
 def truncated(text: Column, n_bytes: int) -> Column:

@@ -14,8 +14,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..variants import DETECTED, TIES, parse
-from .columns import Converter, Shared
+from .columns import Converter, Shared, by_tag, each, nulls
 from .markup import MarkupConverter, PageRules, RuleError, extract_rules, parse_rule
+from .matcher import groups_of
 
 
 def register(spark: SparkSession, converter: Converter | None = None) -> Converter:
@@ -23,37 +24,40 @@ def register(spark: SparkSession, converter: Converter | None = None) -> Convert
     held = Shared(spark, c.matchers)
     markup = Shared(spark, {t: MarkupConverter(m, t) for t, m in c.matchers.items()})
 
-    def two(fn, kind):
-        def run(texts: pa.Array, tags: pa.Array) -> pa.Array:
-            return pa.array([None if t is None or g is None else fn(t, parse(g).tag) for t, g in zip(texts.to_pylist(), tags.to_pylist(), strict=True)], kind)
+    def two(fn):
+        return lambda texts, tags: by_tag(texts, tags, fn)
 
-        return run
+    def of_each(fn, kind):
+        return lambda tag, texts: each(lambda t: fn(t, tag), kind)(texts)
 
     def put(name: str, fn, kind: str) -> None:
         spark.udf.register(name, F.arrow_udf(fn, kind))
 
-    def share(t: str) -> float:
-        m = held.get()
-        hant, hans = m["zh-hant"].replaced(t), m["zh-hans"].replaced(t)
-        return hant / (hant + hans) if hant + hans else float("nan")
-
-    put("convert_variant", two(lambda t, g: held.get()[g].convert(t), pa.string()), "string")
-    put("convert_markup", two(lambda t, g: markup.get()[g].convert(t), pa.string()), "string")
-    put("count_replaced", two(lambda t, g: held.get()[g].replaced(t), pa.int32()), "int")
-    put("page_title", two(lambda t, g: PageRules.of(t).title_for(g), pa.string()), "string")
-    def likeliest(t: str) -> str:
-        """As columns.ranked_confidences(), for one text: zero counts leave the order of ties."""
-        n = {v: held.get()[v].replaced(t) for v in DETECTED}
-        total = n["zh-cn"] + n["zh-tw"] + n["zh-hk"] - n["zh-hant"]
-        if not total:
-            return "zh-tw"
-        conf = {v: np.float32(1) - np.float32(min(k, total)) / np.float32(total) for v, k in n.items()}
-        alike = conf["zh-tw"] == conf["zh-hk"]
-        return min(TIES[alike], key=lambda v: (-conf[v], TIES[alike].index(v)))
-
-    put("infer_variant", lambda ts: pa.array([None if t is None else likeliest(t) for t in ts.to_pylist()], pa.string()), "string")
-    put("is_hans", lambda ts: pa.array([None if t is None else share(t) > 0.5 for t in ts.to_pylist()], pa.bool_()), "boolean")
-    put("is_hans_confidence", lambda ts: pa.array([None if t is None else share(t) for t in ts.to_pylist()], pa.float32()), "float")
+    def counted(texts: pa.Array, names) -> list[np.ndarray]:
+        groups = groups_of(texts)
+        return [held.get()[v].replaced_array(texts, groups) for v in names]
+
+    def share(texts: pa.Array) -> np.ndarray:
+        hant, hans = counted(texts, ("zh-hant", "zh-hans"))
+        return np.where(hant + hans > 0, hant / np.maximum(hant + hans, 1), np.nan)
+
+    def likeliest(texts: pa.Array) -> list[str]:
+        """As columns.ranked_confidences(): zero counts leave the order of ties."""
+        n = dict(zip(DETECTED, counted(texts, DETECTED), strict=True))
+        total = (n["zh-cn"] + n["zh-tw"] + n["zh-hk"] - n["zh-hant"]).astype(np.float32)
+        part = np.where(total == 0, np.float32(1), total)
+        conf = {v: np.where(total == 0, np.float32(0), np.float32(1) - np.minimum(k.astype(np.float32), total) / part) for v, k in n.items()}
+        alike = (conf["zh-tw"] == conf["zh-hk"]) & (total != 0)
+        best = {a: np.stack([conf[v] for v in TIES[a]]).argmax(axis=0) for a in (True, False)}
+        return [TIES[a][best[a][i]] for i, a in enumerate(alike.tolist())]
+
+    put("convert_variant", two(lambda g, t: held.get()[g].convert_array(t)), "string")
+    put("convert_markup", two(of_each(lambda t, g: markup.get()[g].convert(t), pa.string())), "string")
+    put("count_replaced", lambda ts, gs: by_tag(ts, gs, lambda g, t: pa.array(held.get()[g].replaced_array(t), pa.int32(), mask=nulls(t)), pa.int32()), "int")
+    put("page_title", two(of_each(lambda t, g: PageRules.of(t).title_for(g), pa.string())), "string")
+    put("infer_variant", lambda ts: pa.array(likeliest(ts), pa.string(), mask=nulls(ts)), "string")
+    put("is_hans", lambda ts: pa.array(share(ts) > 0.5, pa.bool_(), mask=nulls(ts)), "boolean")
+    put("is_hans_confidence", lambda ts: pa.array(share(ts), pa.float32(), mask=nulls(ts)), "float")
 
     @F.udtf(returnType="start int, end int, src string, dst string")
     class VariantMatches:

@@ -6,7 +6,7 @@ check; nothing here touches texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.matcher import Matcher
@@ -82,14 +82,22 @@ def stats(pairs: DataFrame) -> DataFrame:
     )
 
 
-def matcher(pairs: DataFrame) -> Matcher:
-    """The compiled dictionary of distinct sources. It is broadcast, so its rows are bounded."""
-    rows = pairs.select("from", "to").limit(MOST_PAIRS + 1).collect()
+def bounded(pairs: DataFrame) -> list[Row]:
+    """The rows of a dictionary, which is broadcast, so they are bounded."""
+    rows = pairs.limit(MOST_PAIRS + 1).collect()
     if len(rows) > MOST_PAIRS:
         raise ValueError(f"a dictionary has at most {MOST_PAIRS} pairs")
-    return Matcher((r["from"], r["to"]) for r in rows)
+    return rows
+
+
+def matcher(pairs: DataFrame) -> Matcher:
+    """The compiled dictionary of distinct sources."""
+    return Matcher((r["from"], r["to"]) for r in bounded(pairs.select("from", "to")))
 
 
-def matchers(pairs: DataFrame) -> dict[str, Matcher]:
-    """Dictionaries of the five targets with tables of their own."""
-    return {t: matcher(regional(pairs, t)) for t in DETECTED}
+def compiled(rows: list[Row]) -> dict[str, Matcher]:
+    """Dictionaries of the five targets with tables of their own, as regional() makes them, from rows that the driver holds."""
+    held: dict[str, dict[str, str]] = {}
+    for r in sorted(rows, key=lambda r: r["ord"]):
+        held.setdefault(r["table"], {})[r["from"]] = r["to"]
+    return {t: Matcher({f: to for name in parse(t).tables for f, to in held.get(name, {}).items()}) for t in DETECTED}

@@ -35,10 +35,7 @@ def requests(stream: DataFrame, converter: Converter, limit: int = 2 << 20, toke
     known = tag.isin(*[t for t in converter.matchers])
     plain = converter.convert_by(F.col("body"), F.when(known, tag))
     status = F.when(F.lit(token is not None) & ~F.col("token").eqNullSafe(F.lit(token)), 401).when(~known | tag.isNull(), 404).when(F.col("body").isNull() | (F.octet_length("body") > limit), 400).otherwise(200)
-    rich = None
-    for t in converter.matchers:
-        c = converter.convert_markup(F.when(F.col("wikitext") & (tag == t), F.col("body")), t)
-        rich = F.when(tag == t, c) if rich is None else rich.when(tag == t, c)
+    rich = converter.convert_markup_by(F.when(F.col("wikitext"), F.col("body")), F.when(known, tag))
     return stream.select("id", status.alias("status"), F.when(status == 200, F.when(F.col("wikitext"), rich).otherwise(plain)).alias("body"))
 
 

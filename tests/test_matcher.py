@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from glyphspark.functions import matcher
 from glyphspark.functions.matcher import Matcher, convert_layered
 
 
@@ -75,3 +78,26 @@ def test_long_texts_and_targets_of_other_lengths():
             want, spans = naive(text, pairs)
             assert m.convert(text) == want and list(m.spans(text)) == spans
             assert m.replaced(text) == sum(e - s for s, e, t in spans if text[s:e] != t)
+
+
+def test_arrays_equal_single_texts(monkeypatch):
+    """Groups of rows against one text at a time, nulls, empty texts and slices included."""
+    r = random.Random(5)
+    for k in range(300):
+        letters = "ab国學x😀é" if k % 2 else "ab"
+        some = lambda s, n: "".join(r.choice(s) for _ in range(n))  # noqa: E731, B023
+        m = Matcher({some(letters, r.randint(1, 4)): some(letters + "Z", r.randint(0, 4)) for _ in range(r.randint(0, 12))})
+        texts = [None if r.random() < 0.1 else some(letters, r.randint(0, 60)) for _ in range(r.randint(2, 12))]
+        monkeypatch.setattr(matcher, "GROUP", r.choice([1, 50, 1 << 19]))
+        a, texts = pa.array(texts, pa.string()).slice(k % 2), texts[k % 2 :]
+        assert m.convert_array(a).to_pylist() == [None if t is None else m.convert(t) for t in texts]
+        assert m.replaced_array(a).tolist() == [0 if t is None else m.replaced(t) for t in texts]
+        spans = m.spans_array(a).to_pylist()
+        assert [None if x is None else [(y["start"], y["end"], y["dst"]) for y in x] for x in spans] == [None if t is None else list(m.spans(t)) for t in texts]
+
+
+def test_hashes_that_collide(monkeypatch):
+    """Texts with the hash of a source are looked at again."""
+    m = Matcher({"ab": "x", "cd": "yy"})
+    monkeypatch.setattr(matcher._Flat, "equal", lambda self, which, codes, at: np.zeros(len(which), bool))
+    assert m.convert_array(pa.array(["abcd", "zab", ""])).to_pylist() == ["xyy", "zx", ""]
