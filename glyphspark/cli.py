@@ -2,16 +2,20 @@
 
 Without IN it converts standard input to standard output. Files are converted
 whole, so that markup and line ends survive, and written below OUT under their
-names, since Spark can't overwrite what it reads. A last line that doesn't end
-gets its end; no other byte is added.
+paths below IN, since Spark can't overwrite what it reads. A last line that
+doesn't end gets its end; no other byte is added. Files that are blank or not
+UTF-8 are left out; their paths are written below OUT as ``_left_out``, and
+their number is told.
 """
 
 from __future__ import annotations
 
 import argparse
+import re
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import Converter
@@ -27,6 +31,20 @@ def text_files(spark: SparkSession, path: str):
     return f.select("path", text.alias("text"), (F.is_valid_utf8(text) & F.regexp_like(text, F.lit(r"\S"))).alias("good"))
 
 
+def convert_files(spark: SparkSession, source: str, target: str, fn: Callable[[Column], Column]) -> int:
+    """Converts files below a folder into files below another; the number of those left out."""
+    root = re.escape(re.sub(r"^[a-z]+:/+", "/", source).rstrip("/"))
+    below = F.coalesce(F.nullif(F.regexp_extract("path", root + "/(.+)$", 1), F.lit("")), F.regexp_extract("path", r"([^/]+)$", 1))
+    files = text_files(spark, source).withColumn("file", below)
+    good = files.filter("good").select("file", F.regexp_replace(fn(F.col("text")), "\n$", "").alias("value"))
+    good.write.partitionBy("file").text(target, lineSep="\n")
+    left = files.filter("not good").select(F.col("file").alias("value"))
+    n = left.count()
+    if n:
+        left.write.text(f"{target.rstrip('/')}/_left_out")
+    return n
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="glyphspark", description=__doc__.splitlines()[0])
     p.add_argument("target")
@@ -59,8 +77,9 @@ def main(argv: list[str] | None = None) -> int:
         got = spark.createDataFrame([(sys.stdin.read(),)], "text string").select(fn(F.col("text"), a.target, lines=lines)).first()[0]
         print(got)
         return 0
-    files = text_files(spark, a.input).filter("good").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), fn(F.col("text"), a.target, lines=lines).alias("value"))
-    files.withColumn("value", F.regexp_replace("value", "\n$", "")).write.partitionBy("file").text(a.output, lineSep="\n")
+    left = convert_files(spark, a.input, a.output, lambda text: fn(text, a.target, lines=lines))
+    if left:
+        print(f"left out: {left} files that are blank or not UTF-8", file=sys.stderr)
     return 0
 
 

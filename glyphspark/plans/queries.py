@@ -8,7 +8,6 @@ which a join looks up.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,10 +18,12 @@ from ..functions import columns as C
 from ..functions.expressions import convert_expression, token_pattern
 from ..functions.sql import engine_info, register
 from ..operators import groups, rulesets
-from ..sources.rulesets import PAIRS, seed_rows
+from ..scratch import shared_dir
+from ..sources import rulesets as sources
+from ..sources.rulesets import ARRAYS, PAIRS, seed_rows
 from ..streaming import streams
 from ..variants import DETECTED, VARIANTS, variants_frame
-from .compose import flatten
+from .compose import RulesetConfig, compose, flatten
 
 SENTENCES = [
     "天干物燥 小心火烛", "他们在计算机上写软件。", "皇后的头发又长又黑", "請問這個資訊在哪裡？", "出租车司机说东边有雨", "網路影片很長", "发展经济要靠劳动", "我們坐計程車去醫院",
@@ -104,7 +105,7 @@ def sql_tokens(pairs: dict[str, str], source: str, key: str, name: str = "tok")
 
 def sql_converted(pairs: dict[str, str], source: str = "src", key: str = "doc_id") -> str:
     """A CTE ``conv``: (key, text) after conversion."""
-    return sql_tokens(pairs, source, key) + f', conv AS (SELECT {key}, coalesce(string_agg(coalesce("to", t), \'\' ORDER BY p), \'\') AS text FROM {source} LEFT JOIN tok USING ({key}) GROUP BY {key})'
+    return sql_tokens(pairs, source, key) + f', conv AS (SELECT {key}, CASE WHEN count({source}.text) > 0 THEN coalesce(string_agg(coalesce("to", t), \'\' ORDER BY p), \'\') END AS text FROM {source} LEFT JOIN tok USING ({key}) GROUP BY {key})'
 
 
 def sql_replaced(pairs: dict[str, str], name: str) -> str:
@@ -135,37 +136,37 @@ def query(sql: str | None = None, name: str | None = None):
 
 # ---- conversion with pairs
 
-LATIN_SRC = "src AS (SELECT doc_id, lang, text FROM documents WHERE text IS NOT NULL)"
+LATIN_SRC = "src AS (SELECT doc_id, lang, text FROM documents)"
 
 
 @query(f"WITH {LATIN_SRC}, {sql_converted(LATIN)} {DIGEST_SQL}")
 def convert_pairs_docs(spark, sf_dir):
-    return digest(read(spark, sf_dir, "documents").filter("text is not null"), C.convert_with_pairs(spark, F.col("text"), LATIN))
+    return digest(read(spark, sf_dir, "documents"), C.convert_with_pairs(spark, F.col("text"), LATIN))
 
 
 @query(f"WITH {LATIN_SRC}, {sql_converted(LATIN)} {DIGEST_SQL}")
 def convert_pairs_expr(spark, sf_dir):
-    return digest(read(spark, sf_dir, "documents").filter("text is not null"), convert_expression(F.col("text"), LATIN.items()))
+    return digest(read(spark, sf_dir, "documents"), convert_expression(F.col("text"), LATIN.items()))
 
 
 @query(f"WITH {LATIN_SRC}, {sql_replaced(LATIN, 'x')} SELECT lang, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_replaced FROM src JOIN x_n USING (doc_id) GROUP BY lang")
 def convert_pairs_by_lang(spark, sf_dir):
     c = C.Converter(spark, spark.createDataFrame([("hans", f, t, i) for i, (f, t) in enumerate(LATIN.items())], PAIRS))
-    docs = read(spark, sf_dir, "documents").filter("text is not null").select("lang", c.replaced(F.col("text"), "zh-hans").alias("n"))
+    docs = read(spark, sf_dir, "documents").select("lang", c.replaced(F.col("text"), "zh-hans").alias("n"))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_replaced"))
 
 
-@query(f"WITH src AS (SELECT conv_id || '/' || turn AS k, conv_id, turn, text FROM conversations WHERE text IS NOT NULL), {sql_converted(LATIN, key='k')} SELECT conv_id, string_agg(conv.text, '|' ORDER BY turn, k) AS talk FROM src JOIN conv USING (k) GROUP BY conv_id")
+@query(f"WITH src AS (SELECT conv_id || '/' || turn AS k, conv_id, turn, text FROM conversations), {sql_converted(LATIN, key='k')} SELECT conv_id, string_agg(conv.text, '|' ORDER BY turn, k) AS talk FROM src JOIN conv USING (k) GROUP BY conv_id")
 def convert_pairs_conversations(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", C.convert_with_pairs(spark, F.col("text"), LATIN).alias("t"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", C.convert_with_pairs(spark, F.col("text"), LATIN).alias("t"))
     told = F.array_sort(F.collect_list(F.struct("turn", "t")))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(told, lambda s: s["t"]), "|").alias("talk"))
 
 
-@query(f"WITH src AS (SELECT p_partkey AS doc_id, p_name AS text FROM part WHERE p_name IS NOT NULL), {sql_converted(LATIN)} {DIGEST_SQL}")
+@query(f"WITH src AS (SELECT p_partkey AS doc_id, p_name AS text FROM part), {sql_converted(LATIN)} {DIGEST_SQL}")
 def make_converter_parts(spark, sf_dir):
     fn = C.make_converter(spark, None, spark.createDataFrame(list(LATIN.items()), "`from` string, `to` string"))
-    return digest(read(spark, sf_dir, "part").filter("p_name is not null").select(F.col("p_partkey").alias("doc_id"), "p_name"), fn(F.col("p_name")))
+    return digest(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name"), fn(F.col("p_name")))
 
 
 # ---- conversion with tables
@@ -196,6 +197,16 @@ _overlay_query("overlay_longest_wins", "zh-cn", {"計程": "慢", "計程車去"
 _overlay_query("overlay_protect", "zh-hk", PROTECT)
 
 
+REMOVED = ["國", "學"]
+
+
+@query(f"WITH src AS ({CHINESE}), {sql_converted({f: f if t in REMOVED else t for f, t in seed_pairs('zh-tw').items()})} {DIGEST_SQL}")
+def convert_removed_targets(spark, sf_dir):
+    """Disabled targets, all of single characters: these stay as they are."""
+    d = chinese(spark, sf_dir)
+    return digest(d, converter(spark).convert(d["text"], "zh-tw", removed=REMOVED))
+
+
 @query(f"WITH src AS ({CHINESE}), {sql_converted({**seed_pairs('zh-tw'), '火烛': '蠟燭', '黑': '烏黑'})} {DIGEST_SQL}")
 def overlay_rule_lines(spark, sf_dir):
     lines = "zh-cn:火烛;zh-tw:蠟燭;\n\nnot a rule\n黑=>zh-tw:烏黑;\n黑=>zh-hk:黧"
@@ -312,9 +323,9 @@ def q_value_string(spark, sf_dir):
     return _counted(spark, sf_dir).select("doc_id", C.q_values(C.ranked_confidences(F.col("c"))).alias("q_values"))
 
 
-@query(f"WITH src AS (SELECT doc_id, list_extract([{', '.join(map(q, SENTENCES))}], (doc_id % {len(SENTENCES)} + 1)::INT) AS whole, list_extract([{', '.join(q(s.encode()[:n].decode(errors='ignore') if n == 12 else s) for s in SENTENCES for n in [12])}], (doc_id % {len(SENTENCES)} + 1)::INT) AS low FROM documents) SELECT doc_id, CASE WHEN strlen(whole) <= 12 THEN whole WHEN strlen(low) = 12 THEN low ELSE left(whole, length(low) + 1) END AS head FROM src")
+@query(f"WITH src AS ({CHINESE}) SELECT doc_id, left(text, coalesce(list_min(list_filter(range(0, 41), lambda k: strlen(left(text, k)) >= 40)), 41)) AS head FROM src")
 def truncate_around(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", C.truncated(sentence(F.col("doc_id")), 12).alias("head"))
+    return chinese(spark, sf_dir).select("doc_id", C.truncated(F.col("text"), 40).alias("head"))
 
 
 @query(f"WITH src AS (SELECT doc_id, left(text, 3) AS text FROM ({CHINESE})), {sql_replaced(seed_pairs('zh-hant'), 'a')}, {sql_replaced(seed_pairs('zh-hans'), 'b')} SELECT doc_id, round((a_n.n / nullif(a_n.n + b_n.n, 0))::FLOAT::DOUBLE, 4) AS confidence FROM a_n JOIN b_n USING (doc_id)")
@@ -333,33 +344,40 @@ def corpus_rollup(spark, sf_dir):
 
 
 def _marked(spark, sf_dir) -> DataFrame:
+    """documents with markup before each text."""
     texts = F.array(*[F.lit(t) for t, _ in MARKUP])
-    return read(spark, sf_dir, "documents").select("doc_id", F.element_at(texts, (F.pmod("doc_id", F.lit(len(MARKUP))) + 1).cast("int")).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.element_at(texts, (F.pmod("doc_id", F.lit(len(MARKUP))) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _by_number(values: list[str | None], name: str) -> str:
-    return f"SELECT doc_id, list_extract([{', '.join('NULL' if v is None else q(v) for v in values)}], (doc_id % {len(values)} + 1)::INT) AS {name} FROM documents"
+    return f"SELECT doc_id, list_extract([{', '.join('NULL' if v is None else q(v) for v in values)}], (doc_id % {len(values)} + 1)::INT) AS {name}"
 
 
-@query(_by_number(SHOWN, "shown"))
-def markup_extended(spark, sf_dir):
-    d = _marked(spark, sf_dir)
-    return d.select("doc_id", converter(spark).convert_markup(d["text"], "zh-tw").alias("shown"))
+def _markup_query(name: str, shown: list[str], **options) -> None:
+    """The texts hold no markup and nothing to convert, so each comes after what its markup shows."""
 
+    def run(spark, sf_dir):
+        return digest(d := _marked(spark, sf_dir), converter(spark).convert_markup(d["text"], "zh-tw", **options))
 
-@query(_by_number([{2: "軟體國", 3: "國學", 6: "<code>國</code>國", 12: "乙甲", 13: "甲"}.get(i, s) for i, s in enumerate(SHOWN)], "shown"))
-def markup_basic(spark, sf_dir):
-    d = _marked(spark, sf_dir)
-    return d.select("doc_id", converter(spark).convert_markup(d["text"], "zh-tw", skip_code=False, global_rules=False).alias("shown"))
+    query(f"WITH s AS ({_by_number(shown, 'shown')}, coalesce(text, '') AS text FROM documents), conv AS (SELECT doc_id, shown || ' ' || text AS text FROM s) {DIGEST_SQL}", name)(run)
+
+
+_NO_GLOBAL, _NO_SKIP = {2: "軟體國", 3: "國學", 12: "乙甲", 13: "甲"}, {6: "<code>國</code>國"}
+_markup_query("markup_extended", SHOWN)
+_markup_query("markup_basic", [(_NO_GLOBAL | _NO_SKIP).get(i, s) for i, s in enumerate(SHOWN)], skip_code=False, global_rules=False)
+_markup_query("markup_no_global_rules", [_NO_GLOBAL.get(i, s) for i, s in enumerate(SHOWN)], global_rules=False)
+_markup_query("markup_no_code_skipping", [_NO_SKIP.get(i, s) for i, s in enumerate(SHOWN)], skip_code=False)
+_markup_query("markup_overlay", [s.replace("國", "囯") for s in SHOWN], pairs=[("国", "囯")])
+_markup_query("markup_removed_targets", [s.replace("國", "国") for s in SHOWN], removed=["國"])
 
 
-@query(_by_number([None] * 11 + ["乙"] + [None] * 4, "title"))
+@query(_by_number([None] * 11 + ["乙"] + [None] * 4, "title") + " FROM documents")
 def markup_title(spark, sf_dir):
     d = _marked(spark, sf_dir)
     return d.select("doc_id", C.page_title(d["text"], "zh-tw").alias("title"))
 
 
-_INNERS = f"r AS (SELECT doc_id, unnest(regexp_extract_all(text, '-\\{{([^\\n]+?)\\}}-', 1)) AS inner_text FROM (SELECT doc_id, list_extract([{', '.join(q(t) for t, _ in MARKUP)}], (doc_id % {len(MARKUP)} + 1)::INT) AS text FROM documents))"
+_INNERS = f"r AS (SELECT doc_id, unnest(regexp_extract_all(text, '-\\{{([^\\n]+?)\\}}-', 1)) AS inner_text FROM (SELECT doc_id, list_extract([{', '.join(q(t) for t, _ in MARKUP)}], (doc_id % {len(MARKUP)} + 1)::INT) || ' ' || coalesce(text, '') AS text FROM documents))"
 
 
 @query(f"WITH {_INNERS} SELECT doc_id, inner_text FROM r")
@@ -445,6 +463,44 @@ def flattened_stages(spark, sf_dir):
     return spark.createDataFrame(sorted(made.items()), "f string, t string")
 
 
+def _file(spark: SparkSession, text: str) -> str:
+    """A small file in the shared folder, written by Spark."""
+    path = f"{shared_dir(spark).rstrip('/')}/glyphspark/file-{uuid.uuid4().hex}"
+    spark.createDataFrame([(text,)], "text string").coalesce(1).write.text(path)
+    return path
+
+
+@query(f"WITH {SEED_SQL} SELECT tab, f, t, (row_number() OVER (PARTITION BY tab ORDER BY ord) - 1)::BIGINT AS place FROM seed")
+def table_from_arrays(spark, sf_dir):
+    """The seed written as constant arrays and read again."""
+    blocks = [f"    public const {name} = [\n" + "".join(f"        '{f}' => '{t}',\n" for tab, f, t, _ in seed_rows() if tab == table) + "    ];\n" for name, table in ARRAYS.items()]
+    return sources.read_arrays(spark, _file(spark, "<?php\n" + "".join(blocks))).select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"), F.col("ord").alias("place"))
+
+
+@query(f"WITH {SEED_SQL}, h AS (SELECT * FROM seed WHERE tab = 'hant') SELECT 'forward' AS tab, f, t FROM h WHERE f <> t UNION ALL SELECT 'reverse', t, arg_min(f, ord) FROM h GROUP BY t UNION ALL SELECT 'reverse', f || 'x', f FROM h")
+def table_from_dictionary(spark, sf_dir):
+    """A dictionary of two values a key, forward and in reverse; a key that is one of its values is left alone."""
+    path = _file(spark, "# a comment\n" + "".join(f"{f}\t{t} {f}x\n" for tab, f, t, _ in seed_rows() if tab == "hant"))
+    both = sources.read_dictionary(spark, path, "forward").unionByName(sources.read_dictionary(spark, path, "reverse", reverse=True))
+    return both.select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"))
+
+
+@query(f"WITH {SEED_SQL}, h AS (SELECT f, t FROM seed WHERE tab = 'hant' AND length(f) = 1 AND length(t) = 1) SELECT 'hk' AS tab, f, t || '!' AS t FROM h WHERE f NOT IN (SELECT t FROM h) UNION ALL SELECT 'hk', t, t || '!' FROM h GROUP BY t")
+def table_composed(spark, sf_dir):
+    """Two stages: characters, and variants of what these give."""
+    pairs = {f: t for tab, f, t, _ in seed_rows() if tab == "hant" and len(f) == len(t) == 1}
+    targets = set(pairs.values())
+    pairs = {f: t for f, t in pairs.items() if f not in targets or f == t}
+    files = {"STPhrases": ({}, {}), "STCharacters": (pairs, {t: f for f, t in pairs.items()}), "HKVariants": ({t: t + "!" for t in targets}, {})}
+    made = compose(spark, RulesetConfig(tables=("hk",), arrays=False, dictionaries=True), None, files.__getitem__)
+    return made.select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"))
+
+
+@query(f"SELECT * FROM {sql_values([(v,) for v in VARIANTS], 'tag')}")
+def enabled_variants(spark, sf_dir):
+    return spark.createDataFrame([(t,) for t in converter(spark).enabled()], "tag string")
+
+
 @query(f"SELECT * FROM {sql_values([(v.tag, v.name, v.script or '', ','.join(v.tables), ','.join(v.fallbacks)) for v in VARIANTS.values()], 'tag, name, script, tables, fallbacks')}")
 def variant_table(spark, sf_dir):
     return variants_frame(spark).select("tag", "name", F.coalesce("script", F.lit("")).alias("script"), F.array_join("tables", ",").alias("tables"), F.array_join("fallbacks", ",").alias("fallbacks"))
@@ -482,6 +538,29 @@ def cgroup_lines(spark, sf_dir):
     return r.select("r.original", groups.clean(F.col("r.conv")).alias("conv"))
 
 
+@query("SELECT p_partkey, p_name AS name, p_type AS description FROM part")
+def cgroup_headers(spark, sf_dir):
+    module = F.concat(F.lit('return {\n  name = "'), "p_name", F.lit("\",\n  description = '"), "p_type", F.lit("',\n}"))
+    template = F.concat(F.lit("{{CGroupH|name="), "p_name", F.lit("|desc={{lang|en|"), "p_type", F.lit("}}}}\ntext"))
+    p = read(spark, sf_dir, "part").select("p_partkey", groups.header(F.when(F.col("p_partkey") % 2 == 0, module).otherwise(template)).alias("h"))
+    return p.select("p_partkey", "h.name", "h.description")
+
+
+@query("SELECT p_brand, count(*)::BIGINT AS n FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 200 >= 66 GROUP BY p_brand")
+def cgroup_pages(spark, sf_dir):
+    k = F.col("p_partkey")
+    title = F.concat(F.when(k % 2 == 0, "Module:CGroup/").otherwise("Template:CGroup/"), "p_name", F.when(k % 5 == 0, "/doc").otherwise(""))
+    snippet = F.when(k % 7 != 0, "text").when(k % 2 == 0, "x return require('y')").otherwise("#REDIRECT [[z]]")
+    return read(spark, sf_dir, "part").filter(groups.is_group_page(title, (k % 200).cast("int"), snippet)).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT path, name, description, len(rules)::BIGINT AS n_rules, rules[1] AS first FROM (SELECT 'Module:CGroup/' || p_partkey AS path, p_name AS name, p_type AS description, ['zh-cn:' || p_brand || ';', 'zh-tw:' || p_name] AS rules FROM part)")
+def cgroup_harvest(spark, sf_dir):
+    text = F.concat(F.lit('return { name = "'), "p_name", F.lit('", description = "'), "p_type", F.lit('",\n{ original = "a", rule = "zh-cn:'), "p_brand", F.lit(';" },\n-- Item("no", "zh-cn:no")\nItem("b", "<span>zh-tw:'), "p_name", F.lit('</span>"),\n}'))
+    pages = read(spark, sf_dir, "part").select(F.concat(F.lit("Module:CGroup/"), F.col("p_partkey").cast("string")).alias("title"), text.alias("text"), F.lit(100).alias("size"), F.lit("").alias("snippet"))
+    return groups.harvest(pages).select("path", "name", "description", F.size("rules").cast("long").alias("n_rules"), F.get(F.col("rules.conv"), F.lit(0)).alias("first"))
+
+
 @query(f"WITH src AS ({CHINESE}), {sql_converted({**seed_pairs('zh-tw'), '甲': '乙', '乙': '乙'})} {DIGEST_SQL}")
 def cgroup_apply(spark, sf_dir):
     d = chinese(spark, sf_dir)
@@ -504,8 +583,7 @@ def stream_convert_counts(spark, sf_dir):
     path = f"{sf_dir}/documents.parquet"
     stream = streams.read_files(spark, path + "*", spark.read.parquet(path).schema)
     stream = stream.select("doc_id", "lang", F.concat(sentence(F.col("doc_id")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
-    put = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{put.rstrip('/')}/stream-{uuid.uuid4().hex}" if put else tempfile.mkdtemp(prefix="glyphspark-stream-")
+    base = f"{shared_dir(spark).rstrip('/')}/glyphspark/stream-{uuid.uuid4().hex}"
     out = streams.converted(stream, converter(spark), "text", "zh-tw").select("lang", F.length("text").cast("long").alias("n"))
     streams.run_available(out, f"{base}/out", f"{base}/state")
     return spark.read.schema("lang string, n long").parquet(f"{base}/out").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))

@@ -225,9 +225,14 @@ def test_text_job(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "in/a.txt").write_bytes("国\r\n学\n".encode())
     (tmp_path / "in/b.txt").write_bytes(b"\xff")
     (tmp_path / "in/c.txt").write_bytes(b" \n")
+    for k in "xy":
+        (tmp_path / "in" / k).mkdir()
+        (tmp_path / "in" / k / "a.txt").write_bytes(f"国{k}\n".encode())
     assert cli.main(["zh-tw", str(tmp_path / "in"), str(tmp_path / "out"), "--rule", "学=>zh-tw:斈"]) == 0
-    out = [p for p in (tmp_path / "out").rglob("part-*")]
-    assert [p.read_bytes().decode() for p in out] == ["國\r\n斈\n"] and "file=a.txt" in str(out[0])
+    out = {p.parent.name: p.read_bytes().decode() for p in (tmp_path / "out").rglob("part-*") if p.stat().st_size}
+    assert {k: v for k, v in out.items() if k != "_left_out"} == {"file=a.txt": "國\r\n斈\n", "file=x%2Fa.txt": "國x\n", "file=y%2Fa.txt": "國y\n"}
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out/_left_out")).collect()) == ["b.txt", "c.txt"]
+    assert "left out: 2 files" in capsys.readouterr().err
     assert cli.main(["zh-tw", "--dump-table", "--rule", "新=>zh-tw:薪"]) == 0
     lines = capsys.readouterr().out.splitlines()
     assert "新 薪" in lines and len(lines) == len(seed_pairs("zh-tw")) + 1
