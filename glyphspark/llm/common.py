@@ -1,38 +1,20 @@
-"""Helpers shared by the operators: shared folders, words, prefix sums."""
+"""Helpers shared by the operators: written tables, words, prefix sums, blocks of texts."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    put = spark.conf.get("spark.checkpoint.dir", None)
-    if put:
-        return put
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="glyphspark-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return "file://" + _LOCAL[0]
-
-
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Writes df below the shared folder and reads it back, which cuts its lineage.
 
