@@ -3,6 +3,8 @@
 import hashlib
 import shutil
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from glyphspark.llm import bpe, pii
 from glyphspark.llm import queries as llm_queries
@@ -42,6 +44,31 @@ def test_stages(spark, tmp_path):
     shutil.rmtree(tmp_path)
 
 
+def test_every_stage_takes_odd_rows(spark):
+    """Null, repeated, very long and clashing rows and an empty table, stage by stage."""
+    prose = lambda k, n=60: " ".join(f"w{k}x{j * (k + 3) % 97}y" for j in range(n))
+    rows = [(k, prose(k), "en", f"s{k % 3}", 1) for k in range(12)] * 2 + [(None, prose(50), None, None, None), (None, None, None, None, None), (60, "", "en", "s1", 0), (61, None, "en", "s1", None)]
+    rows += [(5, prose(70), "en", "s1", 1), (5, prose(5), "en", "other", 1), (80, " ".join(f"v{j}" for j in range(60_000)) + " mail a@b.cd", "en", None, 1)]
+    names = ["row", "key", "node", "fp", "base", "copies", "size", "target", "id", "host"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    expected = sorted({r[0] for r in rows if r[0] is not None} - {60, 61})
+    full, none = docs, docs.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        full, none = stage(spark, full, ""), stage(spark, none, "")
+        assert none.count() == 0
+        if k < 4:
+            assert full.columns == docs.columns
+            got = full.select("doc_id", "text", *names).collect()
+            assert all([r[c] for c in names] == list(range(len(names))) for r in got)
+        if k == 0:
+            assert len(got) == len(rows) - 3
+        if k == 1:
+            assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted([*expected, 5]) and sum(r.doc_id is None for r in got) == 1
+        if k == 2:
+            assert [r.text[-7:] for r in got if r.doc_id == 80] == ["<email>"]
+    assert set(full.columns) >= {"doc_id", "n_tokens", "tokens", "ids_sha256", "decoded_sha256"} and full.count() > 0
+
+
 def test_queries_are_registered():
     assert sorted(llm_queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(llm_queries.QUERIES)
     assert [int(n[2:].split("_")[0]) for n in llm_queries.QUERIES] == list(range(1, 11))
