@@ -8,15 +8,17 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Characters of a text that are encoded at once.
-PIECE = 1 << 16
+#: Characters of a text that are encoded at once; bytes of texts whose tokens are held at once, one text at least.
+PIECE, HELD = 1 << 16, 1 << 21
 SAFE = re.compile(r"(?<=[0-9A-Za-z]) ")
 
 
@@ -48,14 +50,25 @@ def safe_pieces(text: str, piece: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
+def in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about HELD bytes of its second column, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, ids: bool = True) -> DataFrame:
     """Token ids, decoded bytes and digests of every text.
 
     Returns the id, n_tokens, tokens (array of int) and decoded (binary, equal
     to the text's UTF-8), with their digests; with ids=False only the digests.
     A null or empty text has no tokens and the digests of nothing. Each input
-    row gives one row; other columns of df are not read. Memory is bounded by
-    the rows of an Arrow batch and their tokens.
+    row gives one row, an empty table none; other columns of df are not read.
+    Memory is bounded by an Arrow batch and the tokens of HELD bytes, or of the
+    longest text.
     """
     path = tokenizer_path(ranks)
     kind = df.select(id_col).schema[0].dataType.simpleString()
@@ -63,7 +76,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         names = [str(i).encode() for i in range(enc.n_vocab)]
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole)):
             counts, shas, backs, lists, raws = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 n, got, back, all_ids, raw = 0, hashlib.sha256(), hashlib.sha256(), [], []
