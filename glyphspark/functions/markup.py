@@ -78,20 +78,15 @@ def text_for(texts: dict[str, str], target: str) -> str | None:
     return next((texts[v] for v in (target, *VARIANTS[target].fallbacks) if v in texts), None)
 
 
+#: An entity with what may still be of one behind it, or a semicolon that ends a part; behind one right after & such characters follow as well.
+_ENTITY_OR_END = re.compile(r"&[#0-9A-Za-z][#0-9A-Za-z;]*|(?P<end>;)(?:(?<=&;)[#0-9A-Za-z;]*)?")
+
+
 def _segments(body: str) -> tuple[list[str], str]:
     """The parts that semicolons end, and the rest. A semicolon after an entity's name ends none."""
-    out, start, entity = [], 0, None
-    for i, c in enumerate(body):
-        if c == "&":
-            entity = i
-        elif c == ";":
-            # lengths count in UTF-8, but an entity is ASCII: one other character ends it
-            if entity is None or i - entity <= 1:
-                out.append(body[start:i])
-                start = i + 1
-        elif not (c == "#" or (c.isascii() and c.isalnum())):
-            entity = None
-    return out, body[start:]
+    ends = [m.start() for m in _ENTITY_OR_END.finditer(body) if m["end"]]
+    starts = [0, *(e + 1 for e in ends)]
+    return [body[a:e] for a, e in zip(starts, ends, strict=False)], body[starts[-1] :]
 
 
 def parse_conv(body: str) -> Conv:
