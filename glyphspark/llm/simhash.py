@@ -4,7 +4,8 @@ Fingerprints are made in Arrow batches. Equal ones become one class, by a
 grouped minimum of ids, so copies cost nothing later. Two fingerprints that
 differ in at most r bits agree in all but r of any bands, so r + 2 bands give
 keys of two bands of which at least one is shared: classes meet under equal
-keys, and large keys are split into pairs of blocks for different tasks.
+keys. The classes of a key with many are told apart by what is left of their
+fingerprints, which is cut into bands again, and so on: no key stays large.
 
 Where classes meet, fingerprints are compared bit-sliced: 64 of them stand
 vertically as 64 words, one for each bit. A query's bits are XORed into them
@@ -16,6 +17,7 @@ radius. Links of a key are reduced to a forest before they leave the task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +29,7 @@ from .common import materialize
 from .components import components, local_forest
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
-#: Classes under one key that one task compares; more are split into pairs of blocks.
+#: Classes under one key that are compared with each other; a key with more is refined.
 BLOCK = 4096
 #: Pairs of a query and a block of 64 that are compared at once.
 JOBS = 1 << 15
@@ -92,10 +94,10 @@ def near_lanes(planes: np.ndarray, block: np.ndarray, query: np.ndarray, radius:
     return found
 
 
-def links_of_keys(key: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between nodes of equal key; where rows have a side other than 0, between its sides only."""
-    order = np.lexsort((node, side, key))
-    key, side, node, fp = key[order], side[order], node[order], fp[order].view(np.uint64)
+def links_of_keys(key: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between nodes of equal key."""
+    order = np.lexsort((node, key))
+    key, node, fp = key[order], node[order], fp[order].view(np.uint64)
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(begin, len(key)))
     keep = size > 1
@@ -127,7 +129,7 @@ def links_of_keys(key: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.nd
             bits = np.unpackbits(hit[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             r, lane = np.nonzero(bits)
             a, b = q[some[r]], lane0[block[some[r]]] + lane
-            ok = (b > a) & ((side[a] == 0) | (side[a] != side[b]))
+            ok = b > a
             a, b = local_forest(node[a[ok]], node[b[ok]]) if ok.any() else (node[:0], node[:0])
             out_a.append(a)
             out_b.append(b)
@@ -136,34 +138,44 @@ def links_of_keys(key: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.nd
     return local_forest(np.concatenate(out_a), np.concatenate(out_b))
 
 
-def band_keys(radius: int = RADIUS) -> list[tuple[int, int, int, int]]:
-    """Pairs of radius + 2 bands as (shift, bits, shift, bits)."""
+def band_keys(rows: DataFrame, width: int, radius: int) -> tuple[DataFrame, int]:
+    """Rows (node, fp, key, rest) under each pair of bands of ``rest``, of ``width`` bits: the new key, and the other bands as what is left, with its width."""
     n = radius + 2
-    cuts = [BITS * i // n for i in range(n + 1)]
-    bands = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
-    return [(*a, *b) for a, b in combinations(bands, 2)]
+    w = -(-width // n)
+    shifts = [i * w for i in range(n)]
+    bands = [F.shiftrightunsigned("rest", s).bitwiseAND(F.lit((1 << w) - 1)) if s < BITS else F.lit(0).cast("long") for s in shifts]
+    parts = []
+    for number, (i, j) in enumerate(combinations(range(n), 2)):
+        others = [F.shiftleft(band, s) for band, s in zip((b for k, b in enumerate(bands) if k not in (i, j)), shifts) if s < BITS]
+        rest = reduce(lambda a, b: a.bitwiseOR(b), others, F.lit(0).cast("long"))
+        parts.append(F.struct(F.xxhash64("key", F.lit(number), bands[i], bands[j]).alias("key"), rest.alias("rest")))
+    out = rows.select("node", "fp", F.explode(F.array(*parts)).alias("part")).select("node", "fp", "part.key", "part.rest")
+    return out, min(width, (n - 2) * w)
 
 
 def near_links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join all classes (node, fp) within the radius into their components."""
-
-    def band(shift: int, bits: int) -> F.Column:
-        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
-
-    keys = F.array(*[F.xxhash64(F.lit(i), band(a, n), band(b, m)) for i, (a, n, b, m) in enumerate(band_keys(radius))])
-    rows = materialize(classes.select("node", "fp", F.explode(keys).alias("key")), "keys", narrow=True)
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(sizes, "key")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    small = rows.filter(F.col("n") <= block).select("key", F.lit(0).alias("side"), "node", "fp")
-    # A large key: each pair of its blocks is a key of its own, and links within a block are found under the pair of the block with itself.
-    large = rows.filter(F.col("n") > block).withColumn("own", own).withColumn("parts", parts)
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    large = large.select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"), "node", "fp",
-    )
-    jobs = small.unionByName(large).repartition("key").sortWithinPartitions("key")
+    """Links (a, b) that join all classes (node, fp), of different fingerprints, within the radius into their components.
+
+    A key with more than ``block`` classes is refined by the bits that its two
+    bands leave (64, 32, 16, 8 for a radius of 2): near ones among them still
+    share a pair of the next bands. It ends where the bits left have no more
+    values than a block, so a key's comparisons are bounded however many
+    classes are alike, and no link is lost.
+    """
+    rows, width = classes.select("node", "fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), BITS
+    jobs = None
+    while True:
+        before = width
+        rows, width = band_keys(rows, width, radius)
+        rows = materialize(rows, "keys", narrow=True)
+        sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keysizes", narrow=True)
+        last = 1 << width <= block or width == before or sizes.filter(F.col("n") > block).isEmpty()
+        part = rows.join(sizes if last else sizes.filter(F.col("n") <= block), "key").select("key", "node", "fp")
+        jobs = part if jobs is None else jobs.unionByName(part)
+        if last:
+            break
+        rows = rows.join(sizes.filter(F.col("n") > block), "key").select("node", "fp", "key", "rest")
+    jobs = jobs.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -174,7 +186,7 @@ def near_links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for rb in batches:
-            cols = np.stack([rb.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            cols = np.stack([rb.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
             held.append(cols)
             rows_held += cols.shape[1]
             if rows_held >= 1 << 16:  # a key has all its rows before the next begins
