@@ -11,6 +11,8 @@ source: over size classes, over 256 slices of a class, and over the documents
 of a slice. A class is a size's number of digits with its two leading digits;
 neighbouring documents are thus of like size, which keeps the words taken near
 the target. The two upper levels have a bounded number of rows for each source.
+Rows alike in all that matters are one row with a count until the end, so many
+of them are no hot slice; documents without an id are dealt by their texts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import materialize, word_count
 #: One expected copy.
 ONE = 1 << 24
 SLICES = 256
+#: Equal rows that one task writes in a row; more are dealt anew.
+RUN = 1 << 16
 
 
 def size_class(size: Column) -> Column:
@@ -60,57 +64,89 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("share").isNull(), F.col("most")).otherwise(rate * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
-    """How many copies of each document the mix takes.
-
-    Returns doc_id, size, source, source_size, target, copies, taken and the
-    columns named in ``keep``. A null text has size 0; a null source is a
-    source of its own; rows with equal ids are separate documents, in an order
-    fixed by id alone, so that rerunning agrees. Sources of size 0 and empty
-    tables have target 0 and no copies. Other columns of docs are not read.
-    """
-    keep = keep or []
+def _alike(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
+    """Rows of equal id, source, size and columns of ``keep`` as one, with their number n and their place; written."""
     whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     i = F.col(id_col).cast("long") if whole else F.crc32(F.col(id_col).cast("string"))
+    of_text = F.conv(F.substring(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 1, 2), 16, 10).cast("long")
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.pmod(F.coalesce(i, F.lit(0)), F.lit(SLICES)).cast("long").alias("slice"),
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.pmod(F.coalesce(i, of_text), F.lit(SLICES)).cast("long").alias("slice"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
     ).withColumn("class", size_class(F.col("size")))
-    rows = materialize(rows, "mix", narrow=True)
-    aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
+    return materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "mix", narrow=True)
+
+
+def _placed(rows: DataFrame, cap: float, seed: int) -> DataFrame:
+    """Rows of _alike with ``each``, the expected copies of one, and ``start``, the sum of those before them from the offset."""
+    keep = [c for c in rows.columns if c.startswith("keep_")]
+    aim = targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), cap)
     aim = aim.withColumn("each", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE + 0.5)).otherwise(0).cast("long")).withColumn("none", F.col("source").isNull())
     key = ["none", "source_key"]
     keyed = lambda d: d.withColumn("none", F.col("source").isNull()).withColumn("source_key", F.coalesce("source", F.lit("")))
     rows, aim = keyed(rows), keyed(aim).select(*key, "source_size", "target", "each")
-    slices = rows.groupBy(*key, "class", "slice").agg(F.count(F.lit(1)).alias("n"))
+    slices = rows.groupBy(*key, "class", "slice").agg(F.sum("n").alias("n"))
     classes = slices.groupBy(*key, "class").agg(F.sum("n").alias("n"))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     classes = classes.select(*key, "class", earlier(Window.partitionBy(*key).orderBy("class")).alias("class_at"))
     slices = slices.select(*key, "class", "slice", earlier(Window.partitionBy(*key, "class").orderBy("slice")).alias("slice_at"))
     starts = slices.join(classes, [*key, "class"]).join(aim, key)
-    in_slice = Window.partitionBy(*key, "class", "slice").orderBy("size", "id")
-    rows = rows.withColumn("k", F.row_number().over(in_slice).cast("long")).join(starts, [*key, "class", "slice"])
-    upto = (F.col("class_at") + F.col("slice_at") + F.col("k")) * F.col("each") + offset(F.col("source"), seed)
+    in_slice = Window.partitionBy(*key, "class", "slice").orderBy("size", "id", *keep)
+    rows = rows.withColumn("at", earlier(in_slice)).join(starts, [*key, "class", "slice"])
+    return rows.withColumn("start", (F.col("class_at") + F.col("slice_at") + F.col("at")) * F.col("each") + offset(F.col("source"), seed))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, seed: int = 42) -> DataFrame:
+    """How many copies of each document the mix takes.
+
+    Returns doc_id, size, source, source_size, target, copies and taken. A null
+    text has size 0; a null source is a source of its own; rows with equal ids
+    are separate documents, in an order fixed by id, size and source alone, so
+    that rerunning agrees. Sources of size 0 and empty tables have target 0 and
+    no copies. Other columns of docs are not read.
+    """
+    alike = _alike(docs, id_col, text_col, source_col, [])
+    rows = _placed(alike, cap, seed).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("n") - 1, RUN.bit_length() - 1))))
+    if not alike.filter(F.col("n") > RUN).isEmpty():
+        rows = rows.repartition("id", "source", "size", "run")
+    rest = F.least(F.col("n") - F.col("run") * RUN, F.lit(RUN))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), rest)))
+    upto = F.col("start") + (F.col("run") * RUN + F.col("k")) * F.col("each")
     rows = rows.withColumn("upto", upto).withColumn("copies", F.shiftright("upto", 24) - F.shiftright(F.col("upto") - F.col("each"), 24))
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, seed: int = 42) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it.
 
-    Rows of equal id and text take the copies of those in turn.
+    Rows of equal id, text and source share the copies of those evenly. Texts
+    are shuffled once, to meet their copies. Where equal rows get one copy more
+    than others, such rows are written and numbered by the task that read them.
+    An empty table stays empty.
     """
-    key = lambda d: d.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    copies = mix(key(docs), id_col, text_col, source_col, cap, seed, keep=["__key"]).filter("copies > 0")
-    copies = copies.select("__key", F.row_number().over(Window.partitionBy("__key").orderBy(F.col("copies").desc())).alias("__turn"), F.col("copies").alias("__copies"))
-    rows = key(docs).withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
-    taken = rows.join(copies, ["__key", "__turn"])
+    text = F.col(text_col).cast("string")
+    names = ["__h1", "__h2"]
+    keyed = docs.select("*", *[F.xxhash64(F.lit(k), F.col(id_col), text.isNull(), text, F.col(source_col)).alias(h) for k, h in enumerate(names)])
+    groups = _placed(_alike(keyed, id_col, text_col, source_col, names), cap, seed)
+    copies = F.shiftright(F.col("start") + F.col("n") * F.col("each"), 24) - F.shiftright("start", 24)
+    groups = groups.select(*[F.col(f"keep_{h}").alias(h) for h in names], "n", copies.alias("__all")).filter("__all > 0")
+    groups = materialize(groups.select(*names, F.expr("__all div n").alias("__copies"), F.expr("__all % n").alias("__more")), "copies", narrow=True)
+    taken = keyed.join(groups.filter("__more = 0"), names).select(*docs.columns, "__copies")
+    uneven = groups.filter("__more > 0")
+    if not uneven.isEmpty():
+        rows = materialize(keyed.withColumn("__task", F.spark_partition_id()).join(uneven, names), "uneven")
+        task = [*names, "__task"]
+        counts = rows.groupBy(*task).agg(F.count(F.lit(1)).alias("__n"))
+        earlier = Window.partitionBy(*names).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(*task, F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long")).alias("__before"))
+        rows = rows.join(counts, task).withColumn("__turn", F.row_number().over(Window.partitionBy(*task).orderBy(F.lit(0))) + F.col("__before"))
+        rows = rows.withColumn("__copies", F.col("__copies") + (F.col("__turn") <= F.col("__more")).cast("long")).filter("__copies > 0")
+        taken = taken.unionByName(rows.select(*docs.columns, "__copies"))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-k AS (SELECT *, coalesce(doc_id, 0) % {SLICES} AS slice, CASE WHEN size < 100 THEN size ELSE length(size::VARCHAR) * 100 + left(size::VARCHAR, 2)::BIGINT END AS class FROM d),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || left(md5(coalesce(text, '')), 2))::BIGINT AS of_text FROM documents),
+k AS (SELECT *, coalesce(doc_id % {SLICES}, of_text) AS slice, CASE WHEN size < 100 THEN size ELSE length(size::VARCHAR) * 100 + left(size::VARCHAR, 2)::BIGINT END AS class FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 r AS (SELECT *, source_size * 3.0::DOUBLE AS most, source_size * 3.0::DOUBLE / w AS ratio FROM s),
 t AS (SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_size,

@@ -70,6 +70,27 @@ def test_sample_repeats_rows(docs):
     assert Counter(r.doc_id for r in out.collect()) == +copies
 
 
+def test_many_equal_rows_share_their_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 64)
+    rows = [(None, None, None, k % 7) for k in range(300)] + [(5, "one two three", "a", k) for k in range(500)] + [(None, f"text {k} " * (k % 9), "b", k) for k in range(200)]
+    rows += [(k, "w " * (k % 50), "c", k) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(6)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    copies = Counter()
+    for g in got:
+        copies[g.doc_id, g.source] += g.copies
+    # The five hundred stand one after the other: the sum of their copies is fixed to within one.
+    of_a = [g for g in got if g.source == "a"]
+    assert abs(copies[5, "a"] - 500 * of_a[0].target / of_a[0].source_size) <= 1 and max(g.copies for g in of_a) - min(g.copies for g in of_a) <= 1
+    out = mixing.sample(df).collect()
+    assert Counter((r.doc_id, r.source) for r in out) == +copies
+    each = Counter(r.extra for r in out if r.source == "a")
+    assert max(each.get(k, 0) for k in range(500)) - min(each.get(k, 0) for k in range(500)) <= 1
+    again = mixing.mix(df.repartition(2)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
 # ---- tokens
 
 
@@ -325,11 +346,36 @@ def test_links_in_split_keys(spark):
     df = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "node long, fp long")
     linked = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
     want = slow_components(range(len(fps)), linked)
-    for block in (4096, 7):
+    for block in (4096, 7, 1):
         got = {r.id: r.root for r in components.components(simhash.near_links(df, block=block)).collect()}
         assert {n: got.get(n, n) for n in want} == want
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3])
+def test_links_at_other_radii(spark, radius):
+    rng = np.random.default_rng(2)
+    fps = {int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 3)}
+    fps |= {f ^ (1 << int(a)) ^ (1 << int(b)) for f in list(fps) for a, b in rng.integers(0, 62, (30, 2))}
+    fps = sorted(fps)
+    df = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    linked = [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= radius]
+    want = slow_components(range(len(fps)), linked)
+    got = {r.id: r.root for r in components.components(simhash.near_links(df, radius, block=5)).collect()}
+    assert {n: got.get(n, n) for n in want} == want
+
+
+def test_hot_key_is_refined(spark):
+    """Twenty thousand classes that agree in half their bits: comparisons stay in proportion to classes."""
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 32, 20_000)).tolist()
+    df = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    seen = set(fps)
+    linked = [(k, fps.index(f ^ m)) for k, f in enumerate(fps) for m in [1 << a | 1 << b for a in range(32) for b in range(a + 1)] if f ^ m in seen and f ^ m > f]
+    got = {frozenset((r.a, r.b)) for r in simhash.near_links(df, block=256).collect()}
+    want = slow_components(range(len(fps)), linked)
+    assert slow_components(range(len(fps)), [tuple(g) for g in got if len(g) == 2]) == want
+
+
 def test_near_lanes_counts_exactly():
     rng = np.random.default_rng(0)
     for radius in (0, 1, 2, 3, 5):
