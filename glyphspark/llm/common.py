@@ -14,6 +14,9 @@ from ..scratch import shared_dir
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Equal rows that one row of a plan is turned into at once.
+RUN = 1 << 16
+
 
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Writes df below the shared folder and reads it back, which cuts its lineage.

@@ -21,13 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, word_count
+from .common import RUN, materialize, word_count
 
 #: One expected copy.
 ONE = 1 << 24
 SLICES = 256
-#: Equal rows that one task writes in a row; more are dealt anew.
-RUN = 1 << 16
 
 
 def size_class(size: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from . import bpe, licenses, media, mixing, pii, quality, quality_classifier, resampling, runs, simhash, substring_dedup, suffix_dedup, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +55,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_media, op4_simhash, op5_licenses, op6_quality, op7_substring_dedup, op8_suffix_dedup, op9_token_counts, op10_pii)}
-ORACLE_SQL = {"op1_mixing": mixing.SQL, "op6_quality": quality.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_suffix_dedup": suffix_dedup.SQL}
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return runs.find_runs(docs.select("doc_id", runs.planted(docs["doc_id"], docs["text"]).alias("text")), details=False)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_bpe, op3_media, op4_simhash, op5_licenses, op6_quality, op7_substring_dedup, op8_suffix_dedup, op9_token_counts, op10_pii, op11_quality_classifier, op12_runs, op13_resampling)}
+ORACLE_SQL = {"op1_mixing": mixing.SQL, "op6_quality": quality.SQL, "op7_substring_dedup": substring_dedup.SQL, "op8_suffix_dedup": suffix_dedup.SQL, "op13_resampling": resampling.SQL}
