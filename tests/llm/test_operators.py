@@ -436,19 +436,41 @@ def test_long_boilerplate_lines(spark):
 
 
 def slow_verdicts(rows, share=0.01):
-    """kept for each (id, text, host): base rules, then lines counted by host."""
+    """kept for each (id, text, host): base rules, then lines counted by host over distinct texts; of depleted rows with one least line the first stays."""
     norm = lambda x: " ".join(SPACE.findall(x)).lower()
-    docs, seen = Counter(h for _, _, h in rows), defaultdict(Counter)
-    for _, t, h in rows:
-        for x in {norm(x) for x in (t or "").split("\n") if SPACE.search(x)}:
-            seen[h, x][t] += 1
-    often = {(h, x) for (h, x), n in seen.items() for total in [len(n) if len(x.split(" ")) > 24 else sum(n.values())] if total > 10 and total > docs[h] * share}
-    out = []
+    md5 = lambda x: hashlib.md5((x or "").encode()).hexdigest()
+    docs, seen = Counter(h for _, _, h in rows), defaultdict(set)
     for _, t, h in rows:
+        for x in (t or "").split("\n"):
+            if SPACE.search(x):
+                seen[h, norm(x)].add(t)
+    often = {k for k, texts in seen.items() if len(texts) > 10 and len(texts) > docs[k[0]] * share}
+    told = []
+    for i, t, h in rows:
         n, *_, failed = slow_quality(t)
-        gone = sum(len(SPACE.findall(x)) for x in (t or "").split("\n") if SPACE.search(x) and (h, norm(x)) in often)
-        out.append(not failed and 3 * (n - gone) >= n)
-    return out
+        lost = [norm(x) for x in (t or "").split("\n") if SPACE.search(x) and (h, norm(x)) in often]
+        depleted = not failed and 3 * (n - sum(len(x.split(" ")) for x in lost)) < n
+        told.append((failed, depleted, h, {md5(x)[:16] for x in lost}, (i is None, i or 0, md5(t))))
+    safe = {(h, x) for failed, depleted, h, lost, _ in told if not failed and not depleted for x in lost}
+    keys = [min(risk) if depleted and (risk := {x for x in lost if (h, x) not in safe}) else None for _, depleted, h, lost, _ in told]
+    first = {}
+    for key, (_, _, h, _, me) in zip(keys, told, strict=True):
+        first[h, key] = min(first.get((h, key), me), me)
+    return [not failed and (not depleted or (key is not None and first[h, key] == me)) for key, (failed, depleted, h, _, me) in zip(keys, told, strict=True)]
+
+
+def test_no_text_goes_with_all_its_copies(spark):
+    """Exact copies of texts of short and of long lines, and near copies, at one host: some of each stay, whatever the length of lines."""
+    lines = lambda k, words, of: [" ".join(f"t{k}l{j}w{i}" for i in range(words)) for j in range(of)]
+    data = [(k, "\n".join(lines(k, 8, 20)), "h") for k in range(100)]
+    texts = {"short": lines("s", 8, 20), "long": lines("g", 30, 6), "single": lines("o", 200, 1)}
+    data += [(1000 * (j + 1) + k, "\n".join(x), "h") for j, x in enumerate(texts.values()) for k in range(12)]
+    near = lines("n", 8, 20)
+    data += [(9000 + k, "\n".join([*near[: k % 20], f"{near[k % 20]} but{k}", *near[k % 20 + 1 :]]), "h") for k in range(40)]
+    got = {r.doc_id for r in quality.keep(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert got == {r[0] for r, kept in zip(data, slow_verdicts(data), strict=True) if kept}
+    assert got >= set(range(100)) and all({1000 * (j + 1) + k for k in range(12)} <= got for j in range(3))
+    assert 1 <= len([i for i in got if i >= 9000]) <= 20
 
 
 def test_keep_goes_by_each_row(spark, docs, rows, empty):

@@ -44,6 +44,21 @@ def test_stages(spark, tmp_path):
     shutil.rmtree(tmp_path)
 
 
+def test_one_row_of_each_text_stays(spark):
+    """Copies of texts of short lines, of long lines and of one line, and near copies: rules and near-dedup leave one row of each."""
+    lines = lambda k, words, of: [" ".join(f"t{k}l{j}w{i}" for i in range(words)) for j in range(of)]
+    rows = [(k, "\n".join(lines(k, 8, 20)), "en", "h", 1) for k in range(100)]
+    texts = [lines("s", 8, 20), lines("g", 30, 6), lines("o", 200, 1), lines("n", 8, 60)]
+    rows += [(1000 * (j + 1) + k, "\n".join(x), "en", "h", 1) for j, x in enumerate(texts[:3]) for k in range(12)]
+    rows += [(4000 + k, "\n".join([*texts[3][: k % 60], f"{texts[3][k % 60]}x", *texts[3][k % 60 + 1 :]]), "en", "h", 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    left = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, kept, "").collect()]
+    assert set(left) >= set(range(100)) and [sum(i // 1000 == k for i in left) for k in (1, 2, 3)] == [1, 1, 1]
+    roots = slow_components(fp := {r[0]: slow_fingerprint(r[1]) for r in kept.select("doc_id", "text").collect() if r[0] >= 4000}, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2])
+    assert fp and sorted(i for i in left if i >= 4000) == sorted(set(roots.values()))
+
+
 def test_every_stage_takes_odd_rows(spark):
     """Null, repeated, very long and clashing rows and an empty table, stage by stage."""
     prose = lambda k, n=60: " ".join(f"w{k}x{j * (k + 3) % 97}y" for j in range(n))
@@ -71,6 +86,6 @@ def test_every_stage_takes_odd_rows(spark):
 
 def test_queries_are_registered():
     assert sorted(llm_queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(llm_queries.QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in llm_queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in llm_queries.QUERIES] == list(range(1, 14))
     assert set(llm_queries.ORACLE_SQL) <= set(llm_queries.QUERIES)
     assert pii.KINDS[:4] == pii.BASE
