@@ -29,6 +29,7 @@ import json
 import random
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -258,10 +259,24 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: in
         return F.filter(F.transform(F.filter(windows, lambda s: F.arrays_overlap(s["w"], anchors)), lambda s: judged(s["w"], s["i"])), known)
 
     def merged(own: Column, wrapped: Column) -> Column:
-        """Verdicts of lines, and those of line breaks whose family neither line beside them has."""
-        beside = lambda f, i, fam: ((f["line"] == i) | (f["line"] == i + 1)) & (f["family"] == fam)
-        new = F.filter(wrapped, lambda x: ~F.exists(own, lambda f: beside(f, x["line"], x["family"])))
-        return let(new, lambda new: F.array_sort(F.concat(F.filter(own, lambda f: known(f) | ~F.exists(new, lambda x: (x["line"] == f["line"]) | (x["line"] + 1 == f["line"]))), new)))
+        """Verdicts of lines, and those of line breaks whose family neither line beside them has. All are sorted by place, a line's at twice its number and the break behind it next, so only neighbours are looked at."""
+        placed = lambda fs, behind: F.transform(fs, lambda f: F.struct((2 * f["line"] + behind).alias("at"), f.alias("f")))
+
+        def beside(events: Column, e: Column, j: Column, test: Callable[[Column, Column], Column]) -> Column:
+            one = lambda d: let(F.get(events, j + d), lambda o: F.coalesce((o["at"] == e["at"] + d) & test(o, j + d), F.lit(False)))
+            return one(-1) | one(1)
+
+        def told(events: Column) -> Column:
+            is_break = lambda e: e["at"] % 2 == 1
+            new = F.transform(events, lambda e, j: is_break(e) & ~beside(events, e, j, lambda o, _: o["f"]["family"] == e["f"]["family"]))
+
+            def kept(new: Column) -> Column:
+                stays = lambda e, j: F.when(is_break(e), F.get(new, j)).otherwise(known(e["f"]) | ~beside(events, e, j, lambda _, k: F.get(new, k)))
+                return F.array_sort(F.transform(F.filter(events, stays), lambda e: e["f"]))
+
+            return let(new, kept)
+
+        return let(F.array_sort(F.concat(placed(own, 0), placed(wrapped, 1))), told)
 
     def all_found(tokens: Column) -> Column:
         own = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.regexp_like(s["x"], F.lit(ANCHOR_PATTERN))), lambda s: judged(F.element_at(tokens, s["i"] + 1), s["i"]))

@@ -7,8 +7,9 @@ for each source, a document is emitted once for every whole number that its
 part of the prefix sum crosses.
 
 The prefix sum of a source is taken in three levels, so that no task holds a
-source: over size classes, over 256 slices of a class, and over the documents
-of a slice. A class is a size's number of digits with its two leading digits;
+source: over size classes, over slices of a class by a hash of the id, and over
+the documents of a slice. There are 256 slices, and sixteen times as many
+whenever a slice of all documents would have more than ``SLICE``. A class is a size's number of digits with its two leading digits;
 neighbouring documents are thus of like size, which keeps the words taken near
 the target. The two upper levels have a bounded number of rows for each source.
 Rows alike in all that matters are one row with a count until the end, so many
@@ -19,13 +20,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import RUN, materialize, word_count
 
 #: One expected copy.
 ONE = 1 << 24
-SLICES = 256
+#: Documents of a slice, of all sources and classes together, at most; hex digits that name a slice, at least.
+SLICE, DIGITS = 1 << 16, 2
 
 
 def size_class(size: Column) -> Column:
@@ -62,16 +63,24 @@ def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("share").isNull(), F.col("most")).otherwise(rate * F.col("w")).alias("target"))
 
 
+def slice_digits(n: int) -> int:
+    """Hex digits of a slice's name for so many documents."""
+    digits = DIGITS
+    while n > SLICE << 4 * digits:
+        digits += 1
+    return digits
+
+
 def _alike(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
     """Rows of equal id, source, size and columns of ``keep`` as one, with their number n and their place; written."""
-    whole = isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    i = F.col(id_col).cast("long") if whole else F.crc32(F.col(id_col).cast("string"))
-    of_text = F.conv(F.substring(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 1, 2), 16, 10).cast("long")
+    slice_ = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(""))), 1, 8)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.pmod(F.coalesce(i, of_text), F.lit(SLICES)).cast("long").alias("slice"),
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), slice_.alias("slice"),
         *[F.col(c).alias(f"keep_{c}") for c in keep],
     ).withColumn("class", size_class(F.col("size")))
-    return materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "mix", narrow=True)
+    alike = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "mix", narrow=True)
+    digits = slice_digits(alike.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"])
+    return alike.withColumn("slice", F.substring("slice", 1, digits))
 
 
 def _placed(rows: DataFrame, cap: float, seed: int) -> DataFrame:
@@ -143,8 +152,9 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || left(md5(coalesce(text, '')), 2))::BIGINT AS of_text FROM documents),
-k AS (SELECT *, coalesce(doc_id % {SLICES}, of_text) AS slice, CASE WHEN size < 100 THEN size ELSE length(size::VARCHAR) * 100 + left(size::VARCHAR, 2)::BIGINT END AS class FROM d),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS m FROM documents),
+n AS (SELECT {DIGITS} + {" + ".join(f"(count(*) > {SLICE << 4 * k})::INT" for k in range(DIGITS, 8))} AS digits FROM documents),
+k AS (SELECT d.*, left(m, digits) AS slice, CASE WHEN size < 100 THEN size ELSE length(size::VARCHAR) * 100 + left(size::VARCHAR, 2)::BIGINT END AS class FROM d, n),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 r AS (SELECT *, source_size * 3.0::DOUBLE AS most, source_size * 3.0::DOUBLE / w AS ratio FROM s),
 t AS (SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_size,

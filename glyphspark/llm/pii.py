@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import as_column, calibrated_threshold, fit, log_odds
-from .common import cut, exclusive_scan, exclusive_sums, in_blocks, let, text_blocks
+from .common import cut, exclusive_scan, exclusive_sums, let, text_blocks
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
 BASE = KINDS[:4]
@@ -209,18 +209,22 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: li
             fs = F.struct(*[c.alias(n) for c, n in zip(candidate_features(m["s"], cut(blocks, at, m["start"] - at)), FEATURES, strict=True)])
             return let(fs, lambda f: as_column(trees, [f[n] for n in FEATURES]) >= F.lit(least))
 
-        chosen = let(free(matches(text, PATTERNS[kind][1])), lambda ms: F.when(F.size(ms) == 0, ms).otherwise(let(text_blocks(text), lambda blocks: F.filter(ms, lambda m: good(m, blocks)))))
+        chosen = let(let(matches(text, PATTERNS[kind][1]), free), lambda ms: F.when(F.size(ms) == 0, ms).otherwise(let(text_blocks(text), lambda blocks: F.filter(ms, lambda m: good(m, blocks)))))
         return F.transform(chosen, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
 
     def free(candidates: Column) -> Column:
-        """Candidates that overlap no base span. Base spans are sorted, and blocks of them are passed over by their first start and last end."""
-        block = lambda b: F.struct(F.array_min(F.transform(b, lambda x: x["start"])).alias("first"), F.array_max(F.transform(b, lambda x: x["end"])).alias("last"), b.alias("of"))
+        """Candidates that overlap no base span: of those base spans that start before a candidate's end, none ends after its start. Both are sorted together, so one pass over them tells."""
+        no_match = F.lit(None).cast("struct<start:bigint,end:bigint,s:string>")
+        nothing = F.lit(0).cast("long")
+        base = F.transform("base", lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("turn"), b["end"].alias("end"), no_match.alias("m")))
+        asked = F.transform(candidates, lambda m: F.struct(m["end"].alias("at"), F.lit(0).alias("turn"), nothing.alias("end"), m.alias("m")))
 
-        def outside(bs: Column) -> Column:
-            meets = lambda m: F.exists(bs, lambda b: (b["first"] < m["end"]) & (m["start"] < b["last"]) & F.exists(b["of"], lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
-            return F.filter(candidates, lambda m: ~meets(m))
+        def told(events: Column) -> Column:
+            before = exclusive_scan(F.transform(events, lambda e: e["end"]), nothing, lambda a, b: F.greatest(a, b))
+            free_ = F.filter(F.zip_with(events, before, lambda e, b: F.struct(((e["turn"] == 0) & (b <= e["m"]["start"])).alias("free"), e["m"].alias("m"))), lambda x: x["free"])
+            return F.transform(free_, lambda x: x["m"])
 
-        return F.when(F.size("base") == 0, candidates).otherwise(let(F.transform(in_blocks(F.col("base"), 64), block), outside))
+        return F.when((F.size("base") == 0) | (F.size(candidates) == 0), candidates).otherwise(let(F.array_sort(F.concat(base, asked)), told))
 
     rows = rows.withColumn("base", F.array_sort(F.concat(*[base(k) for k in BASE])))
     return rows.withColumn("more", F.array_sort(F.concat(judged("secret"), judged("number"))))
@@ -249,7 +253,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     Where spans overlap, the one that starts first names what both cover. A
     null text stays null, an empty one empty. Repeated rows each give a row;
     an empty table gives none; a kept column may have any name but the id's
-    and the text's. Time is in proportion to the text and its spans.
+    and the text's. Time is in proportion to the text and to sorting its spans.
     """
     f = find(df, id_col, text_col, [*(keep or []), text_col])
     kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS])

@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphspark.llm import boosting, bpe, chunked, components, licenses, media, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
@@ -23,6 +25,14 @@ def same(df, expected, *cols):
 # ---- mixing
 
 
+def test_slices_of_strided_ids(spark):
+    """Ids in steps of 4096 fall into as many slices as others, and more documents make more slices."""
+    rows = mixing._alike(spark.range(5000).select((F.col("id") * 4096).alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source")), "doc_id", "text", "source", [])
+    per = [r["count"] for r in rows.groupBy("slice").count().collect()]
+    assert len(per) == 256 and max(per) < 60
+    assert [mixing.slice_digits(n) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 28, (1 << 28) + 1, 10**11)] == [2, 2, 3, 3, 4, 6]
+
+
 def water_fill(sizes, cap=3):
     names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
@@ -740,17 +750,29 @@ def test_tree_columns_equal_numpy(spark):
         assert np.allclose(got, boosting.log_odds(trees, x), atol=1e-9)
 
 
-def test_time_grows_with_spans(spark):
-    import time
-
-    text = " ".join(f"u{k}@x.org 555-{k % 900 + 100}-{k % 9000 + 1000} w" for k in range(60_000))[:2_000_000]
+def seconds(spark, operator, texts):
+    """What each text takes beyond one that is almost empty."""
     took = []
-    for n in (1000, len(text)):
-        df = spark.createDataFrame([(1, text[:n])], "doc_id long, text string")
+    for t in (texts[0][:100], *texts):
+        df = spark.createDataFrame([(1, t)], "doc_id long, text string")
         start = time.time()
-        assert pii.redact(df).first().n_spans > n / 50
+        operator(df).collect()
         took.append(time.time() - start)
-    assert took[1] - took[0] < 60
+    return [max(t - took[0], 0.2) for t in took[1:]]
+
+
+@pytest.mark.parametrize("operator", [pii.redact, pii.report])
+def test_time_grows_with_spans(spark, operator):
+    """Base spans and candidates by turns, in two texts of which one is eight times the other: time in the square would be 64 times."""
+    text = " ".join(f"u{k}@x.org 555-{k % 900 + 100}-{k % 9000 + 1000} w" for k in range(60_000))[:2_000_000]
+    small, large = seconds(spark, operator, [text[: len(text) // 8], text])
+    assert large < 24 * small and large < 60
+
+
+def test_time_grows_with_line_breaks(spark):
+    """Notices wrapped at every other line break, in two texts of which one is eight times the other."""
+    small, large = seconds(spark, licenses.scan, ["released under the\nmit license\n" * n for n in (500, 4000)])
+    assert large < 24 * small and large < 60
 
 
 def test_trees_held_out_accuracy(spark):
