@@ -565,7 +565,6 @@ def test_suffix_dedup_of_frequent_anchors(spark, monkeypatch, often):
 def test_largest_bucket_is_bounded(spark):
     import random
 
-    from pyspark.sql import functions as F
 
     r = random.Random(9)
     letters = lambda n: "".join(r.choice("abcdefgh ijklm") for _ in range(n))
@@ -758,7 +757,7 @@ def seconds(spark, operator, texts):
         start = time.time()
         operator(df).collect()
         took.append(time.time() - start)
-    return [max(t - took[0], 0.2) for t in took[1:]]
+    return [max(t - took[0], 1.0) for t in took[1:]]
 
 
 @pytest.mark.parametrize("operator", [pii.redact, pii.report])
