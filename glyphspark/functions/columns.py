@@ -24,7 +24,7 @@ from ..operators import rulesets
 from ..sources import rulesets as sources
 from ..variants import DETECTED, TIES, VARIANTS, enabled, parse
 from .markup import Conv, MarkupConverter, PageRules, Rule, RuleError, conv_lines, parse_conv_or_text, parse_rule, parse_rule_or_text, parse_variant_map
-from .matcher import Matcher, convert_layered, groups_of
+from .matcher import Matcher, PassingMatcher, groups_of
 
 SPANS = "array<struct<start:int,`end`:int,src:string,dst:string>>"
 CONV = "struct<asis:string,both:map<string,string>,one_way:array<struct<variant:string,`from`:string,`to`:string>>>"
@@ -133,8 +133,8 @@ class Converter:
         if not base:
             return text  # nothing to convert with, overlays included
         if off:
-            held = self.shared((tag, "layers", tuple(over.items()), off), lambda: (base, Matcher(over)))
-            return _arrow("string", lambda t: each(lambda x: convert_layered(*held.get(), off, x), pa.string())(t), text)
+            held = self.shared((tag, "passing", tuple(over.items()), off), lambda: PassingMatcher(base, Matcher(over), off))
+            return _arrow("string", lambda t: held.get().convert_array(t), text)
         held = self.shared((tag, tuple(over.items())), lambda: base.merged(Matcher(over)) if over else base)
         return _arrow("string", lambda t: held.get().convert_array(t), text)
 

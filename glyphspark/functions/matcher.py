@@ -222,26 +222,30 @@ class Matcher:
         may[:-1] |= self.neighbours[_pair_hash(codes[:-1], codes[1:])]
         return np.flatnonzero(may).tolist()
 
-    def phrases(self, text: str) -> list[Span]:
-        """Spans of sources that the table can't map, leftmost-longest."""
-        found: list[Span] = []
+    def _phrases(self, text: str) -> Iterator[tuple[int, str]]:
+        """Places and sources of phrases, leftmost-longest."""
         if not self.heads or not self.heads.search(text):
-            return found
-        begin, pair, last, most = self.beginnings.get, self.pairs.get, 0, len(text)
+            return
+        begin, pairs, last, most = self.beginnings.get, self.pairs, 0, len(text)
         for at in self.candidates(text) if most >= SHORT else range(most):
             if at < last:
                 continue
             for n in begin(text[at : at + 2], ()):
-                target = pair(text[at : at + n])
-                if target is not None and at + n <= most:
-                    last = at + n
-                    found.append((at, last, target))
+                if at + n <= most and text[at : at + n] in pairs:
                     break
             else:
-                if text[at] in self.beginnings:
-                    last = at + 1
-                    found.append((at, last, pair(text[at])))
-        return found
+                n = int(text[at] in self.beginnings)
+            if n:
+                yield at, text[at : at + n]
+                last = at + self.step(text[at : at + n])
+
+    def step(self, source: str) -> int:
+        """How many characters a match of a source takes."""
+        return len(source)
+
+    def phrases(self, text: str) -> list[Span]:
+        """Spans of sources that the table can't map, leftmost-longest."""
+        return [(at, at + self.step(f), self.pairs[f]) for at, f in self._phrases(text)]
 
     def mapped(self, text: str) -> str:
         """The text with its single characters mapped, phrases or not; of equal length."""
@@ -299,6 +303,11 @@ class Matcher:
         order = np.argsort(h)
         return h[order], order, src, tgt
 
+    @cached_property
+    def steps(self) -> np.ndarray:
+        """How many characters a match of each phrase takes."""
+        return np.array([self.step(f) for f in self.phrase_list], np.int64)
+
     @cached_property
     def reach(self) -> np.ndarray:
         """By the hash of two neighbours: the length of the longest phrase that may begin with them."""
@@ -358,9 +367,9 @@ class Matcher:
         good = src.equal(which, codes, at)
         if not good.all():  # another text of the same hash: look again, without hashes
             text, starts = codes.tobytes().decode("utf-32-le"), [0, *ends.tolist()]
-            spans = [(a + s, self.phrase_number[text[a + s : a + e]]) for a, b in zip(starts, ends.tolist(), strict=False) for s, e, _ in self.phrases(text[a:b])]
+            spans = [(a + s, self.phrase_number[f]) for a, b in zip(starts, ends.tolist(), strict=False) for s, f in self._phrases(text[a:b])]
             return np.array([s for s, _ in spans], np.int64), np.array([i for _, i in spans], np.int64)
-        keep = _leftmost(at, at + src.size[which])
+        keep = _leftmost(at, at + self.steps[which])
         return (at, which) if keep is None else (at[keep], which[keep])
 
     @cached_property
@@ -381,14 +390,14 @@ class Matcher:
         out = np.take(self.table, codes) if self.maps else codes.copy()
         text = None
         if len(at):
-            _, _, src, tgt = self.phrase_table
-            more = tgt.size[which] - src.size[which]
+            tgt = self.phrase_table[3]
+            more = tgt.size[which] - self.steps[which]
             tgt.put(which[more == 0], out, at[more == 0])
             if more.any():  # those that change the length part the text
                 text, parts, last = out.tobytes().decode("utf-32-le"), [], 0
                 at, which, more = at[more != 0], which[more != 0], more[more != 0]
                 targets = [self.pairs[f] for f in self.phrase_list]
-                for a, b, i in zip(at.tolist(), (at + src.size[which]).tolist(), which.tolist(), strict=True):
+                for a, b, i in zip(at.tolist(), (at + self.steps[which]).tolist(), which.tolist(), strict=True):
                     parts += (text[last:a], targets[i])
                     last = b
                 text = "".join([*parts, text[last:]])
@@ -443,6 +452,27 @@ class Matcher:
         return Matcher({**self.pairs, **overlay.pairs})
 
 
+class PassingMatcher(Matcher):
+    """A dictionary shadowed by an overlay, with disabled targets, searched like convert_layered().
+
+    A phrase of the base with a disabled target is still found where it is the
+    longest, but stands for its first character alone, which stays: the search
+    begins again behind it, and shorter sources at its place are lost.
+    """
+
+    def __init__(self, base: Matcher, overlay: Matcher, removed: frozenset[str]):
+        self.layers = base, overlay, removed
+        off = {f for f, t in base.pairs.items() if t in removed and f not in overlay.pairs}
+        super().__init__({**base.pairs, **overlay.pairs, **{f: f[0] for f in off}})
+        self.passed = {f for f in off if len(f) > 1}
+
+    def __reduce__(self):
+        return PassingMatcher, self.layers
+
+    def step(self, source: str) -> int:
+        return 1 if source in self.passed else len(source)
+
+
 def convert_layered(base: Matcher, overlay: Matcher, removed: frozenset[str], text: str) -> str:
     """Conversion with an overlay and disabled targets, without compiling both into one.
 

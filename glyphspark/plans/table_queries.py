@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import Converter
 from ..operators import joined, pages
+from ..operators.joined import written
+from ..operators.rulesets import bounded
 from .queries import DIGEST_SQL, LATIN, digest, q, query, read, sql_tokens, sql_values
 
 
@@ -70,6 +73,16 @@ def convert_table_scoped(spark, sf_dir):
     return digest(joined.convert(docs, "text", pairs, own, "source", off), F.col("text"))
 
 
+@query(f"WITH src AS (SELECT doc_id, NULL AS scope, text FROM documents), {_WORDS}, {sql_matches('src', LEAST, MOST, off="right(kv.t, 1) IN ('5', '7')")} {DIGEST_SQL}")
+def convert_removed_words(spark, sf_dir):
+    """Disabled targets of several characters in the kernel, with the same dictionary: the words that have them are passed over by one character."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = written(word_pairs(docs), "words")
+    c = Converter(spark, pairs.select(F.lit("hans").alias("table"), "from", "to", F.lit(0).alias("ord")))
+    off = [r["to"] for r in bounded(pairs.filter(F.substring("to", -1, 1).isin("5", "7")))]
+    return digest(docs, c.convert(F.col("text"), "zh-hans", removed=off))
+
+
 # ---- markup made from columns
 
 SENTENCE_END = ". "

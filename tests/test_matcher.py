@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from glyphspark.functions import matcher
-from glyphspark.functions.matcher import Matcher, convert_layered
+from glyphspark.functions.matcher import Matcher, PassingMatcher, convert_layered
 
 
 def naive(text, pairs):
@@ -101,3 +102,18 @@ def test_hashes_that_collide(monkeypatch):
     m = Matcher({"ab": "x", "cd": "yy"})
     monkeypatch.setattr(matcher._Flat, "equal", lambda self, which, codes, at: np.zeros(len(which), bool))
     assert m.convert_array(pa.array(["abcd", "zab", ""])).to_pylist() == ["xyy", "zx", ""]
+
+
+def test_passing_equals_layered():
+    """Disabled targets of several characters, of phrases and single characters, shadowed or not, one text at a time and in batches."""
+    r = random.Random(11)
+    word = lambda a, b: "".join(r.choice("abc国é😀") for _ in range(r.randint(a, b)))
+    for _ in range(60):
+        base, over = Matcher({word(1, 5): word(0, 3) for _ in range(30)}), Matcher({word(1, 4): word(0, 3) for _ in range(r.choice([0, 8]))})
+        off = frozenset(r.sample(sorted(set(base.pairs.values())), 5))
+        texts = [word(0, 120) for _ in range(20)] + ["", None]
+        want = [None if t is None else convert_layered(base, over, off, t) for t in texts]
+        m = pickle.loads(pickle.dumps(PassingMatcher(base, over, off)))
+        assert [None if t is None else m.convert(t) for t in texts] == want
+        assert m.convert_array(pa.array(texts, pa.string())).to_pylist() == want
+    assert PassingMatcher(Matcher({"abcd": "foo", "abc": "bar", "bc": "x"}), Matcher({}), frozenset(["foo"])).convert("abcd abc") == "axd bar"
