@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from ..operators import rulesets
 from ..sources import rulesets as sources
 from ..variants import DETECTED, TIES, VARIANTS, enabled, parse
-from .markup import Conv, MarkupConverter, PageRules, Rule, RuleError, conv_lines, parse_conv_or_text, parse_rule, parse_rule_or_text, parse_variant_map
+from . import rules
+from .arrays import let
+from .markup import MarkupConverter, conv_lines
 from .matcher import Matcher, PassingMatcher, groups_of
 
 SPANS = "array<struct<start:int,`end`:int,src:string,dst:string>>"
@@ -31,7 +33,6 @@ CONV = "struct<asis:string,both:map<string,string>,one_way:array<struct<variant:
 RULE = f"struct<action:string,output:string,variant:string,sets_title:boolean,conv:{CONV},error:string>"
 PAGE = f"struct<title:map<string,string>,actions:array<struct<action:string,conv:{CONV}>>>"
 
-_CONV = pa.struct([("asis", pa.string()), ("both", pa.map_(pa.string(), pa.string())), ("one_way", pa.list_(pa.struct([("variant", pa.string()), ("from", pa.string()), ("to", pa.string())])))])
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("src", pa.string()), ("dst", pa.string())]))
 _COUNTS = pa.struct([(t.replace("-", "_"), pa.int32()) for t in DETECTED])
 
@@ -77,16 +78,6 @@ def by_tag(texts: pa.Array, tags: pa.Array, fn: Callable[[str, pa.Array], pa.Arr
     return pa.concat_arrays(done).take(pa.array(order))
 
 
-def conv_row(c: Conv | None) -> dict | None:
-    if c is None:
-        return None
-    return {"asis": c.asis, "both": list(c.both.items()), "one_way": [{"variant": v, "from": f, "to": t} for v, f, t in c.one_way]}
-
-
-def rule_row(r: Rule, error: str | None = None) -> dict:
-    return {"action": r.action, "output": r.output, "variant": r.variant, "sets_title": r.sets_title, "conv": conv_row(r.conv), "error": error}
-
-
 def _arrow(kind: str, fn: Callable[..., pa.Array], *cols: Column) -> Column:
     return F.arrow_udf(fn, kind)(*cols)
 
@@ -283,48 +274,46 @@ def extracted_rules(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"-\{([^\n]+?)\}-"), F.lit(1))
 
 
+def _conv(c: Column) -> Column:
+    """A conv of ``rules`` with its two-way texts as a map."""
+    one_way = F.transform(c["one_way"], lambda u: F.struct(u["tag"].alias("variant"), u["src"].alias("from"), u["dst"].alias("to")))
+    return F.when(c.isNotNull(), F.struct(c["asis"].alias("asis"), rules.as_map(c["both"]).alias("both"), one_way.alias("one_way"))).cast(CONV)
+
+
 def parsed_rule(inner: Column) -> Column:
-    """The parsed rule as a struct; error names why one can't be read."""
+    """The parsed rule as a struct, by Spark expressions; error names why one can't be read, and such a rule shows its own text."""
+    asis = F.struct(inner.alias("asis"), F.create_map().cast("map<string,string>").alias("both"), F.array().cast("array<struct<variant:string,from:string,to:string>>").alias("one_way")).cast(CONV)
+    null = F.lit(None).cast("string")
 
-    def one(t: str) -> dict:
-        try:
-            return rule_row(parse_rule(t))
-        except RuleError as e:
-            return rule_row(parse_rule_or_text(t), e.kind)
+    def told(r: Column) -> Column:
+        bad = r["error"].isNotNull()
+        one = lambda name, instead: F.when(bad, instead).otherwise(r[name]).alias(name)
+        return F.struct(one("action", null), one("output", F.lit("text")), one("variant", null), one("sets_title", F.lit(False)), F.when(bad, asis).otherwise(_conv(r["conv"])).alias("conv"), r["error"].alias("error")).cast(RULE)
 
-    kind = pa.struct([("action", pa.string()), ("output", pa.string()), ("variant", pa.string()), ("sets_title", pa.bool_()), ("conv", _CONV), ("error", pa.string())])
-    return _arrow(RULE, each(one, kind), inner)
+    return F.when(inner.isNotNull(), let(rules.parsed_rule(inner), told))
 
 
 def parsed_conv(body: Column) -> Column:
-    return _arrow(CONV, each(lambda t: conv_row(parse_conv_or_text(t)), _CONV), body)
+    """A body as a struct; one that can't be read is its own text."""
+    asis = F.struct(body.alias("asis"), F.create_map().cast("map<string,string>").alias("both"), F.array().cast("array<struct<variant:string,from:string,to:string>>").alias("one_way")).cast(CONV)
+    return F.when(body.isNotNull(), let(rules.parsed_conv(body), lambda c: F.when(c["error"], asis).otherwise(_conv(c))))
 
 
 def shown_rule(inner: Column, target: str) -> Column:
     """What a rule shows for a target."""
-    tag = parse(target).tag
-    return _arrow("string", each(lambda t: parse_rule_or_text(t).shown(tag), pa.string()), inner)
+    return F.when(inner.isNotNull(), rules.shown(inner, parse(target).tag))
 
 
 def page_rules(text: Column) -> Column:
     """The title and the actions of a text's rules."""
-
-    def one(t: str) -> dict:
-        p = PageRules.of(t)
-        return {"title": list(p.title.items()) if p.title else None, "actions": [{"action": a, "conv": conv_row(c)} for a, c in p.actions]}
-
-    kind = pa.struct([("title", pa.map_(pa.string(), pa.string())), ("actions", pa.list_(pa.struct([("action", pa.string()), ("conv", _CONV)])))])
-    return _arrow(PAGE, each(one, kind), text)
+    told = lambda p: F.struct(p["title"].alias("title"), F.transform(p["actions"], lambda a: F.struct(a["action"].alias("action"), _conv(a["conv"]).alias("conv"))).alias("actions"))
+    return F.when(text.isNotNull(), let(rules.page_rules(text), told)).cast(PAGE)
 
 
 def page_pairs(text: Column, target: str) -> Column:
     """array<struct<action, from, to>>: the conversions that a text's rules add and remove."""
-    tag = parse(target).tag
-
-    def one(t: str) -> list[dict]:
-        return [{"action": a, "from": f, "to": to} for a, c in PageRules.of(t).actions for f, to in c.pairs_for(tag)]
-
-    return _arrow("array<struct<action:string,`from`:string,`to`:string>>", each(one, pa.list_(pa.struct([("action", pa.string()), ("from", pa.string()), ("to", pa.string())]))), text)
+    each_ = lambda a: F.transform(a["pairs"], lambda p: F.struct(a["action"].alias("action"), p["src"].alias("from"), p["dst"].alias("to")))
+    return F.when(text.isNotNull(), F.flatten(F.transform(rules.page_actions(text, parse(target).tag), each_)))
 
 
 def text_for(texts: Column, target: str) -> Column:
@@ -339,14 +328,7 @@ def page_title(text: Column, target: str) -> Column:
 
 def variant_map(text: Column) -> Column:
     """map<variant, text> of two-way texts; null if a part is none."""
-
-    def one(t: str) -> list | None:
-        try:
-            return list(parse_variant_map(t).items())
-        except RuleError:
-            return None
-
-    return _arrow("map<string,string>", each(one, pa.map_(pa.string(), pa.string())), text)
+    return rules.variant_map(text)
 
 
 def normal_tag(tag: Column) -> Column:

@@ -164,6 +164,39 @@ def page_actions(text: Column, target: str) -> Column:
     return F.transform(kept, lambda r: F.struct(r["action"].alias("action"), pairs_for(r["conv"], target).alias("pairs")))
 
 
+_MAP = "map<string,string>"
+
+
+def as_map(both: Column) -> Column:
+    """Two-way texts as map<tag, text>, in the order of writing; of one tag's texts the last."""
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(both, lambda b: b["tag"])), lambda t: F.struct(t, last_text(both, t)))).cast(_MAP)
+
+
+def variant_map(text: Column) -> Column:
+    """map<tag, text> of two-way texts only, trimmed; null if a part is none."""
+
+    def part(p: Column) -> Column:
+        return F.struct(F.when(F.contains(p, F.lit(":")), tag_of(stripped(_before(p, ":")))).alias("tag"), stripped(_after(p, ":")).alias("text"))
+
+    def told(ps: Column) -> Column:
+        both = F.transform(F.when(F.element_at(ps, -1) == "", F.slice(ps, F.lit(1), F.size(ps) - 1)).otherwise(ps), part)
+        return let(both, lambda b: F.when(F.exists(b, lambda x: x["tag"].isNull()), F.lit(None).cast(_MAP)).otherwise(as_map(b)))
+
+    return let(parts(stripped(text)), told)
+
+
+def page_rules(text: Column) -> Column:
+    """struct<title, actions>: the last title, as a map, and the actions of a text's one-line rules; what can't be read is passed over."""
+
+    def told(rs: Column) -> Column:
+        title = F.try_element_at(F.filter(rs, lambda r: r["sets_title"]), F.lit(-1))["conv"]["both"]
+        kept = F.filter(rs, lambda r: r["action"].isNotNull() & r["conv"].isNotNull())
+        return F.struct(F.when(title.isNotNull(), as_map(title)).alias("title"), F.transform(kept, lambda r: F.struct(r["action"].alias("action"), r["conv"].alias("conv"))).alias("actions"))
+
+    rules = F.transform(F.regexp_extract_all(text, F.lit(r"-\{([^\n]+?)\}-"), F.lit(1)), parsed_rule)
+    return F.when(text.isNotNull(), let(F.filter(rules, lambda r: r["error"].isNull()), told))
+
+
 # ---- nested rules
 
 _CODE = {"<script": "</script>", "<style": "</style>", "<code>": "</code>", "<pre": "</pre>"}

@@ -16,6 +16,7 @@ that place are lost.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,28 +56,37 @@ def _places(texts: DataFrame, longest: int) -> DataFrame:
     return rows.select(*KEY, "scope", F.explode(place).alias("x")).select(*KEY, "scope", "x.start", "x.rest")
 
 
-def matches(texts: DataFrame, pairs: DataFrame, own: DataFrame | None = None) -> DataFrame:
+def matches(texts: DataFrame, pairs: DataFrame, own: DataFrame | None = None, overlay: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
     """(key, start, n, layer, dst): every source at every place of texts (key, scope, text).
 
-    ``pairs`` are (from, to) with distinct sources; ``own`` are (scope, from,
-    to) with sources distinct in a scope. layer is 0 for a text's own pairs, 1 for the table's.
+    ``pairs`` and ``overlay`` are (from, to) with distinct sources; ``own`` are
+    (scope, from, to) with sources distinct in a scope; ``gone`` are (scope,
+    from) that the overlay lacks for a scope. layer is 0 for a text's own
+    pairs, 1 for the overlay's, 2 for the table's.
     """
-    base = pairs.select(F.col("from").alias("src"), F.coalesce("to", F.lit("")).alias("dst")).filter("length(src) > 0")
-    mine = None if own is None else own.select(F.col("scope"), F.col("from").alias("src"), F.coalesce("to", F.lit("")).alias("dst")).filter("length(src) > 0")
-    sources = base.select("src") if mine is None else base.select("src").unionByName(mine.select("src"))
+    named = lambda d, *more: d.select(*more, F.col("from").alias("src"), F.coalesce("to", F.lit("")).alias("dst")).filter("length(src) > 0")
+    layers = [(k, d) for k, d in enumerate((own if own is None else named(own, "scope"), overlay if overlay is None else named(overlay), named(pairs))) if d is not None]
+    sources = layers[0][1].select("src")
+    for _, d in layers[1:]:
+        sources = sources.unionByName(d.select("src"))
     size = sources.agg(F.min(F.length("src")).alias("least"), F.max(F.length("src")).alias("most")).first()
     k = min(size["least"] or 1, STEM)
     stems = sources.groupBy(F.substring("src", 1, k).alias("stem")).agg(F.collect_set(F.length("src")).alias("lengths"))
     at = _places(texts, size["most"] or 1).withColumn("stem", F.substring("rest", 1, k)).join(stems, "stem")
     grams = at.select(*KEY, "scope", "start", "rest", F.explode("lengths").alias("n")).withColumn("src", F.substring(F.col("rest"), F.lit(1), F.col("n"))).filter(F.length("src") == F.col("n"))
     out = [*KEY, "start", "n"]
-    found = grams.join(base, "src").select(*out, F.lit(1).alias("layer"), "dst")
-    return found if mine is None else found.unionByName(grams.join(mine, ["scope", "src"]).select(*out, F.lit(0).alias("layer"), "dst"))
+    found = []
+    for k, d in layers:
+        hits = grams.join(d, ["scope", "src"] if k == 0 else "src")
+        if k == 1 and gone is not None:
+            hits = hits.join(gone.select("scope", F.col("from").alias("src")).distinct(), ["scope", "src"], "left_anti")
+        found.append(hits.select(*out, F.lit(k).alias("layer"), "dst"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def leftmost_longest(found: Column, off: Column | None = None) -> Column:
     """Of array<struct<start, order, layer, dst>>, order being less the length, the matches that replace, as array<MATCH>. ``off`` has the table's disabled targets."""
-    disabled = lambda m: (m["layer"] == 1) & F.array_contains(off, m["dst"]) if off is not None else F.lit(False)
+    disabled = lambda m: (m["layer"] == 2) & F.array_contains(off, m["dst"]) if off is not None else F.lit(False)
 
     def step(end: Column, m: Column) -> tuple[Column, Column]:
         free = m["start"] >= end
@@ -102,12 +112,13 @@ def replaced(text: Column, taken: Column) -> Column:
     return let(text_blocks(text), of)
 
 
-def convert(df: DataFrame, text_col: str, pairs: DataFrame, own: DataFrame | None = None, scope_col: str | None = None, off: DataFrame | None = None) -> DataFrame:
+def convert(df: DataFrame, text_col: str, pairs: DataFrame, own: DataFrame | None = None, scope_col: str | None = None, off: DataFrame | None = None, overlay: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
     """df with the texts of a column converted by a table of pairs (from, to).
 
     ``own`` has pairs (scope, from, to) for rows by ``scope_col``; ``off`` has
     disabled targets (scope, targets array<string>), a null scope's for all
-    rows. A null text stays null; an empty table of pairs or texts changes
+    rows; ``overlay`` has pairs for all rows that win over the table's, but for
+    those in ``gone`` (scope, from). A null text stays null; an empty table of pairs or texts changes
     nothing. Equal texts of a scope are converted once; the other columns are
     joined to the results, of which Spark splits hot ones. Columns of any
     names but the keys' pass through. What is converted is written to the shared folder.
@@ -116,7 +127,7 @@ def convert(df: DataFrame, text_col: str, pairs: DataFrame, own: DataFrame | Non
     text = F.col(text_col).cast("string")
     keyed = df.select("*", *keys(scope, text))
     texts = df.select(*keys(scope, text), scope.alias("scope"), text.alias("text")).filter("text is not null").dropDuplicates(list(KEY))
-    rows = matches(texts, pairs, own).groupBy(*KEY).agg(F.collect_set(F.struct("start", (-F.col("n")).alias("order"), "layer", "dst")).alias("found"))
+    rows = matches(texts, pairs, own, overlay, gone).groupBy(*KEY).agg(F.collect_set(F.struct("start", (-F.col("n")).alias("order"), "layer", "dst")).alias("found"))
     rows = texts.join(rows, list(KEY), "left").withColumn("off", F.array().cast("array<string>"))
     if off is not None:
         everywhere = off.filter("scope is null").select(F.col("targets").alias("all_off"))

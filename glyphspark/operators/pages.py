@@ -34,11 +34,12 @@ def removed(rows: DataFrame) -> DataFrame:
     return rows.filter("action = 'remove'").groupBy("scope").agg(F.collect_set("from").alias("targets"))
 
 
-def convert(df: DataFrame, text_col: str, pairs: DataFrame, target: str, skip_code: bool = True, global_rules: bool = True) -> DataFrame:
+def convert(df: DataFrame, text_col: str, pairs: DataFrame, target: str, skip_code: bool = True, global_rules: bool = True, overlay: DataFrame | None = None, off: list[str] | None = None) -> DataFrame:
     """df with the texts of a column, which may hold markup, converted to a target by a table of pairs (from, to).
 
     ``global_rules`` applies the rules of a text to all of its plain parts;
-    ``skip_code`` leaves code blocks as they are. A null text stays null, an
+    ``skip_code`` leaves code blocks as they are. ``overlay`` has pairs for all
+    texts that win over the table's, ``off`` targets of the table that are disabled. A null text stays null, an
     empty one empty; an empty table of pairs leaves plain parts as they are.
     Equal texts are read once. Columns of any names but the keys' pass through.
     """
@@ -48,11 +49,16 @@ def convert(df: DataFrame, text_col: str, pairs: DataFrame, target: str, skip_co
     texts = texts.withColumn("scope", F.concat_ws(":", *joined.KEY))
     parts = texts.select(*joined.KEY, "scope", F.posexplode(rules.segments(F.col("text"), tag, skip_code)).alias("place", "s")).select(*joined.KEY, "scope", "place", "s.shown", "s.plain")
     parts = joined.written(parts.withColumnsRenamed(dict(zip(joined.KEY, ("__p1", "__p2"), strict=True))), "parts")
-    if not global_rules or pairs.isEmpty():
-        done = joined.convert(parts, "plain", pairs)
-    else:
+    own = gone = disabled = None
+    if off:
+        disabled = df.sparkSession.createDataFrame([(None, off)], "scope string, targets array<string>")
+    if pairs.isEmpty():
+        overlay = None
+    elif global_rules:
         rows = joined.written(actions(texts.filter(F.contains("text", F.lit("-{"))), tag), "rules")
-        done = joined.convert(parts, "plain", pairs, added(rows), "scope", removed(rows))
+        own, gone = added(rows), rows.filter("action = 'remove'").select("scope", "from")
+        disabled = removed(rows) if disabled is None else disabled.unionByName(removed(rows))
+    done = joined.convert(parts, "plain", pairs, own, "scope", disabled, overlay, gone)
     whole = done.groupBy("__p1", "__p2").agg(F.array_sort(F.collect_list(F.struct("place", F.concat("shown", "plain").alias("t")))).alias("parts"))
     whole = whole.select(F.col("__p1").alias(joined.KEY[0]), F.col("__p2").alias(joined.KEY[1]), F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("__whole"))
     return keyed.join(whole, list(joined.KEY), "left").select(*[F.col("__whole").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

@@ -343,7 +343,7 @@ def corpus_rollup(spark, sf_dir):
 # ---- markup
 
 
-def _marked(spark, sf_dir) -> DataFrame:
+def marked(spark, sf_dir) -> DataFrame:
     """documents with markup before each text."""
     texts = F.array(*[F.lit(t) for t, _ in MARKUP])
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.element_at(texts, (F.pmod("doc_id", F.lit(len(MARKUP))) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
@@ -357,7 +357,7 @@ def _markup_query(name: str, shown: list[str], **options) -> None:
     """The texts hold no markup and nothing to convert, so each comes after what its markup shows."""
 
     def run(spark, sf_dir):
-        return digest(d := _marked(spark, sf_dir), converter(spark).convert_markup(d["text"], "zh-tw", **options))
+        return digest(d := marked(spark, sf_dir), converter(spark).convert_markup(d["text"], "zh-tw", **options))
 
     query(f"WITH s AS ({_by_number(shown, 'shown')}, coalesce(text, '') AS text FROM documents), conv AS (SELECT doc_id, shown || ' ' || text AS text FROM s) {DIGEST_SQL}", name)(run)
 
@@ -373,7 +373,7 @@ _markup_query("markup_removed_targets", [s.replace("國", "国") for s in SHOWN]
 
 @query(_by_number([None] * 11 + ["乙"] + [None] * 4, "title") + " FROM documents")
 def markup_title(spark, sf_dir):
-    d = _marked(spark, sf_dir)
+    d = marked(spark, sf_dir)
     return d.select("doc_id", C.page_title(d["text"], "zh-tw").alias("title"))
 
 
@@ -382,13 +382,13 @@ _INNERS = f"r AS (SELECT doc_id, unnest(regexp_extract_all(text, '-\\{{([^\\n]+?
 
 @query(f"WITH {_INNERS} SELECT doc_id, inner_text FROM r")
 def extract_rules_long(spark, sf_dir):
-    d = _marked(spark, sf_dir)
+    d = marked(spark, sf_dir)
     return d.select("doc_id", F.explode(C.extracted_rules(d["text"])).alias("inner_text"))
 
 
 @query(f"WITH {_INNERS}, s AS (SELECT CASE WHEN contains(inner_text, '|') THEN split_part(inner_text, '|', 1) ELSE '' END AS flags FROM r) SELECT CASE WHEN flags = 'zh-tw:甲' THEN 'InvalidFlag' END AS error, CASE flags WHEN 'H' THEN 'add' WHEN 'A' THEN 'add' WHEN '-' THEN 'remove' END AS action, CASE WHEN flags IN ('H', '-', 'T') THEN NULL WHEN flags = 'N' THEN 'name' WHEN flags = 'D' THEN 'description' ELSE 'text' END AS output, count(*)::BIGINT AS n FROM s GROUP BY ALL")
 def rule_flag_counts(spark, sf_dir):
-    d = _marked(spark, sf_dir)
+    d = marked(spark, sf_dir)
     rules = d.select(F.explode(C.extracted_rules(d["text"])).alias("i")).select(C.parsed_rule(F.col("i")).alias("r"))
     return rules.groupBy(F.col("r.error").alias("error"), F.col("r.action").alias("action"), F.col("r.output").alias("output")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -396,7 +396,7 @@ def rule_flag_counts(spark, sf_dir):
 @query(f"WITH {_INNERS} SELECT doc_id, count(*)::BIGINT AS n FROM r GROUP BY doc_id")
 def rule_table_function(spark, sf_dir):
     register(spark, converter(spark))
-    _marked(spark, sf_dir).createOrReplaceTempView("glyph_marked")
+    marked(spark, sf_dir).createOrReplaceTempView("glyph_marked")
     return spark.sql("SELECT doc_id, count(*) AS n FROM glyph_marked, LATERAL markup_rules(text) GROUP BY doc_id")
 
 

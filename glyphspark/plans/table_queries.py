@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import Converter
 from ..operators import joined, pages
 from ..operators.joined import written
-from ..operators.rulesets import bounded
-from .queries import DIGEST_SQL, LATIN, digest, q, query, read, sql_tokens, sql_values
+from ..operators.rulesets import bounded, regional
+from .queries import DIGEST_SQL, LATIN, ORACLE_SQL, digest, marked, q, query, read, seed, sql_tokens, sql_values
 
 
 def sql_matches(source: str, least: int, most: int, own: str | None = None, off: str = "FALSE") -> str:
@@ -121,3 +123,18 @@ def markup_nested_rules(spark, sf_dir):
     rule = F.concat(F.lit("-{zh-cn:none;zh-tw:[-{R|-{zh-hk:"), s, F.lit(";}-}-/-{"), g, F.lit("}-];}-"))
     marked = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(SENTENCE_END), rule).alias("text"))
     return digest(pages.convert(marked, "text", spark.createDataFrame(list(LATIN.items()), "`from` string, `to` string"), "zh-tw", global_rules=False), F.col("text"))
+
+
+def _joined_markup(name: str, options: Callable[[SparkSession], dict]) -> None:
+    """A query of markup by joins and folds that must give the rows of the kernel's."""
+
+    def run(spark, sf_dir):
+        return digest(pages.convert(marked(spark, sf_dir), "text", regional(seed(spark), "zh-tw"), "zh-tw", **options(spark)), F.col("text"))
+
+    query(ORACLE_SQL[name], f"{name}_joined")(run)
+
+
+_joined_markup("markup_extended", lambda spark: {})
+_joined_markup("markup_basic", lambda spark: {"skip_code": False, "global_rules": False})
+_joined_markup("markup_overlay", lambda spark: {"overlay": spark.createDataFrame([("国", "囯")], "`from` string, `to` string")})
+_joined_markup("markup_removed_targets", lambda spark: {"off": ["國"]})

@@ -94,3 +94,12 @@ def test_pages_equal_parser(spark, texts, options):
     got = pages.convert(df, "t", pairs_frame(spark, base), "zh-TW", *options)
     same([(x.id, x.t) for x in got.collect()], [(i, None if t is None else m.convert(t)) for i, t in rows])
     assert pages.convert(df.limit(0), "t", pairs_frame(spark, base), "zh-tw").count() == 0
+
+
+def test_pages_with_overlay_and_disabled_targets(spark, texts):
+    base, over, off = {"国": "國", "x": "<X>", "甲x": "乙乙", "甲": "甲", "aa": "b", "a": "乙"}, {"国": "囯", "aa": "A", "國": "丁"}, ["乙", "<X>"]
+    rows = list(enumerate(texts))
+    got = pages.convert(spark.createDataFrame(rows, "id int, t string"), "t", pairs_frame(spark, base), "zh-tw", overlay=pairs_frame(spark, over), off=off)
+    removed = {i for i, t in rows if any(f in over for a, c in markup.PageRules.of(t).actions if a == "remove" for f, _ in c.pairs_for("zh-tw"))}
+    assert removed
+    same([(x.id, x.t) for x in got.collect()], [(i, MarkupConverter(Matcher(base), "zh-tw", True, True, {f: t for f, t in over.items() if f not in off}, set(off)).convert(t)) for i, t in rows])
