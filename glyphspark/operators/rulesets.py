@@ -70,6 +70,15 @@ def dump(pairs: DataFrame) -> DataFrame:
     return pairs.select("from", "to").orderBy(F.octet_length("from"), "from")
 
 
+def dump_places(pairs: DataFrame) -> DataFrame:
+    """dump() with the place of each pair, from 0. Places are numbered within a length, after the counts of all shorter ones, so no task holds all pairs."""
+    n = F.octet_length("from").alias("n")
+    shorter = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    before = pairs.groupBy(n).agg(F.count(F.lit(1)).alias("many")).select("n", F.coalesce(F.sum("many").over(shorter), F.lit(0)).alias("before"))
+    rows = pairs.select("from", "to", n).withColumn("rn", F.row_number().over(Window.partitionBy("n").orderBy("from"))).join(before, "n")
+    return rows.select((F.col("before") + F.col("rn") - 1).cast("long").alias("place"), "from", "to")
+
+
 def stats(pairs: DataFrame) -> DataFrame:
     """Counts of each table: pairs, sources, no-ops, single characters, length changes, the longest source."""
     return pairs.groupBy("table").agg(

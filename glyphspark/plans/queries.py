@@ -215,12 +215,6 @@ def overlay_rule_lines(spark, sf_dir):
     return digest(d, converter(spark).convert(d["text"], "zh-tw", lines=lines))
 
 
-@query(f"WITH src AS ({CHINESE}), {sql_converted(seed_pairs('zh-tw'))} {DIGEST_SQL}")
-def convert_by_tag_column(spark, sf_dir):
-    d = chinese(spark, sf_dir)
-    return digest(d, converter(spark).convert_by(d["text"], F.lit("ZH-TW")))
-
-
 @query(f"WITH src AS ({CHINESE}), {sql_converted(seed_pairs('zh-hk'))} {DIGEST_SQL}")
 def convert_sql_function(spark, sf_dir):
     register(spark, converter(spark))
@@ -406,12 +400,6 @@ def variant_map_parse(spark, sf_dir):
     return d.select("doc_id", F.element_at("m", "zh-cn").alias("cn"), F.element_at("m", "zh-tw").alias("tw"))
 
 
-@query("SELECT 'zh-hk' AS target, 'add' AS action, 'zh' AS f, 'b' AS t UNION ALL SELECT 'zh-hk', 'add', 'b', 'b' UNION ALL SELECT 'zh-hk', 'remove', 'x', 'y'")
-def page_pairs_of_rules(spark, sf_dir):
-    d = spark.range(1).select(F.lit("-{H|zh:zh;zh-mo:b}- -{-|x=>zh-hk:y;x=>zh-cn:z}- -{D|zh-tw:q}- -{Q|bad}-").alias("t"))
-    return d.select(F.explode(C.page_pairs(F.col("t"), "zh-hk")).alias("p")).select(F.lit("zh-hk").alias("target"), "p.action", F.col("p.from").alias("f"), F.col("p.to").alias("t"))
-
-
 # ---- rulesets
 
 SEED_SQL = f"seed AS (SELECT * FROM {sql_values(seed_rows(), 'tab, f, t, ord')})"
@@ -422,41 +410,12 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select(F.col("from").alias("f"), F.col("to").alias("t"))
 
 
-@query(f"WITH {SEED_SQL}, {_REGIONAL} SELECT f, t FROM m")
-def table_merge(spark, sf_dir):
-    return _named(rulesets.regional(seed(spark), "zh-tw"))
-
-
-@query(f"WITH {SEED_SQL}, {_REGIONAL} SELECT f, t FROM d")
-def table_delta(spark, sf_dir):
-    s = seed(spark)
-    return _named(rulesets.delta(rulesets.table(s, "tw"), rulesets.table(s, "hant")))
-
-
 @query(f"WITH {SEED_SQL}, a AS (SELECT p_type AS tab, p_brand AS f, p_name AS t, p_partkey AS ord FROM part) SELECT tab, f, t FROM a QUALIFY row_number() OVER (PARTITION BY tab, f ORDER BY ord) = 1")
 def table_dedup_precedence(spark, sf_dir):
     p = read(spark, sf_dir, "part").select(F.col("p_type").alias("table"), F.col("p_brand").alias("from"), F.col("p_name").alias("to"), F.col("p_partkey").alias("ord"))
     return rulesets.first_of_each(p).select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"))
 
 
-@query(f"WITH {SEED_SQL}, {_REGIONAL}, x AS (SELECT f, t FROM m WHERE f <> '国' UNION ALL SELECT '国', '囯' UNION ALL SELECT '新', '薪') SELECT f, t FROM x WHERE f NOT IN ('里', '新')")
-def table_removes(spark, sf_dir):
-    adds = spark.createDataFrame([("c", "国", "囯", 1), ("c", "新", "薪", 2), ("c", "", "x", 3)], PAIRS)
-    removes = spark.createDataFrame([("里",), ("新",)], "`from` string")
-    return _named(rulesets.mapping(rulesets.regional(seed(spark), "zh-tw"), adds, removes))
-
-
-@query(f"WITH {SEED_SQL}, {_REGIONAL} SELECT (row_number() OVER (ORDER BY strlen(f), f) - 1)::BIGINT AS place, f, t FROM m")
-def dump_table(spark, sf_dir):
-    rows = rulesets.dump(rulesets.regional(seed(spark), "zh-tw")).select(F.struct(F.octet_length("from").alias("n"), F.col("from").alias("f"), F.col("to").alias("t")).alias("s"))
-    return rows.agg(F.array_sort(F.collect_list("s")).alias("l")).select(F.posexplode("l").alias("place", "s")).select(F.col("place").cast("long").alias("place"), "s.f", "s.t")
-
-
-@query(f"WITH {SEED_SQL} SELECT tab, count(*)::BIGINT AS n_pairs, count(DISTINCT f)::BIGINT AS n_sources, count(*) FILTER (f = t)::BIGINT AS n_same, count(*) FILTER (length(f) = 1)::BIGINT AS n_single, count(*) FILTER (length(f) <> length(t))::BIGINT AS n_length_changes, max(length(f))::BIGINT AS longest FROM seed GROUP BY tab")
-def ruleset_stats(spark, sf_dir):
-    return rulesets.stats(seed(spark)).withColumnRenamed("table", "tab")
-
-
 @query("SELECT * FROM (VALUES ('甲', '丙'), ('己', '丁'), ('乙', '丙'), ('戊', '丁'), ('庚', '庚'), ('辛', '庚')) v(f, t)")
 def flattened_stages(spark, sf_dir):
     made = flatten([({"甲": "乙", "己": "戊", "庚": "辛"}, {"乙": "甲", "戊": "己", "辛": "庚"}), ({"乙": "丙", "戊": "丁", "辛": "庚"}, {"丙": "乙"})])
@@ -470,21 +429,6 @@ def _file(spark: SparkSession, text: str) -> str:
     return path
 
 
-@query(f"WITH {SEED_SQL} SELECT tab, f, t, (row_number() OVER (PARTITION BY tab ORDER BY ord) - 1)::BIGINT AS place FROM seed")
-def table_from_arrays(spark, sf_dir):
-    """The seed written as constant arrays and read again."""
-    blocks = [f"    public const {name} = [\n" + "".join(f"        '{f}' => '{t}',\n" for tab, f, t, _ in seed_rows() if tab == table) + "    ];\n" for name, table in ARRAYS.items()]
-    return sources.read_arrays(spark, _file(spark, "<?php\n" + "".join(blocks))).select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"), F.col("ord").alias("place"))
-
-
-@query(f"WITH {SEED_SQL}, h AS (SELECT * FROM seed WHERE tab = 'hant') SELECT 'forward' AS tab, f, t FROM h WHERE f <> t UNION ALL SELECT 'reverse', t, arg_min(f, ord) FROM h GROUP BY t UNION ALL SELECT 'reverse', f || 'x', f FROM h")
-def table_from_dictionary(spark, sf_dir):
-    """A dictionary of two values a key, forward and in reverse; a key that is one of its values is left alone."""
-    path = _file(spark, "# a comment\n" + "".join(f"{f}\t{t} {f}x\n" for tab, f, t, _ in seed_rows() if tab == "hant"))
-    both = sources.read_dictionary(spark, path, "forward").unionByName(sources.read_dictionary(spark, path, "reverse", reverse=True))
-    return both.select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"))
-
-
 @query(f"WITH {SEED_SQL}, h AS (SELECT f, t FROM seed WHERE tab = 'hant' AND length(f) = 1 AND length(t) = 1) SELECT 'hk' AS tab, f, t || '!' AS t FROM h WHERE f NOT IN (SELECT t FROM h) UNION ALL SELECT 'hk', t, t || '!' FROM h GROUP BY t")
 def table_composed(spark, sf_dir):
     """Two stages: characters, and variants of what these give."""
@@ -496,21 +440,6 @@ def table_composed(spark, sf_dir):
     return made.select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"))
 
 
-@query(f"SELECT * FROM {sql_values([(v,) for v in VARIANTS], 'tag')}")
-def enabled_variants(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in converter(spark).enabled()], "tag string")
-
-
-@query(f"SELECT * FROM {sql_values([(v.tag, v.name, v.script or '', ','.join(v.tables), ','.join(v.fallbacks)) for v in VARIANTS.values()], 'tag, name, script, tables, fallbacks')}")
-def variant_table(spark, sf_dir):
-    return variants_frame(spark).select("tag", "name", F.coalesce("script", F.lit("")).alias("script"), F.array_join("tables", ",").alias("tables"), F.array_join("fallbacks", ",").alias("fallbacks"))
-
-
-@query(f"WITH {SEED_SQL} SELECT tab, count(*)::BIGINT AS n FROM seed GROUP BY tab")
-def engine_information(spark, sf_dir):
-    return engine_info(spark, converter(spark)).select(F.explode("pairs").alias("tab", "n"))
-
-
 # ---- groups
 
 
@@ -519,25 +448,6 @@ def _groups(spark) -> DataFrame:
     return spark.createDataFrame(rows, "name string, description string, path string, rules array<struct<original:string,conv:string>>")
 
 
-@query("SELECT * FROM (VALUES ('甲组 乙', 'a:1' || chr(10) || 'zh-hk:丁;'), ('链 / 说明', 'zh-cn:甲;zh-tw:乙;' || chr(10) || 'zh-hk:丁;'), ('名', 'zh-cn:戊;')) v(name, rules)")
-def cgroup_pack(spark, sf_dir):
-    return groups.pack(_groups(spark))
-
-
-@query("SELECT DISTINCT p_name || CASE WHEN contains(p_name, p_type) THEN '' ELSE ' / ' || p_type END AS name FROM part WHERE NOT contains(p_type, p_name)")
-def cgroup_names(spark, sf_dir):
-    p = read(spark, sf_dir, "part").filter(~F.contains("p_type", "p_name"))
-    return p.select(groups.combined_name(F.col("p_name"), F.col("p_type")).alias("name")).distinct()
-
-
-@query("SELECT * FROM (VALUES ('One', 'zh-cn:甲=>乙'), ('', 'zh-cn:丙;'), ('Two', 'zh-tw:丁;'), ('Three', 'zh-cn:戊;'), (NULL, 'zh-cn:己;'), ('Four', 'zh-hk:庚;')) v(original, conv)")
-def cgroup_lines(spark, sf_dir):
-    lines = ["  { original = 'One', rule = 'zh-cn:甲{{=}}>乙' },", "-- Item('no', 'zh-cn:x;')", "{ rule = \"zh-cn:丙;\" },", "Item('Two', '<span class=\"x\">zh-tw:丁;</span>'),", "{{CItem|original=Three|zh-cn:戊;}}", "Item(nil, 'zh-cn:己;'),", "{{CItemLan/R|Four|zh-hk:庚;}}", "plain"]
-    d = spark.createDataFrame([(x,) for x in lines], "line string")
-    r = d.select(F.coalesce(groups.module_line(F.col("line")), groups.template_line(F.col("line"))).alias("r")).filter("r is not null")
-    return r.select("r.original", groups.clean(F.col("r.conv")).alias("conv"))
-
-
 @query("SELECT p_partkey, p_name AS name, p_type AS description FROM part")
 def cgroup_headers(spark, sf_dir):
     module = F.concat(F.lit('return {\n  name = "'), "p_name", F.lit("\",\n  description = '"), "p_type", F.lit("',\n}"))
@@ -570,13 +480,6 @@ def cgroup_apply(spark, sf_dir):
 # ---- service and streams
 
 
-@query("SELECT * FROM (VALUES (1, 200, '臺灣'), (2, 404, NULL), (3, 400, NULL), (4, 401, NULL), (5, 200, '甲國')) v(id, status, body)")
-def service_requests(spark, sf_dir):
-    rows = [(1, "zh-TW", False, "台湾", "t"), (2, "xx", False, "国", "t"), (3, "zh-tw", False, None, "t"), (4, "zh-tw", False, "国", None), (5, "zh-tw", True, "-{zh-tw:甲;zh-cn:乙}-国", "t")]
-    d = spark.createDataFrame(rows, "id int, target string, wikitext boolean, body string, token string")
-    return streams.requests(d, converter(spark), token="t")
-
-
 @query(f"WITH src AS ({CHINESE}), {sql_converted(seed_pairs('zh-tw'))} SELECT lang, count(*)::BIGINT AS n_docs, sum(length(conv.text))::BIGINT AS n_chars FROM src JOIN conv USING (doc_id) GROUP BY lang")
 def stream_convert_counts(spark, sf_dir):
     """The documents as a stream of files, converted, written, and read again as a batch."""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that Unicode calls white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -55,6 +56,12 @@ def enabled(tables: set[str]) -> list[str]:
     return [v.tag for v in _ALL if set(v.tables) <= tables]
 
 
+def enabled_tags(tables: Column) -> Column:
+    """enabled() of an array column of tables."""
+    all_ = F.array(*[F.struct(F.lit(v.tag).alias("tag"), F.array(*[F.lit(t) for t in v.tables]).cast("array<string>").alias("tables")) for v in _ALL])
+    return F.transform(F.filter(all_, lambda v: F.size(F.array_except(v["tables"], tables)) == 0), lambda v: v["tag"])
+
+
 def variants_frame(spark: SparkSession) -> DataFrame:
     """One row for each variant: tag, name, script, tables, fallbacks, alias_of."""
     rows = [(v.tag, v.name, v.script, list(v.tables), list(v.fallbacks), {"zh-mo": "zh-hk", "zh-sg": "zh-cn", "zh-my": "zh-cn"}.get(v.tag)) for v in _ALL]
