@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import rulesets
 from ..sources import rulesets as sources
@@ -186,33 +187,67 @@ class Converter:
         best = F.element_at(self.infer_confidence(text), 1)
         return best["variant"] if default is None else F.when(F.isnan(best["confidence"]), F.lit(default)).otherwise(best["variant"])
 
-    def convert_struct(self, df: DataFrame, paths: list[str], target: str) -> DataFrame:
-        """Converts leaves of nested columns, named by dotted paths; arrays of texts element by element."""
-        for p in paths:
+    def convert_struct(self, df: DataFrame, paths: list[str] | None, target: str) -> DataFrame:
+        """Converts the texts of nested columns, of any depth.
+
+        A path names fields by dots; arrays, and maps by their values, are
+        walked through, keys stay. It may end above texts: then all below are
+        converted. No paths: all texts of all columns. Nulls stay on every level.
+        """
+        tag = parse(target).tag
+        if not self._base(tag):
+            return df
+        held = self.shared((tag, ()), lambda: self._base(tag))
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        by_top: dict[str, list[list[str]]] = {c: [[]] for c, kind in kinds.items() if paths is None and _reaches(kind, [])}
+        for p in paths or []:
             top, *rest = p.split(".")
-            df = df.withColumn(top, self._leaf(F.col(top), rest, df.select(p).schema[0].dataType.simpleString(), target))
-        return df
-
-    def _leaf(self, value: Column, rest: list[str], kind: str, target: str) -> Column:
-        if rest:
-            return value.withField(".".join(rest), self._leaf(value.getField(rest[0]) if len(rest) == 1 else _deep(value, rest), [], kind, target))
-        if kind == "array<string>":
-            tag = parse(target).tag
-            held = self.shared((tag, ()), lambda: self._base(tag))
-
-            def run(lists: pa.Array) -> pa.Array:
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-                return pa.ListArray.from_arrays(offsets, held.get().convert_array(lists.flatten()), mask=lists.is_null())
-
-            return _arrow("array<string>", run, value)
-        return self.convert(value, target)
-
-
-def _deep(value: Column, names: list[str]) -> Column:
-    for n in names:
-        value = value.getField(n)
-    return value
+            by_top.setdefault(top, []).append(rest)
+        missing = [t for t in by_top if t not in kinds] + [".".join([t, *rest]) for t, rs in by_top.items() if t in kinds for rest in rs if not _reaches(kinds[t], rest)]
+        if missing:
+            raise ValueError(f"no texts at {missing}")
+
+        def one(name: str, rests: list[list[str]]) -> Column:
+            return _arrow(kinds[name].simpleString(), lambda a: walked(a, rests, lambda t: held.get().convert_array(t)), F.col(f"`{name}`")).alias(name)
+
+        return df.select(*[one(c, by_top[c]) if c in by_top else F.col(f"`{c}`") for c in df.columns])
+
+
+def _reaches(kind: T.DataType, rest: list[str]) -> bool:
+    """Whether there are texts at a path."""
+    if isinstance(kind, T.ArrayType):
+        return _reaches(kind.elementType, rest)
+    if isinstance(kind, T.MapType):
+        return _reaches(kind.valueType, rest)
+    if isinstance(kind, T.StructType):
+        return any(_reaches(f.dataType, rest[1:]) for f in kind.fields if not rest or f.name == rest[0])
+    return not rest and isinstance(kind, T.StringType)
+
+
+def walked(a: pa.Array, paths: list[list[str]], fn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """A nested Arrow array with fn applied to the arrays of texts at paths, each a whole array of all rows."""
+    if pa.types.is_string(a.type):
+        return fn(a) if [] in paths else a
+    if pa.types.is_list(a.type) or pa.types.is_map(a.type):
+        gaps = nulls(a)
+        sizes = np.diff(np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, a.offset * 4)) if len(a) else np.zeros(0, np.int32)
+        offsets = pa.array(np.append(0, np.cumsum(np.where(gaps, 0, sizes))).astype(np.int32))
+        mask = pa.array(gaps) if a.null_count else None
+        inner = a.flatten() if pa.types.is_list(a.type) else pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.StructArray.from_arrays([a.keys, a.items], names=["k", "v"]).slice(*_extent(a)), mask=mask).flatten()
+        if pa.types.is_list(a.type):
+            return pa.ListArray.from_arrays(offsets, walked(inner, paths, fn), mask=mask)
+        return pa.MapArray.from_arrays(offsets, inner.field("k"), walked(inner.field("v"), paths, fn), mask=mask)
+    if pa.types.is_struct(a.type):
+        fields = list(a.type)
+        below = [[p[1:] if p else [] for p in paths if not p or p[0] == f.name] for f in fields]
+        return pa.StructArray.from_arrays([walked(x, b, fn) if b else x for x, b in zip(a.flatten(), below, strict=True)], names=[f.name for f in fields], mask=a.is_null() if a.null_count else None)
+    return a
+
+
+def _extent(a: pa.Array) -> tuple[int, int]:
+    """Where the items of a sliced map array begin among all, and how many there are."""
+    at = np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, a.offset * 4) if len(a) else np.zeros(1, np.int32)
+    return int(at[0]), int(at[-1] - at[0])
 
 
 def hans_confidence(counts: Column) -> Column:

@@ -333,3 +333,19 @@ def service_requests(spark, sf_dir):
     body = F.concat(F.lit("-{zh-tw:"), "role", F.lit(";zh-hk:x}-国 "), "text")
     d = c.select((F.col("conv_id") * 1000 + turn).alias("id"), target.alias("target"), (F.col("role") == "user").alias("wikitext"), F.when(turn % 5 != 4, body).alias("body"), F.when(F.col("conv_id") % 6 != 5, "t").alias("token"))
     return requests(d, converter(spark), limit=600, token="t")
+
+
+_TALKS = f"src AS (SELECT conv_id || '/' || turn AS k, conv_id, turn, role, text FROM conversations), {sql_converted(LATIN, key='k')}"
+
+
+@query(f"WITH {_TALKS} SELECT conv_id, string_agg(turn || role || conv.text || '/' || src.text || '/' || conv.text || '=' || conv.text, '|' ORDER BY turn) AS talk FROM src JOIN conv USING (k) GROUP BY conv_id")
+def convert_deep_conversations(spark, sf_dir):
+    """Conversations gathered into arrays of structs that hold texts, arrays of structs, and maps whose keys are texts too."""
+    c = read(spark, sf_dir, "conversations")
+    turn = lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text"), t["text"].alias("raw"), F.array(F.struct(t["text"].alias("said"))).alias("parts"), F.create_map(t["text"], t["text"]).alias("by"))
+    talks = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("l")).select("conv_id", F.struct(F.transform("l", turn).alias("turns")).alias("talk"))
+    latin = Converter(spark, spark.createDataFrame([("hans", f, t, i) for i, (f, t) in enumerate(LATIN.items())], "`table` string, `from` string, `to` string, ord long"))
+    done = latin.convert_struct(talks, ["talk.turns.text", "talk.turns.parts.said", "talk.turns.by"], "zh-hans")
+    # the key of a map is the text as it was
+    shown = lambda t: F.concat(t["turn"].cast("string"), t["role"], t["text"], F.lit("/"), t["raw"], F.lit("/"), t["parts"][0]["said"], F.lit("="), t["by"][t["raw"]])
+    return done.select("conv_id", F.array_join(F.transform("talk.turns", shown), "|").alias("talk"))

@@ -238,3 +238,28 @@ def test_text_job(spark, tmp_path, monkeypatch, capsys):
     assert "新 薪" in lines and len(lines) == len(seed_pairs("zh-tw")) + 1
     with pytest.raises(SystemExit):
         cli.main(["zh-xx"])
+
+
+def test_deep_documents(spark):
+    """Arrays of structs, maps, nested arrays and nulls on every level; keys and other leaves stay."""
+    from glyphspark.functions.columns import Converter
+
+    c = Converter(spark)
+    schema = "id int, a array<struct<t:string,n:int>>, m map<string,struct<t:string>>, x array<array<string>>, s struct<m:map<string,array<string>>,d:double>, t string"
+    rows = [
+        (1, [("国", 1), (None, 2), None], {"国": ("国",), "x": None}, [["国", None], None, []], ({"国": ["国", "里"]}, 1.5), "国"),
+        (2, None, None, None, None, None),
+        (3, [], {}, [], ({}, None), ""),
+        (4, [("国国", 3)], {"a": (None,)}, [["国"]], (None, 2.0), "国"),
+    ]
+    df = spark.createDataFrame(rows, schema).repartition(1).sortWithinPartitions("id")
+    every = [tuple(r) for r in c.convert_struct(df, None, "zh-tw").collect()]
+    some = [tuple(r) for r in c.convert_struct(df, ["a.t", "s.m"], "zh-tw").collect()]
+    li = c.convert(F.lit("里"), "zh-tw")
+    li = spark.range(1).select(li.alias("x")).first().x
+    assert every[0] == (1, [("國", 1), (None, 2), None], {"国": ("國",), "x": None}, [["國", None], None, []], ({"国": ["國", li]}, 1.5), "國")
+    assert every[1] == (2, None, None, None, None, None) and every[2] == (3, [], {}, [], ({}, None), "") and every[3] == (4, [("國國", 3)], {"a": (None,)}, [["國"]], (None, 2.0), "國")
+    assert some[0] == (1, [("國", 1), (None, 2), None], {"国": ("国",), "x": None}, [["国", None], None, []], ({"国": ["國", li]}, 1.5), "国")
+    assert c.convert_struct(df.limit(0), None, "zh-tw").count() == 0
+    with pytest.raises(ValueError, match="no texts"):
+        c.convert_struct(df, ["s.d"], "zh-tw")
