@@ -23,7 +23,6 @@ from ..sources import rulesets as sources
 from ..sources.rulesets import ARRAYS, PAIRS, seed_rows
 from ..streaming import streams
 from ..variants import DETECTED, VARIANTS, variants_frame
-from .compose import RulesetConfig, compose, flatten
 
 SENTENCES = [
     "天干物燥 小心火烛", "他们在计算机上写软件。", "皇后的头发又长又黑", "請問這個資訊在哪裡？", "出租车司机说东边有雨", "網路影片很長", "发展经济要靠劳动", "我們坐計程車去醫院",
@@ -416,12 +415,6 @@ def table_dedup_precedence(spark, sf_dir):
     return rulesets.first_of_each(p).select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"))
 
 
-@query("SELECT * FROM (VALUES ('甲', '丙'), ('己', '丁'), ('乙', '丙'), ('戊', '丁'), ('庚', '庚'), ('辛', '庚')) v(f, t)")
-def flattened_stages(spark, sf_dir):
-    made = flatten([({"甲": "乙", "己": "戊", "庚": "辛"}, {"乙": "甲", "戊": "己", "辛": "庚"}), ({"乙": "丙", "戊": "丁", "辛": "庚"}, {"丙": "乙"})])
-    return spark.createDataFrame(sorted(made.items()), "f string, t string")
-
-
 def _file(spark: SparkSession, text: str) -> str:
     """A small file in the shared folder, written by Spark."""
     path = f"{shared_dir(spark).rstrip('/')}/glyphspark/file-{uuid.uuid4().hex}"
@@ -429,17 +422,6 @@ def _file(spark: SparkSession, text: str) -> str:
     return path
 
 
-@query(f"WITH {SEED_SQL}, h AS (SELECT f, t FROM seed WHERE tab = 'hant' AND length(f) = 1 AND length(t) = 1) SELECT 'hk' AS tab, f, t || '!' AS t FROM h WHERE f NOT IN (SELECT t FROM h) UNION ALL SELECT 'hk', t, t || '!' FROM h GROUP BY t")
-def table_composed(spark, sf_dir):
-    """Two stages: characters, and variants of what these give."""
-    pairs = {f: t for tab, f, t, _ in seed_rows() if tab == "hant" and len(f) == len(t) == 1}
-    targets = set(pairs.values())
-    pairs = {f: t for f, t in pairs.items() if f not in targets or f == t}
-    files = {"STPhrases": ({}, {}), "STCharacters": (pairs, {t: f for f, t in pairs.items()}), "HKVariants": ({t: t + "!" for t in targets}, {})}
-    made = compose(spark, RulesetConfig(tables=("hk",), arrays=False, dictionaries=True), None, files.__getitem__)
-    return made.select(F.col("table").alias("tab"), F.col("from").alias("f"), F.col("to").alias("t"))
-
-
 # ---- groups
 
 

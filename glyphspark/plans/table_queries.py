@@ -20,6 +20,7 @@ from ..sources import rulesets as sources
 from ..sources.rulesets import ARRAYS
 from ..streaming.streams import requests
 from ..variants import DETECTED, VARIANTS, enabled_tags, variants_frame
+from .compose import RulesetConfig, compose
 from .queries import CHINESE, DIGEST_SQL, LATIN, ORACLE_SQL, chinese, converter, digest, marked, q, query, read, seed, seed_pairs, sql_converted, sql_tokens, sql_values
 
 
@@ -349,3 +350,46 @@ def convert_deep_conversations(spark, sf_dir):
     # the key of a map is the text as it was
     shown = lambda t: F.concat(t["turn"].cast("string"), t["role"], t["text"], F.lit("/"), t["raw"], F.lit("/"), t["parts"][0]["said"], F.lit("="), t["by"][t["raw"]])
     return done.select("conv_id", F.array_join(F.transform("talk.turns", shown), "|").alias("talk"))
+
+
+# ---- dictionaries composed in stages, made from part
+
+
+def part_dictionaries(spark: SparkSession, sf_dir: str) -> Callable[[str], tuple[DataFrame, DataFrame]]:
+    """Dictionaries between names, <name>, types, [type], and types as regions write them, {type} and |type|, with phrases, <name>! and [type!]."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", (F.col("p_size") % 4).cast("string")).alias("a"), F.concat("p_type", (F.col("p_size") % 2).cast("string")).alias("t"))
+    of_name = p.groupBy("a").agg(F.min_by("t", "p_partkey").alias("t"), F.min("p_partkey").alias("k"))
+    of_type = of_name.groupBy("t").agg(F.min_by("a", "k").alias("a"))
+    text = lambda form: F.concat(*[F.col(x) if x in ("a", "t") else F.lit(x) for x in form])
+
+    def pairs(rows: DataFrame, src: tuple, dst: tuple) -> DataFrame:
+        return rows.select(text(src).alias("from"), text(dst).alias("to"))
+
+    name, phrase, kind, kinds, tw, hk, words = ("<", "a", ">"), ("<", "a", ">!"), ("[", "t", "]"), ("[", "t", "!]"), ("{", "t", "}"), ("|", "t", "|"), ("(", "t", ")")
+    made = {
+        "STCharacters": (pairs(of_name, name, kind), pairs(of_type, kind, name)), "STPhrases": (pairs(of_name, phrase, kinds), pairs(of_type, kinds, phrase)), "TSCharacters": (pairs(of_type, kind, name), pairs(of_type, name, kind)), "TSPhrases": (pairs(of_type, kinds, ("<", "t", ">")), pairs(of_type, ("<", "t", ">"), kinds)),
+        "TWVariants": (pairs(of_type, kind, tw), pairs(of_type, tw, kind)), "TWPhrases": (pairs(of_type, kinds, words), pairs(of_type, words, kinds)), "HKVariants": (pairs(of_type, kind, hk), pairs(of_type, hk, kind)), "TWVariantsRevPhrases": (pairs(of_type, tw, kind), pairs(of_type, kind, tw)), "HKVariantsRevPhrases": (pairs(of_type, hk, kind), pairs(of_type, kind, hk)),
+    }
+    return made.__getitem__
+
+
+_NAMES = "n AS (SELECT p_name || ' ' || p_size % 4 AS a, arg_min(p_type || p_size % 2, p_partkey) AS t, min(p_partkey) AS k FROM part GROUP BY a), y AS (SELECT t, arg_min(a, k) AS a FROM n GROUP BY t)"
+_PLAIN = """SELECT 'hans' AS tab, '[' || t || ']' AS f, '<' || a || '>' AS t FROM y UNION ALL SELECT 'hans', '[' || t || '!]', '<' || t || '>' FROM y
+UNION ALL SELECT 'hant', '<' || a || '>', '[' || t || ']' FROM n UNION ALL SELECT 'hant', '<' || a || '>!', '[' || t || '!]' FROM n
+UNION ALL SELECT 'hk', '<' || a || '>', '|' || t || '|' FROM n UNION ALL SELECT 'hk', '<' || a || '>!', '[' || t || '!]' FROM n UNION ALL SELECT 'hk', '[' || t || ']', '|' || t || '|' FROM y
+UNION ALL SELECT 'tw', '<' || a || '>', '{' || t || '}' FROM n UNION ALL SELECT 'tw', '[' || t || ']', '{' || t || '}' FROM y
+UNION ALL SELECT 'cn', '{' || t || '}', '<' || a || '>' FROM y UNION ALL SELECT 'cn', '|' || t || '|', '<' || a || '>' FROM y UNION ALL SELECT 'cn', '[' || t || ']', '<' || a || '>' FROM y UNION ALL SELECT 'cn', '[' || t || '!]', '<' || t || '>' FROM y"""
+
+
+@query(f"WITH {_NAMES} {_PLAIN} UNION ALL SELECT 'tw', '<' || a || '>!', '[' || t || '!]' FROM n")
+def table_composed(spark, sf_dir):
+    """All five tables in stages."""
+    made = compose(spark, RulesetConfig(arrays=False, dictionaries=True), None, part_dictionaries(spark, sf_dir))
+    return named(made, F.col("table").alias("tab"))
+
+
+@query(f"WITH {_NAMES} {_PLAIN} UNION ALL SELECT 'tw', '<' || a || '>!', '(' || t || ')' FROM n UNION ALL SELECT 'tw', '[' || t || '!]', '(' || t || ')' FROM y UNION ALL SELECT 'cn', '(' || t || ')', '<' || t || '>' FROM y")
+def flattened_stages(spark, sf_dir):
+    """All five tables with the phrases of one region between the stages of others."""
+    made = compose(spark, RulesetConfig(arrays=False, dictionaries=True, taiwan_phrases=True), None, part_dictionaries(spark, sf_dir))
+    return named(made, F.col("table").alias("tab"))

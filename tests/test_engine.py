@@ -1,6 +1,7 @@
 """Column functions, rulesets, groups, sources and streams on small frames."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,17 +169,50 @@ def test_dictionary_folder(spark, tmp_path):
     assert C.Converter(spark, got.unionByName(spark.createDataFrame([("hant", "x", "x", 0)], sources.PAIRS))).enabled() == ["zh", "zh-hant", "zh-hk", "zh-mo"]
 
 
+def slow_flatten(stages):
+    """One dictionary that does what (forward, reverse) stages do one after another."""
+    pairs, origin = {}, {}  # origin: what stages have written, to what they read
+    for forward, back in stages:
+        step, undo = Matcher(forward), Matcher(origin)
+        pairs = {f: step.convert(t) for f, t in pairs.items()}
+        for f in sorted(forward):
+            t, written = forward[f], undo.convert(f)
+            pairs[f] = t
+            if written not in (f, t):
+                pairs[written] = t
+        origin = {**{f: undo.convert(t) for f, t in back.items()}, **{step.convert(f): t for f, t in sorted(origin.items())}, **origin}
+    return pairs
+
+
 def test_composition(spark):
-    stages = [({"甲": "乙"}, {"乙": "甲"}), ({"乙": "丙"}, {"丙": "乙"})]
-    assert compose.flatten(stages) == {"甲": "丙", "乙": "丙"}
+    two = lambda d: spark.createDataFrame(list(d.items()), "`from` string, `to` string")
     files = {"STCharacters": ({"国": "國"}, {"國": "国"}), "STPhrases": ({}, {}), "TWVariants": ({"國": "囯"}, {"囯": "國"})}
     cfg = compose.RulesetConfig(tables=("hant", "tw"), arrays=True, dictionaries=True)
     arrays = spark.createDataFrame([("hant", "国", "圀", 0)], sources.PAIRS)
-    got = {(r["table"], r["from"], r["to"]) for r in compose.compose(spark, cfg, arrays, files.__getitem__).collect()}
+    got = {(r["table"], r["from"], r["to"]) for r in compose.compose(spark, cfg, arrays, {k: (two(f), two(b)) for k, (f, b) in files.items()}.__getitem__).collect()}
     assert got == {("hant", "国", "圀"), ("tw", "国", "囯"), ("tw", "國", "囯")}
     with pytest.raises(ValueError, match="at least one"):
         compose.RulesetConfig(arrays=False)
-    assert compose.read_stage(["!A", "B"], {"A": ({"a": "1"}, {"1": "a"}), "B": ({"1": "b"}, {"b": "1"})}.__getitem__) == ({"1": "b"}, {"b": "1", "a": "1"})
+
+
+def test_composition_equals_model(spark):
+    """Random dictionaries that overlap, reversed ones among them, in chains of one to three stages."""
+    r = random.Random(9)
+    word = lambda a, b: "".join(r.choice("abcd") for _ in range(r.randint(a, b)))
+    files = {n: ({word(1, 3): word(0, 3) for _ in range(8)}, {word(1, 3): word(0, 3) for _ in range(6)}) for n in "ABCDE"}
+    chains = {"x": [["A", "!B"], ["C"], ["D", "E"]], "y": [["E", "D"], ["!A"]], "z": [["B"]]}
+
+    def stage(names):
+        forward, back = {}, {}
+        for n in names:
+            f, b = files[n.removeprefix("!")][:: -1 if n.startswith("!") else 1]
+            forward, back = {**forward, **f}, {**b, **back}
+        return forward, back
+
+    two = lambda d: spark.createDataFrame(list(d.items()), "`from` string, `to` string")
+    frames = {n: (two(f), two(b)) for n, (f, b) in files.items()}
+    got = sorted((x["scope"], x["from"], x["to"]) for x in compose.flatten(spark, chains, frames.__getitem__).collect())
+    assert got == sorted((c, f, t) for c, stages in chains.items() for f, t in slow_flatten([stage(s) for s in stages]).items() if f)
 
 
 def test_group_pages(spark):
