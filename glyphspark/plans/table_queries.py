@@ -85,13 +85,13 @@ def convert_table_scoped(spark, sf_dir):
     return digest(joined.convert(docs, "text", pairs, own, "source", off), F.col("text"))
 
 
-@query(f"WITH src AS (SELECT doc_id, NULL AS scope, text FROM documents), {_WORDS}, {sql_matches('src', LEAST, MOST, off="right(kv.t, 1) IN ('5', '7')")} {DIGEST_SQL}")
+@query(f"WITH src AS (SELECT doc_id, NULL AS scope, text FROM documents), {_WORDS.replace('FROM documents', 'FROM benchmark')}, {sql_matches('src', LEAST, MOST, off="right(kv.t, 1) IN ('4', '6')")} {DIGEST_SQL}")
 def convert_removed_words(spark, sf_dir):
-    """Disabled targets of several characters in the kernel, with the same dictionary: the words that have them are passed over by one character."""
+    """Disabled targets of several characters in the kernel, with the words of the benchmark: those that have them are passed over by one character."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = written(word_pairs(docs), "words")
+    pairs = written(word_pairs(read(spark, sf_dir, "benchmark")), "words")
     c = Converter(spark, pairs.select(F.lit("hans").alias("table"), "from", "to", F.lit(0).alias("ord")))
-    off = [r["to"] for r in bounded(pairs.filter(F.substring("to", -1, 1).isin("5", "7")))]
+    off = [r["to"] for r in bounded(pairs.filter(F.substring("to", -1, 1).isin("4", "6")))]
     return digest(docs, c.convert(F.col("text"), "zh-hans", removed=off))
 
 
