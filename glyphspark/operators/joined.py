@@ -2,8 +2,9 @@
 
 Each distinct text is cut into pieces with what follows them. At each place
 the first characters are joined with the stems of all sources, which tells the
-lengths to try; what has these lengths there is joined with the sources. Spark
-broadcasts a dictionary or shuffles by its size. A fold over the matches of a
+lengths to try; what has these lengths there is joined with the sources. A
+dictionary of up to BROADCAST rows, which are counted first, is broadcast; a
+larger one is shuffled, and what stands at the places with it. A fold over the matches of a
 text, by place and from the longest, takes the leftmost-longest ones.
 
 A text may have pairs of its own besides, by a scope that its row names; they
@@ -25,7 +26,9 @@ from ..functions.arrays import cut, fold, let, text_blocks
 from ..scratch import shared_dir
 
 #: Characters of a piece and of a stem, at most.
-PIECE, STEM = 256, 3
+PIECE, STEM = 64, 3
+#: Rows of a dictionary that are broadcast, at most; a larger one is shuffled.
+BROADCAST = 500_000
 KEY = ("__k1", "__k2")
 MATCH = "struct<start:int,n:int,dst:string>"
 
@@ -51,47 +54,54 @@ def _places(texts: DataFrame, longest: int) -> DataFrame:
         return F.transform(pieces, lambda p, i: F.struct((i * PIECE).alias("base"), F.length(p).alias("n"), F.concat(p, F.substring(F.array_join(F.slice(pieces, i + 2, more), ""), 1, longest - 1)).alias("body")))
 
     pieces = let(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), with_rest)
-    rows = texts.select(*KEY, "scope", F.explode(pieces).alias("p")).select(*KEY, "scope", "p.*")
-    place = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("base") + i).alias("start"), F.substring(F.col("body"), i + 1, F.lit(longest)).alias("rest")))
-    return rows.select(*KEY, "scope", F.explode(place).alias("x")).select(*KEY, "scope", "x.start", "x.rest")
+    rows = texts.select(*KEY, "scope", F.explode(pieces).alias("p")).select(*KEY, "scope", "p.base", "p.body", F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)).alias("i"))
+    return rows.select(*KEY, "scope", (F.col("base") + F.col("i")).alias("start"), F.substring(F.col("body"), F.col("i") + 1, F.lit(longest)).alias("rest"))
 
 
-def matches(texts: DataFrame, pairs: DataFrame, own: DataFrame | None = None, overlay: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
-    """(key, start, n, layer, dst): every source at every place of texts (key, scope, text).
+def matches(texts: DataFrame, pairs: DataFrame, own: DataFrame | None = None, overlay: DataFrame | None = None, gone: DataFrame | None = None, off: DataFrame | None = None) -> DataFrame:
+    """(key, start, n, layer, dst, off): every source at every place of texts (key, scope, text).
 
     ``pairs`` and ``overlay`` are (from, to) with distinct sources; ``own`` are
     (scope, from, to) with sources distinct in a scope; ``gone`` are (scope,
     from) that the overlay lacks for a scope. layer is 0 for a text's own
-    pairs, 1 for the overlay's, 2 for the table's.
+    pairs, 1 for the overlay's, 2 for the table's. off says whether a match of
+    the table has a disabled target, by rows ``off`` (scope, targets).
     """
     named = lambda d, *more: d.select(*more, F.col("from").alias("src"), F.coalesce("to", F.lit("")).alias("dst")).filter("length(src) > 0")
     layers = [(k, d) for k, d in enumerate((own if own is None else named(own, "scope"), overlay if overlay is None else named(overlay), named(pairs))) if d is not None]
     sources = layers[0][1].select("src")
     for _, d in layers[1:]:
         sources = sources.unionByName(d.select("src"))
-    size = sources.agg(F.min(F.length("src")).alias("least"), F.max(F.length("src")).alias("most")).first()
+    size = sources.agg(F.min(F.length("src")).alias("least"), F.max(F.length("src")).alias("most"), F.count(F.lit(1)).alias("n")).first()
+    sized = F.broadcast if size["n"] <= BROADCAST else lambda d: d
     k = min(size["least"] or 1, STEM)
     stems = sources.groupBy(F.substring("src", 1, k).alias("stem")).agg(F.collect_set(F.length("src")).alias("lengths"))
-    at = _places(texts, size["most"] or 1).withColumn("stem", F.substring("rest", 1, k)).join(stems, "stem")
+    at = _places(texts, size["most"] or 1).withColumn("stem", F.substring("rest", 1, k)).join(sized(stems), "stem")
     grams = at.select(*KEY, "scope", "start", "rest", F.explode("lengths").alias("n")).withColumn("src", F.substring(F.col("rest"), F.lit(1), F.col("n"))).filter(F.length("src") == F.col("n"))
     out = [*KEY, "start", "n"]
     found = []
+    disabled = None if off is None else off.select("scope", F.explode("targets").alias("dst")).distinct()
     for k, d in layers:
-        hits = grams.join(d, ["scope", "src"] if k == 0 else "src")
+        if k == 2 and disabled is not None:
+            d = d.join(disabled.filter("scope is null").select("dst", F.lit(True).alias("all_off")), "dst", "left")
+        hits = grams.join(sized(d), ["scope", "src"] if k == 0 else "src")
         if k == 1 and gone is not None:
             hits = hits.join(gone.select("scope", F.col("from").alias("src")).distinct(), ["scope", "src"], "left_anti")
-        found.append(hits.select(*out, F.lit(k).alias("layer"), "dst"))
+        flag = F.lit(False)
+        if k == 2 and disabled is not None:
+            hits = hits.join(disabled.filter("scope is not null").withColumn("own_off", F.lit(True)), ["scope", "dst"], "left")
+            flag = F.coalesce("all_off", "own_off", F.lit(False))
+        found.append(hits.select(*out, F.lit(k).alias("layer"), "dst", flag.alias("off")))
     return reduce(DataFrame.unionByName, found)
 
 
-def leftmost_longest(found: Column, off: Column | None = None) -> Column:
-    """Of array<struct<start, order, layer, dst>>, order being less the length, the matches that replace, as array<MATCH>. ``off`` has the table's disabled targets."""
-    disabled = lambda m: (m["layer"] == 2) & F.array_contains(off, m["dst"]) if off is not None else F.lit(False)
+def leftmost_longest(found: Column) -> Column:
+    """Of array<struct<start, order, layer, dst, off>>, order being less the length, the matches that replace, as array<MATCH>."""
 
     def step(end: Column, m: Column) -> tuple[Column, Column]:
         free = m["start"] >= end
-        behind = m["start"] + F.when(disabled(m), 1).otherwise(-m["order"])
-        return F.when(free, behind).otherwise(end), free & ~disabled(m)
+        behind = m["start"] + F.when(m["off"], 1).otherwise(-m["order"])
+        return F.when(free, behind).otherwise(end), free & ~m["off"]
 
     def chosen(ms: Column) -> Column:
         taken = F.zip_with(ms, fold(ms, F.lit(0), "boolean", step), lambda m, t: F.struct(t.alias("taken"), F.struct(m["start"].alias("start"), (-m["order"]).alias("n"), m["dst"].alias("dst")).alias("m")))
@@ -127,13 +137,9 @@ def convert(df: DataFrame, text_col: str, pairs: DataFrame, own: DataFrame | Non
     text = F.col(text_col).cast("string")
     keyed = df.select("*", *keys(scope, text))
     texts = df.select(*keys(scope, text), scope.alias("scope"), text.alias("text")).filter("text is not null").dropDuplicates(list(KEY))
-    rows = matches(texts, pairs, own, overlay, gone).groupBy(*KEY).agg(F.collect_set(F.struct("start", (-F.col("n")).alias("order"), "layer", "dst")).alias("found"))
-    rows = texts.join(rows, list(KEY), "left").withColumn("off", F.array().cast("array<string>"))
-    if off is not None:
-        everywhere = off.filter("scope is null").select(F.col("targets").alias("all_off"))
-        rows = rows.join(F.broadcast(everywhere.agg(F.array_distinct(F.flatten(F.collect_list("all_off"))).alias("all_off"))))
-        rows = rows.join(off.filter("scope is not null").select("scope", "targets"), "scope", "left").withColumn("off", F.concat("all_off", F.coalesce("targets", "off")))
-    taken = leftmost_longest(F.col("found"), F.col("off") if off is not None else None)
+    found = F.collect_set(F.struct("start", (-F.col("n")).alias("order"), "layer", "dst", "off")).alias("found")
+    rows = texts.join(matches(texts, pairs, own, overlay, gone, off).groupBy(*KEY).agg(found), list(KEY), "left")
+    taken = leftmost_longest(F.col("found"))
     done = F.when(F.col("found").isNull(), F.col("text")).otherwise(let(taken, lambda t: replaced(F.col("text"), t)))
     converted = written(rows.select(*KEY, done.alias("__done")), "converted")
     return keyed.join(converted, list(KEY), "left").select(*[F.col("__done").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

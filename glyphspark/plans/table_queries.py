@@ -48,18 +48,18 @@ conv AS (SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || text[e:] E
 
 # ---- dictionaries made from the documents
 
-LEAST, MOST, PREFIX = 3, 12, 4
+LEAST, MOST, PREFIX = 3, 6, 4
 
 
 def word_pairs(docs: DataFrame) -> DataFrame:
     """(from, to): the words of all texts and their first letters, each with its letters reversed and counted."""
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\n .,]+"), F.lit(0))).alias("w")).filter(F.length("w").between(LEAST, MOST)).distinct()
-    sources = words.select("w").union(words.filter(F.length("w") > PREFIX + 2).select(F.substring("w", 1, PREFIX))).distinct()
+    sources = words.select("w").union(words.filter(F.length("w") > PREFIX + 1).select(F.substring("w", 1, PREFIX))).distinct()
     return sources.select(F.col("w").alias("from"), F.concat(F.reverse("w"), F.length("w").cast("string")).alias("to"))
 
 
 _WORDS = f"""w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[^\\n .,]+')) AS w FROM documents) WHERE length(w) BETWEEN {LEAST} AND {MOST}),
-kv AS (SELECT w AS f, reverse(w) || length(w)::VARCHAR AS t FROM (SELECT w FROM w UNION SELECT left(w, {PREFIX}) FROM w WHERE length(w) > {PREFIX + 2}))"""
+kv AS (SELECT w AS f, reverse(w) || length(w)::VARCHAR AS t FROM (SELECT w FROM w UNION SELECT left(w, {PREFIX}) FROM w WHERE length(w) > {PREFIX + 1}))"""
 
 
 @query(f"WITH src AS (SELECT doc_id, NULL AS scope, text FROM documents), {_WORDS}, {sql_matches('src', LEAST, MOST)} {DIGEST_SQL}")
@@ -73,7 +73,7 @@ _OWN = f"""own AS (SELECT source AS scope, w AS f, '<' || source || '>' AS t FRO
   FROM (SELECT source, unnest(regexp_extract_all(text, '[^\\n .,]+')) AS w FROM documents WHERE source IS NOT NULL) WHERE length(w) BETWEEN {LEAST} AND {MOST} GROUP BY source, w) WHERE k % 5 = 1 AND k <= 50)"""
 
 
-@query(f"WITH src AS (SELECT doc_id, source AS scope, text FROM documents), {_WORDS}, {_OWN}, {sql_matches('src', LEAST, MOST, 'own', off="right(kv.t, 1) IN ('5', '7')")} {DIGEST_SQL}")
+@query(f"WITH src AS (SELECT doc_id, source AS scope, text FROM documents), {_WORDS}, {_OWN}, {sql_matches('src', LEAST, MOST, 'own', off="right(kv.t, 1) IN ('4', '6')")} {DIGEST_SQL}")
 def convert_table_scoped(spark, sf_dir):
     """The same with words of each source that shadow the dictionary in its documents, and targets that are disabled everywhere: shorter words at their places are lost."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -81,7 +81,7 @@ def convert_table_scoped(spark, sf_dir):
     words = docs.filter("source is not null").select("source", F.explode(F.regexp_extract_all("text", F.lit(r"[^\n .,]+"), F.lit(0))).alias("w")).filter(F.length("w").between(LEAST, MOST))
     ranked = words.groupBy("source", "w").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "w"))), 1, 50).alias("l"))
     own = ranked.select("source", F.posexplode("l").alias("k", "x")).filter("k % 5 = 0").select(F.col("source").alias("scope"), F.col("x.w").alias("from"), F.concat(F.lit("<"), "source", F.lit(">")).alias("to"))
-    off = pairs.filter(F.substring("to", -1, 1).isin("5", "7")).agg(F.collect_set("to").alias("targets")).select(F.lit(None).cast("string").alias("scope"), "targets")
+    off = pairs.filter(F.substring("to", -1, 1).isin("4", "6")).agg(F.collect_set("to").alias("targets")).select(F.lit(None).cast("string").alias("scope"), "targets")
     return digest(joined.convert(docs, "text", pairs, own, "source", off), F.col("text"))
 
 
