@@ -2,8 +2,9 @@
 
 After register(spark): convert_variant(text, tag), convert_markup(text, tag),
 count_replaced(text, tag), is_hans(text), is_hans_confidence(text),
-infer_variant(text), page_title(text, tag), and the table functions variant_matches(text, tag) and
-markup_rules(text).
+infer_variant(text), page_title(text, tag), matched_spans(text, tag),
+parsed_rules(text), and over the last two, which work on Arrow batches, the
+table functions variant_matches(text, tag) and markup_rules(text).
 """
 
 from __future__ import annotations
@@ -14,18 +15,34 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..variants import DETECTED, TIES, parse
-from .columns import Converter, Shared, by_tag, each, nulls
+from .columns import _SPANS, SPANS, Converter, Shared, by_tag, each, nulls
 from .markup import MarkupConverter, PageRules, RuleError, extract_rules, parse_rule
 from .matcher import groups_of
 
 
+RULES = pa.list_(pa.struct([("place", pa.int32()), *((n, pa.string()) for n in ("inner", "action", "output", "error"))]))
+
+
+def parsed_rules(text: str) -> list[dict]:
+    """The one-line rules of a text, each with what it does or why it can't be read."""
+    out = []
+    for i, inner in enumerate(extract_rules(text)):
+        row = {"place": i, "inner": inner, "action": None, "output": None, "error": None}
+        try:
+            r = parse_rule(inner)
+            out.append(row | {"action": r.action, "output": r.output})
+        except RuleError as e:
+            out.append(row | {"error": e.kind})
+    return out
+
+
 def register(spark: SparkSession, converter: Converter | None = None) -> Converter:
     c = converter or Converter(spark)
     held = Shared(spark, c.matchers)
     markup = Shared(spark, {t: MarkupConverter(m, t) for t, m in c.matchers.items()})
 
-    def two(fn):
-        return lambda texts, tags: by_tag(texts, tags, fn)
+    def two(fn, kind=pa.string()):  # noqa: B008
+        return lambda texts, tags: by_tag(texts, tags, fn, kind)
 
     def of_each(fn, kind):
         return lambda tag, texts: each(lambda t: fn(t, tag), kind)(texts)
@@ -59,25 +76,11 @@ def register(spark: SparkSession, converter: Converter | None = None) -> Convert
     put("is_hans", lambda ts: pa.array(share(ts) > 0.5, pa.bool_(), mask=nulls(ts)), "boolean")
     put("is_hans_confidence", lambda ts: pa.array(share(ts), pa.float32(), mask=nulls(ts)), "float")
 
-    @F.udtf(returnType="start int, end int, src string, dst string")
-    class VariantMatches:
-        def eval(self, text: str, tag: str):
-            if text is not None and tag is not None:
-                for s, e, d in held.get()[parse(tag).tag].spans(text):
-                    yield s, e, text[s:e], d
-
-    @F.udtf(returnType="place int, inner string, action string, output string, error string")
-    class MarkupRules:
-        def eval(self, text: str):
-            for i, inner in enumerate(extract_rules(text or "")):
-                try:
-                    r = parse_rule(inner)
-                    yield i, inner, r.action, r.output, None
-                except RuleError as e:
-                    yield i, inner, None, None, e.kind
-
-    spark.udtf.register("variant_matches", VariantMatches)
-    spark.udtf.register("markup_rules", MarkupRules)
+    put("matched_spans", two(lambda g, t: held.get()[g].spans_array(t), _SPANS), SPANS)
+    put("parsed_rules", each(parsed_rules, RULES), "array<struct<place:int,inner:string,action:string,output:string,error:string>>")
+    table = lambda name, args, cols, of: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE({cols}) RETURN SELECT m.* FROM explode({of}) AS t(m)")
+    table("variant_matches", "text STRING, tag STRING", "start INT, `end` INT, src STRING, dst STRING", "matched_spans(text, tag)")
+    table("markup_rules", "text STRING", "place INT, inner STRING, action STRING, output STRING, error STRING", "parsed_rules(text)")
     return c
 
 

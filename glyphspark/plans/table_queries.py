@@ -7,10 +7,10 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import Converter, normal_tag, page_pairs, variant_name
+from ..functions.columns import Converter, make_converter, normal_tag, page_pairs, variant_name
 from ..functions.sql import engine_info
 from ..operators import groups, joined, pages, rulesets
 from ..operators.joined import written
@@ -21,7 +21,7 @@ from ..sources.rulesets import ARRAYS
 from ..streaming.streams import requests
 from ..variants import DETECTED, VARIANTS, enabled_tags, variants_frame
 from .compose import RulesetConfig, compose
-from .queries import CHINESE, DIGEST_SQL, LATIN, ORACLE_SQL, chinese, converter, digest, marked, q, query, read, seed, seed_pairs, sql_converted, sql_tokens, sql_values
+from .queries import CHINESE, DIGEST_SQL, LATIN, ORACLE_SQL, OVERLAY, chinese, converter, digest, marked, q, query, read, seed, seed_pairs, sql_converted, sql_tokens, sql_values
 
 
 def sql_matches(source: str, least: int, most: int, own: str | None = None, off: str = "FALSE") -> str:
@@ -393,3 +393,23 @@ def flattened_stages(spark, sf_dir):
     """All five tables with the phrases of one region between the stages of others."""
     made = compose(spark, RulesetConfig(arrays=False, dictionaries=True, taiwan_phrases=True), None, part_dictionaries(spark, sf_dir))
     return named(made, F.col("table").alias("tab"))
+
+
+# ---- converters over a base
+
+
+@query(f"WITH src AS ({CHINESE}), {sql_converted({**seed_pairs('zh-tw'), **OVERLAY, **LATIN})} {DIGEST_SQL}")
+def make_converter_based(spark, sf_dir):
+    """A converter of a file of pairs over a variant's tables."""
+    rows = spark.createDataFrame([(i, f"{f} {t}") for i, (f, t) in enumerate({**OVERLAY, **LATIN}.items())], "at int, line string")
+    fn = make_converter(spark, "zh-tw", _lines_file(rows))
+    d = chinese(spark, sf_dir)
+    return digest(d, fn(d["text"]))
+
+
+@query(f"WITH {PARTS} SELECT tab, f, t, row_number() OVER (PARTITION BY tab, strlen(f) ORDER BY f)::BIGINT AS place, strlen(f)::BIGINT AS n FROM pt")
+def table_longest_first(spark, sf_dir):
+    """The tables of part from the longest source: places within a table and a length, as the rows stand."""
+    rows = rulesets.longest_first(part_tables(spark, sf_dir)).withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("table", F.octet_length("from")).orderBy("at")).cast("long")
+    return named(rows, F.col("table").alias("tab"), place.alias("place"), F.octet_length("from").cast("long").alias("n"))

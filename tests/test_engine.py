@@ -297,3 +297,18 @@ def test_deep_documents(spark):
     assert c.convert_struct(df.limit(0), None, "zh-tw").count() == 0
     with pytest.raises(ValueError, match="no texts"):
         c.convert_struct(df, ["s.d"], "zh-tw")
+
+
+def test_sql_detection_equals_columns(spark, conv):
+    """The SQL functions' arithmetic against the column functions', on random texts with ties, nothing to tell, and nulls."""
+    r = random.Random(12)
+    register(spark, conv)
+    texts = ["".join(r.choice("国國发發髮头頭里裡這这a天后皇車车軟软件") for _ in range(r.randint(0, 12))) for _ in range(300)] + [None, ""]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    d.createOrReplaceTempView("sql_texts")
+    got = spark.sql("SELECT i, infer_variant(t) AS v, is_hans(t) AS h, is_hans_confidence(t) AS c FROM sql_texts").collect()
+    want = d.select("i", conv.infer(d.t).alias("v"), conv.is_hans(d.t).alias("h"), conv.is_hans_confidence(d.t).alias("c")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    spans = spark.sql("SELECT i, m.* FROM sql_texts, LATERAL variant_matches(t, 'zh-tw') m").collect()
+    flat = d.select("i", F.inline(conv.matches(d.t, "zh-tw"))).collect()
+    assert sorted(map(tuple, spans)) == sorted(map(tuple, flat)) and len(spans) > 300
