@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Code points of a block of a text, and outputs of a fold that are held in one array.
-BLOCK, HELD = 512, 256
+BLOCK, HELD = 512, 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cut, fold, let, text_blocks
+from ..functions.arrays import HELD, cut, let, text_blocks
 from ..scratch import shared_dir
 
 #: Characters of a piece and of a stem, at most.
@@ -98,16 +98,19 @@ def matches(texts: DataFrame, pairs: DataFrame, own: DataFrame | None = None, ov
 def leftmost_longest(found: Column) -> Column:
     """Of array<struct<start, order, layer, dst, off>>, order being less the length, the matches that replace, as array<MATCH>."""
 
-    def step(end: Column, m: Column) -> tuple[Column, Column]:
-        free = m["start"] >= end
+    def take(a: Column, m: Column) -> Column:
+        one, full = F.array(F.struct(m["start"].alias("start"), (-m["order"]).alias("n"), m["dst"].alias("dst")).cast(MATCH)), F.size(a["held"]) >= HELD
+        held = F.when(m["off"], a["held"]).when(full, one).otherwise(F.concat(a["held"], one))
+        done = F.when(full & ~m["off"], F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"])
         behind = m["start"] + F.when(m["off"], 1).otherwise(-m["order"])
-        return F.when(free, behind).otherwise(end), free & ~m["off"]
+        return F.when(m["start"] < a["end"], a).otherwise(F.struct(behind.alias("end"), held.alias("held"), done.alias("done")))
 
     def chosen(ms: Column) -> Column:
-        taken = F.zip_with(ms, fold(ms, F.lit(0), "boolean", step), lambda m, t: F.struct(t.alias("taken"), F.struct(m["start"].alias("start"), (-m["order"]).alias("n"), m["dst"].alias("dst")).alias("m")))
-        return F.transform(F.filter(taken, lambda x: x["taken"]), lambda x: x["m"])
+        longest = F.filter(ms, lambda m, i: (i == 0) | (F.get(ms, i - 1)["start"] != m["start"]))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{MATCH}>").alias("held"), F.array().cast(f"array<array<{MATCH}>>").alias("done"))
+        return F.aggregate(longest, start, take, lambda a: F.flatten(F.concat(a["done"], F.array(a["held"]))))
 
-    return let(F.array_sort(found), chosen)
+    return let(F.sort_array(found), chosen)
 
 
 def replaced(text: Column, taken: Column) -> Column:
