@@ -82,6 +82,9 @@ class Chunk:
         self.ends = np.array(ends, np.int64)
 
 
+#: Chunks are large and compressed: pages and row groups end by their bytes, not after 100 rows, so that no file is one page in the JVM.
+CHUNK_FILES = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
 CHUNK_SCHEMA = "chunk long, docs long, bytes long, ids binary, nulls binary, sizes binary, texts binary"
 
 
@@ -111,7 +114,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK) -> DataFr
         if ids:
             yield out()
 
-    return materialize(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, CHUNK_SCHEMA), "chunks")
+    return materialize(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, CHUNK_SCHEMA), "chunks", options=CHUNK_FILES)
 
 
 def pack_sorted(values: np.ndarray, bits: int) -> bytes:
@@ -211,13 +214,12 @@ def merge_cells(width: int) -> Callable[[list[dict]], list[bytes]]:
     """Adds up the parts of a sketch's shard; says of each cell sent whether its count is 2 or more."""
 
     def reply(rows: list[dict]) -> list[bytes]:
-        once, twice = np.zeros(1 << width, bool), np.zeros(1 << width, bool)
+        times = np.zeros(1 << width, np.uint8)
         for r in rows:
             c = unpack_sorted(r["p0"])
-            again = np.unpackbits(np.frombuffer(r["p1"], np.uint8), count=len(c)).astype(bool)
-            twice[c[once[c] | again]] = True
-            once[c] = True
-        return [np.packbits(twice[unpack_sorted(r["p0"])]).tobytes() for r in rows]
+            again = np.unpackbits(np.frombuffer(r["p1"], np.uint8), count=len(c))
+            times[c] = np.minimum(times[c] + 1 + again, 2)
+        return [np.packbits(times[unpack_sorted(r["p0"])] > 1).tobytes() for r in rows]
 
     return reply
 

@@ -29,21 +29,53 @@ WINDOW = 50
 ROWS, CELLS = 2, 4
 #: Bytes of a text for each word, about.
 WORD_BYTES = 6
-#: Remembered word hashes of a worker.
-MEMORY = 1 << 19
+#: Bytes of a chunk that are hashed at once, about; words of more than LONG bytes are hashed alone.
+BLOCK, LONG = 1 << 17, 256
 NO_ID = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
+_IN_WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
+
+
+@lru_cache(maxsize=1)
+def _byte_values() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, and the powers that it is weighed with by its place in a word."""
+    import xxhash
+
+    values = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+    return values, np.multiply.accumulate(np.full(LONG, _M1, np.uint64))
+
+
+def word_hashes(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of texts, one after the other in data, that end at these places; and each text's number of words."""
+    import xxhash
+
+    raw = np.frombuffer(data, np.uint8)
+    inside = _IN_WORD[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = np.concatenate([np.zeros(1, np.int64), ends])
+    at = begins[begins < len(raw)]
+    first[at] = inside[at]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    start, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size -= start
+    n_words = np.diff(np.searchsorted(start, begins))
+    values, powers = _byte_values()
+    out = np.zeros(len(start), np.uint64)
+    cuts = np.searchsorted(start, np.arange(0, len(raw) + BLOCK, BLOCK))
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if j > i:
+            n = np.minimum(size[i:j], LONG)
+            head = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(head, n)
+            out[i:j] = np.add.reduceat(values[raw[np.repeat(start[i:j], n) + place]] * powers[place], head)
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : start[k] + size[k]])
+    out = (out ^ (out >> np.uint64(32))) * _M2
+    return out ^ (out >> np.uint64(29)), n_words
 
 
 @lru_cache(maxsize=8)
@@ -68,13 +100,9 @@ class Windows:
     """The windows of a chunk: two hashes of each, its document, and its first word's place."""
 
     def __init__(self, chunk: Chunk, window: int):
-        if len(_HASHES) > MEMORY:
-            _HASHES.clear()
-        hashes = [np.fromiter(map(_HASHES.__getitem__, t.split()), np.uint64) for t in chunk.texts]
-        self.n_words = np.array([len(h) for h in hashes], np.int64)
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        every, self.n_words = word_hashes(chunk.data, chunk.ends)
         begin = np.cumsum(self.n_words) - self.n_words
-        doc = np.repeat(np.arange(len(hashes)), self.n_words)
+        doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
         if len(every) < window:
             self.at, self.doc, self.h1, self.h2 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         else:
@@ -135,6 +163,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     (the words left, joined by a space). Null, empty and short texts lose
     nothing. Rows of equal id don't take from each other; a row with a null id
     counts as the greatest and loses to every other. Ids are whole numbers.
+    Without texts the rows are narrow and are rebalanced, so that they are
+    written as few files and not as one for each task over texts.
     Each row gives one row, an empty table none; other columns of df are not
     read, which is done twice: for the size of the texts and for the texts.
     """
@@ -184,7 +214,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         cols = [pa.array(c.ids, pa.int64(), mask=c.null), pa.array(a.w.n_words), pa.array(removed, pa.int64()), pa.array(shas, pa.string())]
         return [pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * texts, names=[id_col, "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts)]
 
-    return resume(chunks, both, remove, f"{id_col} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    out = resume(chunks, both, remove, f"{id_col} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    return out if texts else out.hint("rebalance")
 
 
 SQL = rf"""

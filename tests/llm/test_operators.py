@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphspark.llm import boosting, bpe, chunked, components, licenses, media, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from glyphspark.llm import boosting, bpe, chunked, common, components, licenses, media, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, token_counts
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -526,6 +527,63 @@ def test_substring_dedup(docs, rows, empty, chunk):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_word_hashes():
+    """Every word, at the ends of texts too, has the hash of its bytes alone; memory doesn't grow with the number of different words."""
+    import random
+
+    r = random.Random(12)
+    texts = ["", " ", "a", "a b", "b", "\x00", "\x00\x00", "é\u3000z \x85\x1f", "  x\n", "x" * 256, "x" * 257 + " y", "x" * 300_000, "".join(r.choice("ab \t\x0b") for _ in range(200_000)), "", *(f"{r.random()} " * 3 for _ in range(900))]
+    for some in (texts, texts[::-1], [], [""]):
+        data = [t.encode() for t in some]
+        hashes, n = substring_dedup.word_hashes(b"".join(data), np.cumsum(np.array([len(d) for d in data], np.int64)))
+        assert n.tolist() == [len(d.split()) for d in data]
+        known = {}
+        assert all(known.setdefault(w, h) == h for w, h in zip((w for d in data for w in d.split()), hashes.tolist(), strict=True))
+        assert len(set(known.values())) == len(known)
+
+
+def test_sketch_shard_takes_a_byte_a_cell():
+    import tracemalloc
+
+    width = 22
+    sent = dict(chunked.say_cells(np.arange(200, dtype=np.uint64) << np.uint64(40), 1, width, 1))
+    rows = [{"p0": sent[0][0], "p1": sent[0][1]}] * 2
+    tracemalloc.start()
+    reply = chunked.merge_cells(width)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(chunked.unpack_sorted(sent[0][0]))
+    assert all(np.unpackbits(np.frombuffer(b, np.uint8), count=n).all() for b in reply)
+    # the cells, and what unpacking one message takes: a byte for each of its bits at most
+    assert peak < 1.6 * (1 << width)
+
+
+def test_files_of_chunks_and_results(spark):
+    """No row group holds a whole file of chunks; narrow results are few files, not one for each task over texts."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(13)
+    rows = [(i, " ".join("%x" % r.getrandbits(40) for _ in range(1500))) for i in range(1000)]
+    rows += [(2000 + i, rows[i][1]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    files = [f.removeprefix("file://") for f in chunked.pack(df, "doc_id", "text", 1 << 20).inputFiles()]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert max(m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)) < 6 << 20 < sum(os.path.getsize(f) for f in files)
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        out = common.materialize(substring_dedup.deduplicate(df, texts=False), "few")
+        assert len(out.inputFiles()) <= 2
+        assert {x.doc_id: x.n_removed for x in out.collect() if x.n_removed} == {2000 + i: 1500 for i in range(20)} and out.count() == 1020
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def slow_suffix(rows, n=200):
     count = Counter()
     for _, t, *_ in rows:
