@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from glyphspark.functions.layers import Layers, Own, Table, table
 from glyphspark.functions.matcher import Matcher, _leftmost, convert_layered
