@@ -9,6 +9,7 @@ import pytest
 from glyphspark.functions.layers import Layers, Own, Table, table
 from glyphspark.functions.matcher import Matcher, _leftmost, convert_layered
 from glyphspark.operators import joined
+from glyphspark.plans import table_queries
 
 
 def word(r, a, b):
@@ -85,3 +86,12 @@ def test_convert_by_arrays_and_by_joins(spark, monkeypatch, capsys, most):
     assert [x.text for x in sorted(out.collect(), key=lambda x: x.id)] == want
     out.explain()
     assert ("Exchange" in capsys.readouterr().out) == (most == 0)
+
+
+def test_word_dictionary_reads_texts_once(spark, capsys):
+    docs = spark.createDataFrame([("abcdef abc, abcdef.\nabcdefg ab", 1), (None, 2)], "text string, id int")
+    pairs = table_queries.word_pairs(table_queries.words_of(docs))
+    assert sorted(map(tuple, pairs.collect())) == [("abc", "cba3"), ("abcd", "dcba4"), ("abcdef", "fedcba6")]
+    capsys.readouterr()
+    pairs.explain()
+    assert "Generate" not in capsys.readouterr().out
