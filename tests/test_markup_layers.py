@@ -53,3 +53,17 @@ def test_short_rules_are_remembered_and_long_ones_are_not():
         assert markup.shown_text("zh-tw:a;zh-cn:b", "zh-tw") == "a" and markup.shown_text("zh-tw:a;zh-cn:b", "zh-cn") == "b"
         assert markup.shown_text(long, "zh-tw") == long[6:]
     assert markup._remembered.cache_info().currsize == 2
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_rules_of_pages_by_arrays_and_by_joins(spark, texts, monkeypatch, capsys, most):
+    """Pages of one batch keep their rules to themselves; with broadcast tables these are neither shuffled nor written."""
+    monkeypatch.setattr(joined, "BROADCAST", most)
+    if most:
+        monkeypatch.setattr(joined, "written", None)
+    own = [f"-{{H|a=>zh-tw:{i}}}-" + ("-{-|zh-tw:乙;zh-cn:x}-" if i % 3 else "") + "aa a 国x" for i in range(40)]
+    df, pairs = frames(spark, [*texts, *own])
+    out = pages.convert(df.coalesce(1), "t", pairs, "zh-tw")
+    m = MarkupConverter(Matcher(BASE), "zh-tw")
+    assert rows(out) == [None if t is None else m.convert(t) for t in [*texts, *own]]
+    assert ("Exchange" in plan(pages.convert(spark.createDataFrame([(1, "国")], "id int, t string"), "t", pairs, "zh-tw"), capsys)) == (most == 0)
