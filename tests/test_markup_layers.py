@@ -67,3 +67,15 @@ def test_rules_of_pages_by_arrays_and_by_joins(spark, texts, monkeypatch, capsys
     m = MarkupConverter(Matcher(BASE), "zh-tw")
     assert rows(out) == [None if t is None else m.convert(t) for t in [*texts, *own]]
     assert ("Exchange" in plan(pages.convert(spark.createDataFrame([(1, "国")], "id int, t string"), "t", pairs, "zh-tw"), capsys)) == (most == 0)
+
+
+def test_overlay_of_pages_without_written_tables(spark, texts, monkeypatch):
+    """A page's own pair wins over the overlay's, and what it removes the overlay lacks there alone, where the table's pair comes back."""
+    monkeypatch.setattr(joined, "written", None)
+    over = {"国": "囯", "aa": "A", "國": "丁"}
+    own = ["-{-|zh-tw:国}-国aa", "国aa國", "-{H|aa=>zh-tw:B}-国aa", "-{-|aa=>zh-tw:A}-aaa国"]
+    df, pairs = frames(spark, [*own, *texts])
+    out = rows(pages.convert(df.coalesce(1), "t", pairs, "zh-tw", overlay=spark.createDataFrame(list(over.items()), "`from` string, `to` string")))
+    assert out[:4] == ["國A", "囯A丁", "囯B", "b乙囯"]
+    m = MarkupConverter(Matcher(BASE), "zh-tw", overlay=over)
+    assert out[4:] == [None if t is None else m.convert(t) for t in texts]
