@@ -79,3 +79,13 @@ def test_overlay_of_pages_without_written_tables(spark, texts, monkeypatch):
     assert out[:4] == ["國A", "囯A丁", "囯B", "b乙囯"]
     m = MarkupConverter(Matcher(BASE), "zh-tw", overlay=over)
     assert out[4:] == [None if t is None else m.convert(t) for t in texts]
+
+
+def test_extended_markup_of_several_groups_without_written_tables(spark, texts, monkeypatch):
+    """Texts of over a group's bytes beside short ones, with code that stays and rules of their own."""
+    monkeypatch.setattr(joined, "written", None)
+    long = "-{H|a=>zh-tw:q}-" + "国aa<code>国</code>甲x -{国}- " * 20_000
+    mixed = [long, *texts[:40], "a国" * 300_000, *texts[40:], long[16:]]
+    df, pairs = frames(spark, mixed)
+    m = MarkupConverter(Matcher(BASE), "zh-tw")
+    assert rows(pages.convert(df.coalesce(1), "t", pairs, "zh-tw")) == [None if t is None else m.convert(t) for t in mixed]
