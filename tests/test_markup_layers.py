@@ -89,3 +89,14 @@ def test_extended_markup_of_several_groups_without_written_tables(spark, texts,
     df, pairs = frames(spark, mixed)
     m = MarkupConverter(Matcher(BASE), "zh-tw")
     assert rows(pages.convert(df.coalesce(1), "t", pairs, "zh-tw")) == [None if t is None else m.convert(t) for t in mixed]
+
+
+def test_disabled_targets_of_pages_without_written_tables(spark, texts, monkeypatch):
+    """A disabled target passes one character on all pages; what a page removes is disabled there alone."""
+    monkeypatch.setattr(joined, "written", None)
+    own = ["甲xa国", "-{-|zh-tw:國}-甲xa国", "甲xaa国"]
+    df, pairs = frames(spark, [*own, *texts])
+    out = rows(pages.convert(df.coalesce(1), "t", pairs, "zh-tw", off=["乙乙", "b"]))
+    assert out[:3] == ["甲<X>乙國", "甲<X>乙国", "甲<X>a乙國"]
+    m = MarkupConverter(Matcher(BASE), "zh-tw", removed={"乙乙", "b"})
+    assert out[3:] == [None if t is None else m.convert(t) for t in texts]
